@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, rotated_codes
+from . import collision_search, hamming_tree, rotated_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,14 @@ def op1_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_search.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op2_hamming_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_tree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op3_rotated_codes)}
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes)}
 
 ORACLE_SQL: dict[str, str] = {}
