@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, hamming_tree, rotated_codes
+from . import collision_search, cut_packing, hamming_tree, huffman_ids, rotated_codes
+from .token_cache import default_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_codes.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes)}
+def op4_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_packing.pieces(table(spark, sf_dir, "documents"), default_path(), end_id=2, width=4096)
+
+
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman_ids.digests(*huffman_ids.write(table(spark, sf_dir, "documents"), default_path(), end_id=1))
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids)}
 
 ORACLE_SQL: dict[str, str] = {}
