@@ -32,14 +32,16 @@ SLICE = 1 << 15
 @dataclass(frozen=True)
 class Params:
     """reach: bits that linked fingerprints may differ in. sample: at most so many
-    fingerprints are seen by the driver, to grow the top of the tree. shard_rows and
-    most_shards: distinct fingerprints are dealt to about n / shard_rows shards, and
-    to more than most_shards only where a shard would exceed large_rows.
+    fingerprints are seen by the driver, to grow the top of the tree. The distinct
+    fingerprints are dealt to about n / shard_rows shards, but to least_shards at
+    least, and to more than most_shards only where a shard would exceed large_rows:
+    every doubling of the shards copies a quarter more rows to a second shard.
     leaf: fingerprints compared all with all."""
 
     reach: int = 3
     sample: int = 8192
-    shard_rows: int = 4096
+    shard_rows: int = 65536
+    least_shards: int = 8
     most_shards: int = 64
     large_rows: int = 1_000_000
     leaf: int = 384
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     distinct = every.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     named = distinct.where("rep is not null")
     n = named.count()
-    shards = max(1, min(n // p.shard_rows, p.most_shards), n // p.large_rows)
+    shards = max(p.least_shards, min(n // p.shard_rows, p.most_shards), n // p.large_rows) if n > p.leaf else 1
     sample = named.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(p.sample).collect() if shards > 1 else []
     points = np.asarray([r.fp for r in sample], np.int64).view(np.uint64)
     nodes, _ = grow(points, p.reach, max(2, len(points) // shards), np.random.default_rng(p.seed)) if shards > 1 else ([], 1)
@@ -236,8 +238,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     dealt = dealt.repartition(2 * partitions(spark), "leaf")
     links = dealt.groupBy("leaf").applyInArrow(_link_shard(p), "a long, b long")
     roots = components(links)
+    # written, so that the join below has a plain side that skewed fingerprints can be split against
     groups = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = every.join(groups, "fp")
+    out = every.join(written(groups, "groups"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
