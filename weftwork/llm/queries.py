@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, cut_packing, hamming_tree, huffman_ids, rotated_codes
+from . import collision_search, cut_packing, hamming_tree, huffman_ids, language_id, rotated_codes
 from .token_cache import default_path
 
 
@@ -34,6 +34,18 @@ def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.digests(*huffman_ids.write(table(spark, sf_dir, "documents"), default_path(), end_id=1))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids)}
+def language_fold() -> Column:
+    """crc32 of doc_id as text, modulo 4; documents of remainder 2 are held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(language_fold() != 2))
+    found = language_id.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (language_fold() == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
