@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, cut_packing, hamming_tree, huffman_ids, language_id, rotated_codes
+from . import best_fit_shards, budget_mix, collision_search, cut_packing, hamming_tree, huffman_ids, language_id, rotated_codes
 from .token_cache import default_path
 
 
@@ -46,6 +46,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_fold() == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op10_language_id)}
+def op7_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_shards.sharded(table(spark, sf_dir, "documents"), shards=16)
+
+
+def tree() -> dict[str, Column]:
+    """Domain, language, source. Sources are named src0, src1, ...; their number modulo 4 is the domain."""
+    number = F.try_to_number(F.regexp_extract("source", r"(\d+)$", 1), F.lit("999999999"))
+    return {"domain": F.concat(F.lit("domain"), (number % 4).cast("int").cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+WEIGHTS = {("domain0",): 2.0, ("domain1",): 3.0, ("domain2",): 3.0, ("domain3",): 2.0} | {(f"domain{k}", lang): w for k in range(4) for lang, w in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 2.0))}
+
+
+def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget_mix.mixed(table(spark, sf_dir, "documents"), tree(), budget_mix.Params(budget=1.0, epochs=2, weights=WEIGHTS))
+
+
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op7_best_fit_shards, op9_budget_mix, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
