@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, written
 from .token_cache import ID
-from .tokens import starts, tokenized, unpacked
+from .tokens import ranged, starts, unpacked
 
 MAGIC, HEAD, STRIDE, PEEK = b"CHB1", struct.Struct("<4sIII"), 64, 16
 NO_DOC = -(1 << 63)
@@ -133,20 +133,6 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return doc_ids, counts, code.decode(block[at : at + size], runs, n)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for wide, ids in zip(batch.column("wide"), batch.column("ids"), strict=True):
-            own = np.bincount(unpacked(wide.as_py(), ids.as_py()))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-
 def _blocks(lengths: np.ndarray, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, own = Code(lengths), TaskContext.get().partitionId()
@@ -180,15 +166,11 @@ def write(docs: DataFrame, path: str, end_id: int, block_tokens: int = 1 << 18)
     carries the ids; the driver gets a count for each id of the vocabulary.
     """
     spark = docs.sparkSession
-    table = tokenized(docs, path, end_id)
-    counted = table.select("wide", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r.id for r in counted), default=-1) + 1, np.int64)
-    for r in counted:
-        counts[r.id] = r.n
+    table, counts = ranged(docs, path, end_id, partitions(spark))
     lengths = code_lengths(counts)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     code = written(spark.createDataFrame(rows, "id long, length int").coalesce(1), "code")
-    dealt = table.select("doc_id", "wide", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    dealt = table.select("range", "doc_id", "wide", "ids").repartitionById(partitions(spark), "range").sortWithinPartitions("doc_id", F.crc32("ids"))
     blocks = dealt.mapInArrow(_blocks(lengths, block_tokens), "range int, block int, before long, n_tokens long, data binary")
     return written(blocks, "blocks"), code
 

@@ -36,7 +36,7 @@ BYTE_CHARS = byte_chars()
 class Encoder(dict):
     """encode(text): the little-endian unsigned 32-bit ids as bytes. As a dict: piece to bytes."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         """most: pieces kept; further ones are encoded each time they occur."""
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
