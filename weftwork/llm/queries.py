@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_shards, budget_mix, collision_search, cut_packing, hamming_tree, huffman_ids, language_id, rotated_codes
+from . import best_fit_shards, budget_mix, collision_search, cut_packing, hamming_tree, huffman_ids, language_id, license_rules, rotated_codes
 from .token_cache import default_path
 
 
@@ -46,6 +46,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_fold() == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_shards.sharded(table(spark, sf_dir, "documents"), shards=16)
 
@@ -63,6 +67,6 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mixed(table(spark, sf_dir, "documents"), tree(), budget_mix.Params(budget=1.0, epochs=2, weights=WEIGHTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op7_best_fit_shards, op9_budget_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op6_license_rules, op7_best_fit_shards, op9_budget_mix, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_license_rules": license_rules.oracle_sql()}
