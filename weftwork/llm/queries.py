@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_shards, budget_mix, collision_search, cut_packing, hamming_tree, huffman_ids, language_id, license_rules, rotated_codes
+from . import best_fit_shards, budget_mix, collision_search, context_mixing, cut_packing, hamming_tree, huffman_ids, language_id, license_rules, rotated_codes
 from .token_cache import default_path
 
 
@@ -54,6 +54,11 @@ def op7_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_shards.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10
+    return context_mixing.scored(table(spark, sf_dir, "documents"), fold == 0)
+
+
 def tree() -> dict[str, Column]:
     """Domain, language, source. Sources are named src0, src1, ...; their number modulo 4 is the domain."""
     number = F.try_to_number(F.regexp_extract("source", r"(\d+)$", 1), F.lit("999999999"))
@@ -67,6 +72,6 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mixed(table(spark, sf_dir, "documents"), tree(), budget_mix.Params(budget=1.0, epochs=2, weights=WEIGHTS))
 
 
-QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op6_license_rules, op7_best_fit_shards, op9_budget_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op6_license_rules, op7_best_fit_shards, op8_context_mixing, op9_budget_mix, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op6_license_rules": license_rules.oracle_sql()}
