@@ -41,7 +41,7 @@ def test_languages_of_held_out_documents(spark, docs):
 def test_language_edges(spark, docs):
     model = language_id.learn(docs)
     odd = some(spark, [(1, None), (2, ""), (3, " 12 ?! \n"), (4, "the and of that " * 60_000), (4, "the and of that"), (None, "É")])
-    got = {(r.doc_id, r.text and len(r.text)): (r.lang_pred, r.lang_score) for r in language_id.predicted(odd, model).collect()}
+    got = {(r.doc_id, len(r.text) if r.text is not None else None): (r.lang_pred, r.lang_score) for r in language_id.predicted(odd, model).collect()}
     assert [got[k][0] for k in ((1, None), (2, 0), (3, 8))] == ["und"] * 3 and got[1, None][1] == 0
     assert got[4, 960_000][0] == got[4, 15][0] == "en" and got[None, 1][0] != "und"
     kept = language_id.accepted(odd.withColumnRenamed("lang", "lang_pred"), model)
@@ -85,7 +85,9 @@ LICENCES = [
     (4, said(*BSD), "BSD-3-Clause"),
     (5, said(*BSD[:3]), "BSD-2-Clause"),
     (6, said(*BSD[:2]), ""),
-    (7, "// SPDX-License-Identifier: Apache-2.0", "SPDX:apache 2.0"),
+    (7, "// SPDX-License-Identifier: Apache-2.0\n// more", "SPDX:Apache-2.0"),
+    (12, "The MIT License\n\n" + said("mit-named"), "MIT"),
+    (13, " * " + said("mit-grant").replace(" ", "\n * ") + "\n *\n" + said("mit-notice", "as-is"), "MIT"),
     (8, "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0!", "Apache-2.0,CC-BY-NC-4.0"),
     (9, None, ""), (10, "", ""), (11, "no licence here. " * 20_000, ""),
     (8, "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0!", "Apache-2.0,CC-BY-NC-4.0"),

@@ -10,11 +10,13 @@ dropped from the sequence, since it may stand anywhere.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a sentence ends: at a line's end, or after one of these signs before a space.
-ENDS = r"[.;!?]*[\r\n]+|[.;!?]+[ \t]+|[.;!?]+$"
+#: Where a sentence ends: after one of these signs before a space, at a blank line or at the text's end.
+ENDS = r"[.;:!?]+[ \t\r\n]+|\r?\n[ \t]*\r?\n[ \t\r\n]*|[.;:!?]+\z"
 
 # Known sentences, as normalised, by identifier. Public licence texts.
 SENTENCES = {
@@ -65,7 +67,10 @@ RULES = [
 ]
 #: Licences whose rule is a beginning of another's: given only if that other does not match.
 SHORTER = [("BSD-2-Clause", ["bsd-head", "bsd-source", "bsd-binary"], "BSD-3-Clause")]
-SPDX = r"spdx license identifier ([a-z0-9. ]*[a-z0-9])"
+#: Every known sentence has one of these; sentences without any are not normalised.
+STEMS = ["licen", "software", "copyright", "permission", "disclaimer", "version", "redistribution", "cc0"]
+#: Tags are read from the text as it is, since a line break may follow them at once.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 
 
 def normalised(sentence: Column) -> Column:
@@ -75,33 +80,37 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence; an SPDX tag's is `spdx:` and its name; null if unknown."""
+    """The identifier of a normalised sentence; null if unknown."""
     known = {text: name for name, texts in SENTENCES.items() for text in texts}
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    spdx = F.regexp_extract(sentence, SPDX, 1)
-    return F.coalesce(F.try_element_at(table, sentence), F.when(spdx != "", F.concat(F.lit("spdx:"), spdx)))
+    return F.try_element_at(table, sentence)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, licenses, sentence_ids, n_sentences for every row of docs(doc_id, text).
 
     licenses: the matched licences, sorted and joined by commas (an SPDX tag gives
-    `SPDX:` and its normalised name); sentence_ids: the known sentences' identifiers in
-    order, joined by commas; n_sentences: sentences that are not empty. Null and empty
+    `SPDX:` and its name); sentence_ids: the known sentences' identifiers in
+    order, joined by commas; n_sentences: sentences with a letter a-z or a digit. Null and empty
     texts, and texts without a known sentence, have empty strings (n_sentences 0 for the
     former). Each row stands for itself, repeated or not; extra columns are ignored.
     One projection over the scan: nothing is shuffled, and no text is exploded into rows.
     """
     ends = F.split(F.coalesce("text", F.lit("")), ENDS)
-    cut = docs.select("doc_id", F.filter(F.transform(ends, normalised), lambda x: x != "").alias("sentences"))
-    ids = cut.select("doc_id", F.size("sentences").alias("n_sentences"), F.filter(F.transform("sentences", identifier), lambda x: x.isNotNull()).alias("ids"))
+    tags = F.transform(F.regexp_extract_all("text", F.lit(SPDX)), lambda x: F.concat(F.lit("SPDX:"), x))
+    tags = F.when(F.contains("text", F.lit("SPDX-")), tags)
+    cut = docs.select("doc_id", tags.alias("tags"), F.filter(ends, lambda x: x.rlike("[A-Za-z0-9]")).alias("sentences"))
+    likely = F.filter("sentences", lambda x: reduce(Column.__or__, (F.lower(x).contains(s) for s in STEMS)))
+    named = F.transform(F.transform(likely, normalised), identifier)
+    ids = cut.select("doc_id", "tags", F.size("sentences").alias("n_sentences"), F.filter(named, lambda x: x.isNotNull()).alias("ids"))
     row = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     has = lambda rule: F.col("row").contains("," + ",".join(rule) + ",")
     found = [F.when(has(rule), F.lit(name)) for name, rule in RULES]
-    found += [F.when(has(rule) & ~F.coalesce(F.greatest(*(has(r) for n, r in RULES if n == longer), F.lit(False)), F.lit(False)), F.lit(name)) for name, rule, longer in SHORTER]
-    tags = F.transform(F.filter("ids", lambda x: x.startswith("spdx:")), lambda x: F.concat(F.lit("SPDX:"), F.substr(x, F.lit(6))))
-    licenses = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), tags))), ",")
-    return ids.withColumn("row", row).select("doc_id", F.when(F.size("ids") > 0, licenses).otherwise("").alias("licenses"), F.array_join("ids", ",").alias("sentence_ids"), "n_sentences")
+    found += [F.when(has(rule) & ~reduce(Column.__or__, (has(r) for n, r in RULES if n == longer)), F.lit(name)) for name, rule, longer in SHORTER]
+    known = F.when(F.size("ids") > 0, F.array_compact(F.array(*found)))
+    none = F.array().cast("array<string>")
+    licenses = F.array_sort(F.array_distinct(F.concat(F.coalesce(known, none), F.coalesce("tags", none))))
+    return ids.withColumn("row", row).select("doc_id", F.array_join(licenses, ",").alias("licenses"), F.array_join("ids", ",").alias("sentence_ids"), "n_sentences")
 
 
 def _quoted(x: str) -> str:
@@ -119,18 +128,18 @@ def oracle_sql() -> str:
     norm = rf"trim(regexp_replace(regexp_replace({low}, '\.([^0-9]|$)|[^a-z0-9.]+', ' \1', 'g'), '[^a-z0-9.]+|[.]+( |$)', ' ', 'g'))"
     return rf"""
 WITH cut AS (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{ENDS}'), lambda x: {norm}), lambda x: x <> '') AS sentences
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{ENDS}'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS raw,
+    list_transform(regexp_extract_all(coalesce(text, ''), '{SPDX}', 1), lambda x: 'SPDX:' || x) AS tags
   FROM documents
 ), named AS (
-  SELECT doc_id, len(sentences) AS n_sentences,
-    list_filter(list_transform(sentences, lambda x: coalesce({table}[x], CASE WHEN regexp_matches(x, '{SPDX}') THEN 'spdx:' || regexp_extract(x, '{SPDX}', 1) END)), lambda x: x IS NOT NULL) AS ids
+  SELECT doc_id, tags, len(raw) AS n_sentences,
+    list_filter(list_transform(list_transform(raw, lambda x: {norm}), lambda x: {table}[x]), lambda x: x IS NOT NULL) AS ids
   FROM cut
 ), joined AS (
   SELECT *, ',' || coalesce(array_to_string(ids, ','), '') || ',' AS row_ FROM named
 )
 SELECT doc_id,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL),
-    list_transform(list_filter(ids, lambda x: starts_with(x, 'spdx:')), lambda x: 'SPDX:' || substr(x, 6))))), ','), '') AS licenses,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL), tags))), ','), '') AS licenses,
   coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   CAST(n_sentences AS INTEGER) AS n_sentences
 FROM joined"""
