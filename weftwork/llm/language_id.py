@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -196,9 +197,12 @@ def learn(labelled: DataFrame, p: Params = Params()) -> Model:
     """The model from labelled(doc_id, text, lang); rows with a null lang, or whose text is
     null or without letters, teach nothing. No usable row: a model that knows no language."""
     rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    most = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()]
-    rows = rows.where(F.col("lang").isin(most)) if most else rows.limit(0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()
+    # only the share of a language's rows that holds its lowest hashes, with room to spare, is ranked
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63)
+    low = [(F.col("lang") == r.lang) & (place <= 3 * p.sample / r["count"]) for r in most]
+    rows = rows.where(reduce(Column.__or__, low, F.lit(False)))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.sample).select("doc_id").distinct()
     sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")  # at most sample * languages ids
     got = sample.mapInArrow(_count, "lang string, ids binary, counts binary").collect()
