@@ -22,6 +22,7 @@ and the training documents only.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,7 +58,7 @@ class Params:
 
     sample: int = 32768
     texts: int = 2000
-    kinds: int = 6
+    kinds: int = 5
     trust: float = 0.5
     tempered: float = 0.6
     rounds: int = 4
@@ -67,7 +68,7 @@ class Params:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    return lowered(text).split()
 
 
 def place(t):
@@ -75,33 +76,39 @@ def place(t):
     return np.floor(np.log2(np.asarray(t, np.float64) + 1)).astype(np.int64)
 
 
-def profile(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, A-Z lowered."""
-    data = np.frombuffer((text or "").encode().lower() + SPACE, np.uint8).astype(np.uint32)
-    pair = ((data[:-1] << 8 | data[1:]) * np.uint32(0x9E3779B1)) >> (32 - 10)
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode().lower()
+
+
+def profile(data: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed byte pairs, side by side, of a lowered text."""
+    pair = np.frombuffer(data[: len(data) // 2 * 2], "<u2") * np.uint16(0x9E37) >> 6
     total = np.bincount(pair, minlength=PROFILE)
     return np.sqrt(total / max(1, total.sum()))
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([profile(x.as_py()).astype("<f4").tobytes() for x in batch.column(0)], pa.binary())], names=["profile"])
+        yield pa.RecordBatch.from_arrays([pa.array([profile(lowered(x.as_py())).astype("<f4").tobytes() for x in batch.column(0)], pa.binary())], names=["profile"])
 
 
-def clustered(points: np.ndarray, kinds: int, seed: int) -> np.ndarray:
-    """Centres of unit length, by k-means on the sphere; the first ones lie far from each other."""
+def clustered(points: np.ndarray, kinds: int, seed: int, tries: int = 12) -> np.ndarray:
+    """Centres of unit length, by k-means on the sphere; the best of a few seeded beginnings."""
     kinds = min(kinds, len(np.unique(points, axis=0)))
     if kinds < 2:
         return np.ones((1, PROFILE)) / np.sqrt(PROFILE)
-    centres = points[[0]]
-    for _ in range(kinds - 1):
-        apart = (points @ centres.T).max(axis=1)
-        centres = np.concatenate([centres, points[[np.argsort(apart, kind="stable")[len(points) // 100]]]])
-    for _ in range(20):
-        near = np.argmax(points @ centres.T, axis=1)
-        sums = np.stack([points[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(kinds)])
-        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-    return centres
+    best, rng = (-1.0, points[:1]), np.random.default_rng(seed)
+    for _ in range(tries):
+        centres = points[[rng.integers(len(points))]]
+        while len(centres) < kinds:
+            apart = np.maximum(0, 1 - (points @ centres.T).max(axis=1)) + 1e-12
+            centres = np.concatenate([centres, points[[rng.choice(len(points), p=apart / apart.sum())]]])
+        for _ in range(15):
+            near = np.argmax(points @ centres.T, axis=1)
+            sums = np.stack([points[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(kinds)])
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        best = max(best, (float((points @ centres.T).max(axis=1).sum()), centres), key=lambda x: x[0])
+    return best[1]
 
 
 def _count_words(centres: np.ndarray):
@@ -119,10 +126,10 @@ def _count_words(centres: np.ndarray):
         total, held = [Counter() for _ in centres], set()
         for batch in batches:
             for train, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py()
-                own = words_of(text)
+                data = lowered(text.as_py())
+                own = data.split()
                 if train.as_py():
-                    kind = total[int(np.argmax(centres @ profile(text)))]
+                    kind = total[int(np.argmax(centres @ profile(data)))]
                     kind.update(own)
                     n = len(own)
                     last = int(place(n))
@@ -198,7 +205,7 @@ def _count_contexts(kinds: int):
                 np.add.at(by_kind, at + k, np.repeat(share[:, k], text.sizes))
         for k, block in enumerate([*tables.reshape(-1, BLOCK), *by_kind.reshape(-1, BLOCK)]):
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["block", "data"])
 
     return run
 
@@ -206,8 +213,8 @@ def _count_contexts(kinds: int):
 def _add_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
     for x in table.column("data"):
-        total += np.frombuffer(x.as_py(), np.int32)
-    return pa.table({"block": table.column("block")[:1], "data": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+        total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
+    return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
 
 
 def leading(words: list[bytes]) -> np.ndarray:
@@ -261,44 +268,57 @@ class Mixer:
     weights: np.ndarray
     refined: np.ndarray
 
+    def __post_init__(self) -> None:
+        zero, one = self.tables[:, ::2].astype(np.float32), self.tables[:, 1::2].astype(np.float32)
+        self.stretched = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+        self.known = ((zero[-1] + one[-1] > 0).astype(np.int32) + (zero[-1] + one[-1] > 4)).astype(np.int32)
+
     def inputs(self, text: Spelled, before: np.ndarray, once: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gates, bits) of all decisions, a row of eight for each symbol. once: the
-        words whose only training token is left out of the counts, to learn as if it
-        were new; for other words one token of several is left out."""
+        """(inputs, gates, bits) of all decisions, eight rows of symbols one after the other.
+        once: the words whose only training token is left out of the counts, to learn as
+        if it were new; for other words one token of several is left out."""
         m = len(text.symbols)
-        x = np.empty((INPUTS, m, 8), np.float32)
-        bits = np.unpackbits(text.symbols[:, None], axis=1)
-        node, after = before[:, :8], before[:, 1:]
-        less = 0 if once is None else 1
-        ones = np.maximum(np.where(bits == 1, after - less, node - after), 0)
-        zeros = np.maximum(node - less - ones, 0)
-        x[0] = np.log((ones + 0.02) / (zeros + 0.02))
-        gate = np.minimum(np.log2(zeros + ones + 1), LEVELS - 1).astype(np.int32) * STATES + np.where(ones == 0, 0, np.where(zeros == 0, 1, 2))
-        less = 0 if once is None else np.repeat(once, text.sizes).astype(np.int32)
-        for k, (table, context) in enumerate(zip(self.tables, text.contexts(), strict=True)):
-            for b in range(8):
-                at = slot(context, text.nodes(b))
-                zero, one = table[at], table[at + 1]
-                if once is not None:
-                    one, zero = np.maximum(one - less * bits[:, b], 0), np.maximum(zero - less * (1 - bits[:, b]), 0)
-                x[k + 1, :, b] = np.log((one + 0.4) / (zero + 0.4))
-                if k == len(ORDERS) - 1:
-                    total = one + zero
-                    gate[:, b] = gate[:, b] * KNOWN + (total > 0) + (total > 4)
+        x, gate = np.empty((INPUTS, 8, m), np.float32), np.empty((8, m), np.int32)
+        bits = np.unpackbits(text.symbols[:, None], axis=1).T.copy()
+        less, alone = (0, None) if once is None else (1, np.repeat(once, text.sizes).astype(np.int32))
+        contexts = list(text.contexts())
+        for b in range(8):
+            node, after, bit = before[:, b], before[:, b + 1], bits[b] == 1
+            came, other = np.maximum(after - less, 0).astype(np.float32), np.maximum(node - after, 0).astype(np.float32)
+            one, zero = np.where(bit, came, other), np.where(bit, other, came)
+            x[0, b] = np.log((one + np.float32(0.02)) / (zero + np.float32(0.02)))
+            level = np.minimum(np.log2(came + other + 1), LEVELS - 1).astype(np.int32)
+            state = np.where(one == 0, 0, np.where(zero == 0, 1, 2))
+            symbols = text.nodes(b)
+            for k, context in enumerate(contexts):
+                at = slot(context, symbols)
+                if alone is None:
+                    x[k + 1, b] = self.stretched[k][at >> 1]
+                    known = self.known[at >> 1] if k == len(contexts) - 1 else None
+                    continue
+                zero, one = self.tables[k][at], self.tables[k][at + 1]
+                one, zero = np.maximum(one - alone * bits[b], 0), np.maximum(zero - alone * (1 - bits[b]), 0)
+                x[k + 1, b] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
+                known = (zero + one > 0).astype(np.int32) + (zero + one > 4)
+            gate[b] = (level * STATES + state) * KNOWN + known
         x[-1] = 0.3
         return x.reshape(INPUTS, -1), gate.ravel(), bits.ravel()
 
     @staticmethod
     def bins(stretched: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(stretched, -REACH, REACH) + REACH) * ((BINS - 1) / (2 * REACH))).astype(np.int64)
+        return np.rint((np.clip(stretched, -REACH, REACH) + REACH) * ((BINS - 1) / (2 * REACH))).astype(np.int32)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("km,mk->m", x, self.weights[gate]), -REACH, REACH)
+        total = np.zeros(x.shape[1], np.float32)
+        for row, own in zip(x, self.weights.T.astype(np.float32), strict=True):
+            total += row * own[gate]
+        return np.clip(total, -REACH, REACH)
 
     def probability(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Of the bits that came."""
         stretched = self.mix(x, gate)
-        one = 0.5 / (1 + np.exp(-stretched)) + 0.5 * self.refined[gate, self.bins(stretched)]
+        one = np.float32(0.5) / (1 + np.exp(-stretched))
+        one += np.float32(0.5) * self.refined.astype(np.float32).ravel()[gate * BINS + self.bins(stretched)]
         return np.where(bits == 1, one, 1 - one)
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, p: Params, step: int = 4096) -> None:
@@ -313,21 +333,19 @@ class Mixer:
                 push = np.stack([np.bincount(g, gap * row, minlength=GATES) for row in xs], axis=1)
                 seen += push**2
                 self.weights += p.rate * push / np.sqrt(seen)
-        stretched = self.mix(x, gate)
-        at = gate * BINS + self.bins(stretched)
+        at = gate * BINS + self.bins(self.mix(x, gate))
         all_ = np.bincount(at, weight, minlength=GATES * BINS).reshape(GATES, BINS)
         ones = np.bincount(at, weight * bits, minlength=GATES * BINS).reshape(GATES, BINS)
-        prior = self.refined
-        self.refined = np.clip((ones + 4 * prior) / (all_ + 4), 1e-6, 1 - 1e-6)
+        self.refined = np.clip((ones + 4 * self.refined) / (all_ + 4), 1e-6, 1 - 1e-6)
 
 
 def new_mixer(tables: np.ndarray) -> Mixer:
-    weights = np.full((GATES, INPUTS), 0.2)
+    weights = np.tile([0.9, *[0.03] * len(ORDERS), 0.0], (GATES, 1))  # at first the word so far has most of the say
     middle = np.linspace(-REACH, REACH, BINS)
     return Mixer(tables, weights, np.tile(1 / (1 + np.exp(-middle)), (GATES, 1)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 8_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """(words, their counts by kind, their beginnings) from rows sorted by key, in pieces that
     hold every word of their keys, sorted as the trie needs it. The key is the first three
     symbols; the closing space is part of a word."""
@@ -371,11 +389,15 @@ def _sampled(trie: Trie, tables: np.ndarray, total: int, p: Params):
             use = np.flatnonzero(drawn)
             if not len(use):
                 continue
-            x, gate, bits = mixer.inputs(text, before, n == 1)
-            weight = np.repeat(np.maximum(n, total / p.sample) * (p.sample / total), text.sizes * 8)
-            for w in use.tolist():
-                s = slice(8 * int(text.starts[w]), 8 * int(text.ends[w]))
-                yield pa.RecordBatch.from_arrays([pa.array([words[w]], pa.binary()), pa.array([x[:, s].astype("<f2").tobytes()], pa.binary()), pa.array([gate[s].astype(np.int32).tobytes()], pa.binary()), pa.array([bits[s].tobytes()], pa.binary()), pa.array([float(weight[s][0])])], names=["word", "x", "gate", "bits", "weight"])
+            own = Spelled([words[w] for w in use])
+            at = np.concatenate([np.arange(text.starts[w], text.ends[w]) for w in use])
+            x, gate, bits = mixer.inputs(own, before[at], n[use] == 1)
+            weight = np.maximum(n[use], total / p.sample) * (p.sample / total)
+            m = len(own.symbols)
+            for k, w in enumerate(use.tolist()):
+                s = slice(int(own.starts[k]), int(own.ends[k]))
+                part = lambda y: y.reshape(-1, 8, m)[:, :, s].reshape(-1, 8 * (s.stop - s.start))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array([words[w]], pa.binary()), pa.array([part(x).astype("<f2").tobytes()], pa.binary()), pa.array([part(gate).astype(np.int32).tobytes()], pa.binary()), pa.array([part(bits).tobytes()], pa.binary()), pa.array([float(weight[k])])], names=["word", "x", "gate", "bits", "weight"])
 
     return run
 
@@ -407,7 +429,7 @@ def _spell(trie: Trie, mixer: Mixer, kinds: Kinds, p: Params):
         for words, counts, key in _groups(batches):
             n, text = counts.sum(axis=1), Spelled(words)
             came = mixer.probability(*mixer.inputs(text, trie.counts(text, key, n), None))
-            out = np.add.reduceat(np.log10(came), 8 * text.starts)
+            out = np.add.reduceat(np.log10(came).reshape(8, -1).sum(axis=0, dtype=np.float64), text.starts).astype(np.float32)
             ratios = kinds.ratios(text, counts, p).astype("<f2")
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(out), pa.array([r.tobytes() for r in ratios], pa.binary())], names=["word", "n", "spelled", "ratios"])
 
@@ -433,15 +455,15 @@ def _score(train_tokens: int, distinct: int, go: np.ndarray, end: np.ndarray, pr
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         at = {w: k for k, w in enumerate(values.column("word").to_pylist())}
         n = values.column("n").to_numpy()
-        base, spelled, known = np.log10(n + 0.1) - below, values.column("spelled").to_numpy(), n > 0
-        ratios = np.frombuffer(b"".join(values.column("ratios").to_pylist()), "<f2").reshape(-1, len(prior)).astype(np.float64)
+        base, spelled, known = np.log10(n + 0.1) - below, values.column("spelled").to_numpy().astype(np.float64), n > 0
+        ratios = np.frombuffer(b"".join(values.column("ratios").to_pylist()), "<f2").reshape(-1, len(prior)).astype(np.float32)
         rows = []
         for text in docs.column("text"):
             own = words_of(text.as_py())
             k = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
             b = int(place(len(own)))
             length = through[b] + on[b] * (len(own) + 1 - (1 << b)) + stop[b]
-            kinds = prior + ratios[k].sum(axis=0)
+            kinds = prior + ratios[k].sum(axis=0, dtype=np.float64)
             best = kinds.max()
             kinds = best + np.log10((10.0 ** (kinds - best)).sum())
             rows.append((len(own) + 1, int(known[k].sum()) + (ends > 0), base[k].sum() + np.log10(ends + 0.1) - below, spelled[k].sum() + kinds + length))
@@ -493,7 +515,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     tables, by_kind = np.zeros((len(ORDERS), 2 << BITS), np.int32), np.zeros((TRIPLES, len(kinds)), np.int32)
     first_kind = tables.size // BLOCK
     for r in blocks.collect():  # the tables, whose size is fixed
-        (tables.reshape(-1, BLOCK) if r.block < first_kind else by_kind.reshape(-1, BLOCK))[r.block % first_kind] = np.frombuffer(r.data, np.int32)
+        (tables.reshape(-1, BLOCK) if r.block < first_kind else by_kind.reshape(-1, BLOCK))[r.block % first_kind] = np.frombuffer(zlib.decompress(r.data), np.int32)
     start = F.rpad(F.substring(F.concat("word", F.lit(SPACE)), 1, 3), F.lit(3), F.lit(b"\0"))
     first = words.groupBy(start.alias("start")).agg(F.sum(all_).alias("n")).collect()  # at most 2^24
     first.sort(key=lambda r: bytes(r.start))
@@ -512,7 +534,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
         mixer.learn(x, gate, bits, weight, p)
     spread = lambda x: (np.asarray(x, np.float64) + 0.5) / (np.sum(x) + 0.5 * len(kinds))
     shares = Kinds(spread([sums[x] for x in kinds]), spread(by_kind.sum(axis=0) / SHARES), by_kind.astype(np.float32) / SHARES)
-    values = written(dealt.mapInArrow(_spell(trie, mixer, shares, p), "word binary, n long, spelled double, ratios binary"), "spelled")
+    values = written(dealt.mapInArrow(_spell(trie, mixer, shares, p), "word binary, n long, spelled float, ratios binary"), "spelled")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-size // p.chunk_bytes), partitions(spark) // 2)
     chunk = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")
