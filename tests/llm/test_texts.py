@@ -80,7 +80,7 @@ def said(*names):
 
 LICENCES = [
     (1, "Hello. Released under the MIT License.", "MIT"),
-    (2, "x\n" + said("mit-grant", "mit-notice", "as-is"), "MIT"),
+    (2, "x\n\n" + said("mit-grant", "mit-notice", "as-is"), "MIT"),
     (3, said("mit-grant", "as-is", "mit-notice"), ""),
     (4, said(*BSD), "BSD-3-Clause"),
     (5, said(*BSD[:3]), "BSD-2-Clause"),
