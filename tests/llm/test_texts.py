@@ -187,7 +187,7 @@ def test_trie_counts_are_prefix_counts():
 def test_bit_probabilities_add_to_one():
     """Over all symbols after a beginning, with any state of the mixer."""
     r = np.random.default_rng(1)
-    mixer = context_mixing.new_mixer(r.integers(0, 50, (4, 2 << context_mixing.BITS)).astype(np.int32))
+    mixer = context_mixing.new_mixer(context_mixing.to_bytes(r.integers(0, 900, (4, 2 << context_mixing.BITS))))
     mixer.weights += r.normal(0, 0.2, mixer.weights.shape)
     x, gate, bits = mixer.inputs(context_mixing.Spelled([b"ab"]), np.tile(np.arange(9, 0, -1), (3, 1)), None)
     p, q = mixer.probability(x, gate, bits), mixer.probability(x, gate, 1 - bits)

@@ -268,6 +268,13 @@ class Mixer:
     weights: np.ndarray
     refined: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("tables", "weights", "refined")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def __post_init__(self) -> None:
         zero, one = self.tables[:, ::2].astype(np.float32), self.tables[:, 1::2].astype(np.float32)
         self.stretched = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
@@ -296,7 +303,7 @@ class Mixer:
                     x[k + 1, b] = self.stretched[k][at >> 1]
                     known = self.known[at >> 1] if k == len(contexts) - 1 else None
                     continue
-                zero, one = self.tables[k][at], self.tables[k][at + 1]
+                zero, one = self.tables[k][at].astype(np.int32), self.tables[k][at + 1].astype(np.int32)
                 one, zero = np.maximum(one - alone * bits[b], 0), np.maximum(zero - alone * (1 - bits[b]), 0)
                 x[k + 1, b] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
                 known = (zero + one > 0).astype(np.int32) + (zero + one > 4)
@@ -339,6 +346,13 @@ class Mixer:
         self.refined = np.clip((ones + 4 * self.refined) / (all_ + 4), 1e-6, 1 - 1e-6)
 
 
+def to_bytes(tables: np.ndarray) -> np.ndarray:
+    """Counts as bytes: larger pairs are scaled down together, and no count above 0 becomes 0."""
+    pairs = tables.reshape(*tables.shape[:-1], -1, 2)
+    share = 255 / np.maximum(pairs.max(axis=-1, keepdims=True), 255)
+    return np.maximum(np.rint(pairs * share), pairs > 0).astype(np.uint8).reshape(tables.shape)
+
+
 def new_mixer(tables: np.ndarray) -> Mixer:
     weights = np.tile([0.9, *[0.03] * len(ORDERS), 0.0], (GATES, 1))  # at first the word so far has most of the say
     middle = np.linspace(-REACH, REACH, BINS)
@@ -522,6 +536,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     keys = np.asarray([int.from_bytes(r.start, "big") for r in first], np.int64)
     trie = Trie(keys, np.cumsum([0, *(r.n for r in first)]))
     dealt = words.repartition(partitions(spark), start).sortWithinPartitions(start, "word")
+    tables = to_bytes(tables)
     mixer = new_mixer(tables)
     if sums.n:
         got = dealt.mapInArrow(_sampled(trie, tables, sums.n, p), "word binary, x binary, gate binary, bits binary, weight double").collect()
