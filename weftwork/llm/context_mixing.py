@@ -196,13 +196,12 @@ def _count_contexts(kinds: int):
         for batch in batches:
             text = Spelled(batch.column(0).to_pylist())
             for table, context in zip(tables, text.contexts(), strict=True):
-                for b in range(8):
-                    np.add.at(table, slot(context, text.nodes(b)) + ((text.symbols >> (7 - b)) & 1), 1)
+                at = np.concatenate([slot(context, text.nodes(b)) + ((text.symbols >> (7 - b)) & 1) for b in range(8)])
+                table += np.bincount(at, minlength=table.size).astype(np.int32)
             share = np.stack([batch.column(k + 1).to_numpy() for k in range(kinds)], axis=1).astype(np.float64)
-            share = np.rint(SHARES * share / share.sum(axis=1, keepdims=True)).astype(np.int32)
-            at = triples(text).astype(np.int64) * kinds
-            for k in range(kinds):
-                np.add.at(by_kind, at + k, np.repeat(share[:, k], text.sizes))
+            share = np.repeat(np.rint(SHARES * share / share.sum(axis=1, keepdims=True)), text.sizes, axis=0)
+            at = triples(text).astype(np.int64)[:, None] * kinds + np.arange(kinds)
+            by_kind += np.bincount(at.ravel(), share.ravel(), by_kind.size).astype(np.int32)
         for k, block in enumerate([*tables.reshape(-1, BLOCK), *by_kind.reshape(-1, BLOCK)]):
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["block", "data"])
@@ -467,20 +466,27 @@ def _score(train_tokens: int, distinct: int, go: np.ndarray, end: np.ndarray, pr
     through = np.concatenate([[0], np.cumsum(on * 2.0 ** np.arange(len(on)))])
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        at = {w: k for k, w in enumerate(values.column("word").to_pylist())}
+        # frequent words first: their entries then lie together in memory
+        values = values.take(pa.array(np.argsort(-values.column("n").to_numpy(), kind="stable")))
+        words = values.column("word").to_pylist()
+        at = dict(zip(words, range(len(words)), strict=True))
         n = values.column("n").to_numpy()
-        base, spelled, known = np.log10(n + 0.1) - below, values.column("spelled").to_numpy().astype(np.float64), n > 0
-        ratios = np.frombuffer(b"".join(values.column("ratios").to_pylist()), "<f2").reshape(-1, len(prior)).astype(np.float32)
+        base = np.log10(n + 0.1) - below
+        ratios = np.frombuffer(b"".join(values.column("ratios").to_pylist()), "<f2").reshape(-1, len(prior))
+        # a word's other values side by side, so that they come with one memory access
+        own = np.concatenate([(n > 0)[:, None], values.column("spelled").to_numpy()[:, None], ratios], axis=1).astype(np.float32)
         rows = []
+        last = np.log10(ends + 0.1) - below
         for text in docs.column("text"):
-            own = words_of(text.as_py())
-            k = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
-            b = int(place(len(own)))
-            length = through[b] + on[b] * (len(own) + 1 - (1 << b)) + stop[b]
-            kinds = prior + ratios[k].sum(axis=0, dtype=np.float64)
+            said = words_of(text.as_py())
+            size = len(said)
+            k = np.fromiter(map(at.__getitem__, said), np.int64, size)
+            sums = own[k].sum(axis=0, dtype=np.float64)
+            kinds = prior + sums[2:]
             best = kinds.max()
-            kinds = best + np.log10((10.0 ** (kinds - best)).sum())
-            rows.append((len(own) + 1, int(known[k].sum()) + (ends > 0), base[k].sum() + np.log10(ends + 0.1) - below, spelled[k].sum() + kinds + length))
+            b = (size + 1).bit_length() - 1
+            length = through[b] + on[b] * (size + 1 - (1 << b)) + stop[b]
+            rows.append((size + 1, int(sums[0]) + (ends > 0), base[k].sum() + last, sums[1] + best + np.log10((10.0 ** (kinds - best)).sum()) + length))
         tokens, n_known, low, score = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
