@@ -75,7 +75,7 @@ def merge_at_rules(children: DataFrame, keys: list[str], ord: str) -> DataFrame:
 def hoisted(sheets: DataFrame, keys: list[str], ord: str, sheet: str) -> DataFrame:
     """A constant's number for each distinct sheet, in order of first occurrence."""
     first = sheets.groupBy(*keys, sheet).agg(F.min(ord).alias(ord))
-    return first.withColumn("constant", F.row_number().over(Window.partitionBy(*keys).orderBy(ord)))
+    return first.withColumn("constant", F.row_number().over(Window.partitionBy(*keys).orderBy(ord, sheet)))
 
 
 def bucketed(sheets: DataFrame, keys: list[str], ord: str, sheet: str) -> DataFrame:

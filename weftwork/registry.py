@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import styles, tables
+
+FLAGSHIP = "page_atomic_rules"
+QUERIES: dict = {**styles.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict[str, str] = {**styles.ORACLE_SQL, **tables.ORACLE_SQL}
