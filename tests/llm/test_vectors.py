@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -91,6 +92,13 @@ def test_near_duplicates_of_empty_and_tiny_vectors(spark, vectors):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_near_duplicates_in_sql(spark, vectors):
+    embeddings = vectors.select("vec_id", "embedding", "label").toArrow()
+    want = duckdb.sql(rotated_codes.oracle_sql(0.93)).fetchall()
+    got = rotated_codes.near_duplicates(vectors, 0.93).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert len(embeddings) == len(got) and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_the_bound_holds_and_the_estimate_is_unbiased():
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 64))

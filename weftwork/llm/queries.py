@@ -74,4 +74,4 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_collision_search, op2_hamming_tree, op3_rotated_codes, op4_cut_packing, op5_huffman_ids, op6_license_rules, op7_best_fit_shards, op8_context_mixing, op9_budget_mix, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {"op6_license_rules": license_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_rotated_codes": rotated_codes.oracle_sql(0.93), "op6_license_rules": license_rules.oracle_sql()}

@@ -133,3 +133,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, p: Params = Par
     out = out.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def oracle_sql(threshold: float) -> str:
+    """The same result by exact comparison of all pairs of a label, for DuckDB and small tables."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= {threshold}
+), r(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(max(n_links), 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept
+FROM embeddings JOIN r ON node = vec_id LEFT JOIN n ON a = vec_id GROUP BY vec_id"""
