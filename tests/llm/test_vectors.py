@@ -107,5 +107,5 @@ def test_the_bound_holds_and_the_estimate_is_unbiased():
     exact = codes.unit @ codes.unit.T
     off = ~np.eye(600, dtype=bool)
     assert abs((estimate - exact)[off].mean()) < 0.002
-    across = np.sqrt(1 - exact**2)
+    across = np.sqrt(np.maximum(0, 1 - exact**2))
     assert (np.abs(estimate - exact) <= 7 * codes.spread[:, None] * across + 1e-4).all()
