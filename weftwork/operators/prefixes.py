@@ -7,10 +7,10 @@ import re
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import vendor_prefix
+from ..functions.text import comma_list, space_list, vendor_prefix
 from ..sources.css import Node
 
 
@@ -98,3 +98,56 @@ def resolution_variants(query: str) -> list[str]:
     opera = f"(-o-{m[1]}-device-pixel-ratio: {ratio.numerator}/{ratio.denominator})"
     return [query.replace(m[0], x) for x in (f"(-webkit-{m[1]}-device-pixel-ratio: {number})", moz, opera, m[0])]
 
+
+
+def supports_variants(params: str, table: Mapping[str, list[str]]) -> str:
+    """A @supports condition in which each declaration of the table is any of its spellings."""
+
+    def either(m: re.Match) -> str:
+        marks = table.get(m[1], [])
+        return f"({' or '.join(f'({p}{m[1]}:{m[2]})' for p in [*marks, ''])})" if marks else m[0]
+
+    return re.sub(r"\(\s*([\w-]+)\s*:\s*((?:[^()]|\([^()]*\))*?)\s*\)", either, params)
+
+
+def transition_variants(value: str, table: Mapping[str, list[str]]) -> str:
+    """A transition with each of its properties that the table has also under its prefixes."""
+    out = []
+    for part in comma_list(value):
+        for name in space_list(part):
+            out += [part.replace(name, p + name, 1) for p in table.get(name, [])]
+        out.append(part)
+    return ",".join(dict.fromkeys(out))
+
+
+def value_variants(decls: DataFrame, table: DataFrame) -> DataFrame:
+    """decls with, before each whose value has a word of table(word, mark), a clone in which the
+    word is prefixed; `clone` counts from 0, the original last."""
+    hit = decls.join(F.broadcast(table), F.rlike(F.concat(F.lit(" "), "value", F.lit(" ")), F.concat(F.lit(r"[\s,(]"), "word", F.lit(r"[\s,()]"))))
+    new = F.regexp_replace("value", F.concat(F.lit(r"(^|[\s,(])("), "word", F.lit(r")(?=$|[\s,()])")), F.concat(F.lit("$1"), "mark", F.lit("$2")))
+    clones = hit.withColumn("value", new).select(*decls.columns, F.lit(0).alias("clone"))
+    return clones.union(decls.select("*", F.lit(1).alias("clone")))
+
+
+def controlled(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes(keys, ord, kind, value) with `on`: false after a comment `autoprefixer: off` until one
+    with `on`, and for the node after `autoprefixer: ignore next`. keys name a block."""
+    text = F.regexp_extract(F.when(F.col("kind") == "comment", F.col("value")), r"(?i)autoprefixer:\s*(on|off|ignore next)", 1)
+    own = F.when(F.lower(text).isin("on", "off"), F.lower(text))
+    order = Window.partitionBy(*keys).orderBy("ord")
+    state = F.last(own, ignorenulls=True).over(order)
+    skip = F.coalesce(F.lower(F.lag(text).over(order)) == "ignore next", F.lit(False))
+    return nodes.withColumn("on", F.coalesce(state != "off", F.lit(True)) & ~skip)
+
+
+def prefix_runs(decls: DataFrame, keys: list[str]) -> DataFrame:
+    """decls with `run`: side-by-side declarations of one property, whatever its prefixes."""
+    order = Window.partitionBy(*keys).orderBy("ord")
+    bare = F.regexp_replace("prop", r"^-\w+-", "")
+    return decls.withColumn("_bare", bare).withColumn("_new", F.when(F.lag("_bare").over(order).eqNullSafe(F.col("_bare")), 0).otherwise(1)).withColumn("run", F.sum("_new").over(order)).drop("_bare", "_new")
+
+
+def parent_prefix(ancestors: Column) -> Column:
+    """The prefix of the nearest ancestor that has one, of an array of heads from the root down."""
+    marks = F.transform(ancestors, lambda a: F.regexp_extract(a, r"(?:^@|:)(-\w+-)", 1))
+    return F.try_element_at(F.filter(marks, lambda m: m != ""), F.lit(-1))
