@@ -166,7 +166,8 @@ def spelled(x: Sum, precision: int) -> str:
             return sign + every[0][1]
         if every[0][0] == 1:
             return every[0][1]
-    first = ("-" if every[0][0] < 0 else "") + every[0][1]
+    lone = every[0][0] < 0 and every[0][1][0].isalpha()  # a sign before a function is no sign
+    first = ("-1*" if lone else "-" if every[0][0] < 0 else "") + every[0][1]
     return "calc(" + first + "".join(f" {'-' if n < 0 else '+'} {t}" for n, t in every[1:]) + ")"
 
 
