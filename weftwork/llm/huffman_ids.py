@@ -80,22 +80,31 @@ class Code:
 
     def __post_init__(self) -> None:
         used, codes = canonical(self.lengths)
-        self.codes = np.zeros(len(self.lengths), np.uint64)
-        self.codes[used] = codes
+        # code and length in one number, so that each id costs one lookup
+        self.codes = np.zeros(len(self.lengths), np.uint32)
+        self.codes[used] = codes << 5 | self.lengths[used]
         span = np.left_shift(1, PEEK - self.lengths[used].astype(np.int64))
-        self.ids, self.used = np.zeros(1 << PEEK, ID), np.zeros(1 << PEEK, np.int64)
+        self.ids, self.used = np.zeros(1 << PEEK, ID), np.zeros(1 << PEEK, np.uint8)
         self.ids[: span.sum()] = np.repeat(used, span)
         self.used[: span.sum()] = np.repeat(self.lengths[used], span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(code, bits of each run of STRIDE ids)."""
-        n = self.lengths[ids].astype(np.int64)
-        end = np.cumsum(n)
-        runs = np.diff(end[np.append(np.arange(STRIDE - 1, len(ids) - 1, STRIDE), len(ids) - 1)], prepend=0)
+        """(code, bits of each run of STRIDE ids). Two ids' codes are joined first; the
+        last of an odd number is joined with no bits."""
+        own = self.codes[ids]
+        if len(own) % 2:
+            own = np.append(own, np.uint32(0))
+        one, two = own[::2], own[1::2]
+        n = two & 31
+        value = ((one >> 5 << n) | two >> 5).astype(np.uint64)
+        n += one & 31
+        end = np.cumsum(n, dtype=np.int64)
+        half = STRIDE // 2
+        runs = np.diff(end[np.append(np.arange(half - 1, len(end) - 1, half), len(end) - 1)], prepend=0)
         at = end - n
-        value = self.codes[ids] << (64 - n - (at & 31)).astype(np.uint64)
-        word = at >> 5  # a code is shorter than a word, so one begins in every word but maybe the last
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        value <<= (64 - n - (at & 31)).astype(np.uint64)
+        word = at >> 5  # a pair is no longer than a word, so one begins in every word but maybe the last
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
         out = np.zeros(int(word[-1]) + 2, np.uint64)
         out[word[first]] = np.add.reduceat(value >> np.uint64(32), first)
         out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
