@@ -110,6 +110,20 @@ def test_licences_in_sql(spark, docs):
     assert sorted(got) == sorted(want)
 
 
+def test_licence_lines_after_lines_without_an_end_mark(spark):
+    grant = said("mit-grant").replace("ANY PERSON", "ANY\nPERSON") + "\n" + said("mit-notice", "as-is")
+    texts = [
+        (1, "thonhare.***\nReleased under the MIT License\nfrom from from", "MIT", "mit-named"),
+        (2, "| a | b |\r\nThis work is licensed under CC BY 4.0.\r\nmore", "CC-BY-4.0", "cc-by4-named"),
+        (3, "Copyright (c) 2020 Someone\n" + grant, "MIT", "mit-grant,mit-notice,as-is"),
+        (4, "This project is\nlicensed under the MIT License", "MIT", "mit-named"),
+        (5, "from\nMIT License\nLicensed under the Apache License,\nVersion 2.0\nfrom", "Apache-2.0,MIT", "mit-named,apache2-named"),
+        (6, "it is not released under the MIT License\nfrom", "", ""),
+    ]
+    got = license_rules.scanned(some(spark, [(i, t) for i, t, *_ in texts])).collect()
+    assert sorted((r.doc_id, r.licenses, r.sentence_ids) for r in got) == [(i, x, ids) for i, _, x, ids in texts]
+
+
 def test_the_scan_is_native(spark, docs):
     plan = license_rules.scanned(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

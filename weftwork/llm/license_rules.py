@@ -2,7 +2,8 @@
 
 A text is cut into sentences; each is normalised (lower case, everything but letters,
 digits and dots between digits becomes one space) and mapped to the identifier of a known
-licence sentence. A document's identifiers, in order, are then matched against licence
+licence sentence. Within it a run of whole lines may be a known sentence too, since a line
+before or after need not end in a sign; of runs that overlap the first and longest counts. A document's identifiers, in order, are then matched against licence
 rules: each rule is a sequence of identifiers that must occur side by side. Sentences
 that are not known do not part the identifiers around them; the copyright sentence is
 dropped from the sequence, since it may stand anywhere.
@@ -86,6 +87,15 @@ def identifier(sentence: Column) -> Column:
     return F.try_element_at(table, sentence)
 
 
+def runs(sentence: Column) -> Column:
+    """The known sentences, as normalised, that are runs of whole lines of a sentence, in order."""
+    lines = F.filter(F.transform(F.split(sentence, r"[\r\n]+"), normalised), lambda x: x != "")
+    texts = sorted((text for texts in SENTENCES.values() for text in texts), key=len, reverse=True)
+    known = "|".join(text.replace(".", "[.]").replace(" ", r"[ \n]") for text in texts)
+    found = F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(rf"(?:^|\n)({known})(?=\n|\z)"))
+    return F.transform(found, lambda x: F.translate(x, "\n", " "))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, licenses, sentence_ids, n_sentences for every row of docs(doc_id, text).
 
@@ -101,7 +111,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     tags = F.when(F.contains("text", F.lit("SPDX-")), tags)
     cut = docs.select("doc_id", tags.alias("tags"), F.filter(ends, lambda x: x.rlike("[A-Za-z0-9]")).alias("sentences"))
     likely = F.filter("sentences", lambda x: reduce(Column.__or__, (F.lower(x).contains(s) for s in STEMS)))
-    named = F.transform(F.transform(likely, normalised), identifier)
+    named = F.transform(F.flatten(F.transform(likely, runs)), identifier)
     ids = cut.select("doc_id", "tags", F.size("sentences").alias("n_sentences"), F.filter(named, lambda x: x.isNotNull()).alias("ids"))
     row = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     has = lambda rule: F.col("row").contains("," + ",".join(rule) + ",")
