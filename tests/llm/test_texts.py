@@ -245,6 +245,20 @@ def test_best_fit_decreasing():
     assert best_fit_shards.best_fit([500, 3], 100) == ([0, 1], 2)
 
 
+def test_a_group_above_the_mean_leaves_no_shard_empty(spark):
+    words = np.random.default_rng(4).integers(10**8, 10**9, 2000).tolist()
+    rows = some(spark, [(k, "hot" * 333) for k in range(100)] + [(1000 + k, f"{w} " * 10) for k, w in enumerate(words)])
+    sizes = defaultdict(int)
+    for r in best_fit_shards.sharded(rows, 16).collect():
+        sizes[r.shard] += r["size"]
+    hot, *others = sorted(sizes.values(), reverse=True)
+    assert hot == 100_000 and sorted(sizes) == list(range(16)) and max(others) <= 1.02 * sum(others) / 15
+    bins = best_fit_shards.fixed_bins([500, 60, 1, 1, 1, 1, 1], 6)
+    assert bins[:2] == [0, 1] and sorted(map(bins[2:].count, range(2, 6))) == [1, 1, 1, 2]
+    assert sorted(map(best_fit_shards.fixed_bins([1] * 17, 16).count, range(16))) == [1] * 15 + [2]
+    assert best_fit_shards.fixed_bins([9, 9], 4) == [0, 1] and best_fit_shards.fixed_bins([5, 5], 1) == [0, 0]
+
+
 @pytest.mark.parametrize("capacity", [None, 60_000])
 def test_shards(spark, docs, capacity):
     rows = docs.select("doc_id", "text").union(some(spark, [(900, None), (901, None), (902, ""), (903, "Ünï"), (903, "Ünï")]).select("doc_id", "text"))

@@ -3,7 +3,8 @@
 Documents of equal text form a group that no shard boundary splits. Items sorted by
 size, largest first, enter the bin whose remaining capacity is the smallest that still
 fits; bins wait in a balanced tree ordered by remaining capacity. For a fixed number of
-shards the capacity is the smallest, in fine steps, with which that many bins do.
+shards the capacity is the smallest, in fine steps, with which that many bins do, once
+groups above the mean have shards of their own.
 
 Only groups above a grain are items of their own; smaller groups are gathered by hash
 into bundles of about the grain. So the driver packs a number of items that depends on
@@ -107,17 +108,43 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
 
 
 def fixed_bins(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each item, with the smallest capacity for which at most `bins` are used."""
-    if not sizes:
-        return []
-    low = max(-(-sum(sizes) // bins), max(sizes))
+    """The bin of each item: all bins are used if there are as many items.
+
+    An item above the mean of what is left has a bin to itself, largest first, and the mean
+    is taken anew; the rest enter the remaining bins, with the smallest capacity for which
+    no more are used. Bins that stay empty then, which few and coarse items can leave, take
+    every other item of the fullest bin that has two.
+    """
+    out = [0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    left, own = sum(sizes), 0
+    while own < len(order) and sizes[order[own]] * (bins - own) > left:
+        out[order[own]] = own
+        left -= sizes[order[own]]
+        own += 1
+    rest = order[own:]
+    if not rest:
+        return out
+    few = bins - own
+    low = max(-(-left // few), sizes[rest[0]])
     step = max(1, low // 10_000)
     while True:
-        out, used = best_fit(sizes, low)
-        if used <= bins:
-            return out
+        found, used = best_fit([sizes[k] for k in rest], low)
+        if used <= few:
+            break
         low += step
         step += step // 2
+    members: list[list[int]] = [[] for _ in range(used)]
+    for k, b in zip(rest, found, strict=True):
+        members[b].append(k)
+    while len(members) < min(few, len(rest)):
+        full = max((m for m in members if len(m) > 1), key=lambda m: sum(sizes[k] for k in m))
+        members.append(full[1::2])
+        del full[1::2]
+    for b, m in enumerate(members):
+        for k in m:
+            out[k] = own + b
+    return out
 
 
 @dataclass(frozen=True)
@@ -132,7 +159,8 @@ def sharded(docs: DataFrame, shards: int = 16, capacity: int | None = None, p: P
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs(doc_id, text).
 
     size is the text's UTF-8 bytes plus 1, a null text having none (its crc32 is 0). The
-    law is `bytes`: with a fixed number of shards their sizes are near equal; with a
+    law is `bytes`: with a fixed number of shards their sizes are near equal, but for a
+    group that is larger than the mean and has a shard to itself; with a
     capacity, as few shards as best fit finds hold at most that many bytes each, but for
     a group that is larger by itself. Rows of equal text, null being one text, share
     a shard. slot counts a shard's rows from 0 without gaps. grown_shard is null under this
