@@ -175,6 +175,17 @@ def test_held_out_texts_teach_nothing(spark):
     assert all(one[i].score == pytest.approx(two[i].score, rel=1e-6) and one[i].base_score == two[i].base_score for i in same)
 
 
+def test_every_training_word_reaches_the_mixer(spark, monkeypatch):
+    seen = []
+    whole = context_mixing.gates
+    monkeypatch.setattr(context_mixing, "gates", lambda parts: seen.append(whole(parts)) or seen[-1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(40)]
+    context_mixing.scored(some(spark, rows), F.col("doc_id") % 4 == 0)
+    decisions = sum(8 * (len(w) + 1) for i, t in rows if i % 4 for w in t.split())  # 60,000 words, each once
+    assert sum(x[0] for x in seen[0].values()) == pytest.approx(decisions)
+    assert sum(x[: context_mixing.BINS].sum() for x in seen[1].values()) == pytest.approx(decisions)
+
+
 def test_no_training_rows(spark):
     rows = some(spark, [(1, "a b"), (2, None)])
     got = context_mixing.scored(rows, F.lit(True)).collect()

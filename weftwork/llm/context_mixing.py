@@ -50,15 +50,14 @@ SHARES = 16  # units in which a word's kinds are counted there
 
 @dataclass(frozen=True)
 class Params:
-    """sample: word types, drawn by their share of the tokens, on which the mixing weights
-    and the refining table are learned, 4 passes; texts: training texts, those whose
-    doc_id hashes lowest, on which the kinds are found; all counts are over everything.
+    """texts: training texts, those whose doc_id hashes lowest, on which the search for kinds
+    begins, to go on over all of them for so many rounds at most; the mixing weights and the
+    refining table are learned on all training words, each piece of them gone over rounds times.
     trust: occurrences that weigh as much as the spelling in telling a word's kind.
     chunk_bytes: text that is scored with one lookup of its distinct words."""
 
-    sample: int = 32768
     texts: int = 2000
-    kinds: int = 5
+    kinds: int = 6
     trust: float = 0.5
     tempered: float = 0.6
     rounds: int = 4
@@ -111,6 +110,39 @@ def clustered(points: np.ndarray, kinds: int, seed: int, tries: int = 12) -> np.
     return best[1]
 
 
+def _sum_profiles(centres: np.ndarray):
+    """kind, sums: of the profiles nearest to each centre, in whole units, so that no order matters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(centres.shape, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                own = profile(lowered(text.as_py()))
+                sums[int(np.argmax(centres @ own))] += np.rint(own * (1 << 20)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["kind", "sums"])
+
+    return run
+
+
+def _add_sums(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
+    return pa.table({"kind": table.column("kind")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def settled(train: DataFrame, centres: np.ndarray, rounds: int) -> np.ndarray:
+    """The centres after rounds of k-means over all training texts."""
+    for _ in range(rounds if len(centres) > 1 else 0):
+        new = centres.copy()
+        for r in train.select("text").mapInArrow(_sum_profiles(centres), "kind int, sums binary").groupBy("kind").applyInArrow(_add_sums, "kind int, sums binary").collect():
+            own = np.frombuffer(r.sums, np.int64).astype(np.float64)
+            if own.any():
+                new[r.kind] = own / np.linalg.norm(own)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
+
+
 def _count_words(centres: np.ndarray):
     """word, kind, n: n counts training tokens and is 0 for words of held-out texts only. Keys
     that begin with a space are no words but count texts: ` d` by kind; ` e` and ` g`
@@ -272,9 +304,9 @@ class Mixer:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.__post_init__()
 
-    def __post_init__(self) -> None:
+    def stretch(self) -> None:
+        """What scoring reads in place of the counts; learning, which leaves tokens out, does without."""
         zero, one = self.tables[:, ::2].astype(np.float32), self.tables[:, 1::2].astype(np.float32)
         self.stretched = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
         self.known = ((zero[-1] + one[-1] > 0).astype(np.int32) + (zero[-1] + one[-1] > 4)).astype(np.int32)
@@ -286,6 +318,8 @@ class Mixer:
         m = len(text.symbols)
         x, gate = np.empty((INPUTS, 8, m), np.float32), np.empty((8, m), np.int32)
         bits = np.unpackbits(text.symbols[:, None], axis=1).T.copy()
+        if once is None and not hasattr(self, "stretched"):
+            self.stretch()
         less, alone = (0, None) if once is None else (1, np.repeat(once, text.sizes).astype(np.int32))
         contexts = list(text.contexts())
         for b in range(8):
@@ -327,10 +361,9 @@ class Mixer:
         one += np.float32(0.5) * self.refined.astype(np.float32).ravel()[gate * BINS + self.bins(stretched)]
         return np.where(bits == 1, one, 1 - one)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, p: Params, step: int = 4096) -> None:
+    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, seen: np.ndarray, p: Params, step: int = 4096) -> None:
         """Weights online, block by block in the order given, each coordinate's steps scaled by
-        its past; then the refining table, from the same decisions."""
-        seen = np.full_like(self.weights, 1e-3)
+        its past, which is kept in seen."""
         for _ in range(p.rounds):
             for at in range(0, len(bits), step):
                 part = slice(at, at + step)
@@ -339,10 +372,6 @@ class Mixer:
                 push = np.stack([np.bincount(g, gap * row, minlength=GATES) for row in xs], axis=1)
                 seen += push**2
                 self.weights += p.rate * push / np.sqrt(seen)
-        at = gate * BINS + self.bins(self.mix(x, gate))
-        all_ = np.bincount(at, weight, minlength=GATES * BINS).reshape(GATES, BINS)
-        ones = np.bincount(at, weight * bits, minlength=GATES * BINS).reshape(GATES, BINS)
-        self.refined = np.clip((ones + 4 * self.refined) / (all_ + 4), 1e-6, 1 - 1e-6)
 
 
 def to_bytes(tables: np.ndarray) -> np.ndarray:
@@ -387,34 +416,64 @@ def _groups(batches: Iterator[pa.RecordBatch], rows: int = 8_000) -> Iterator[tu
         yield piece(words, counts)
 
 
-def _sampled(trie: Trie, tables: np.ndarray, total: int, p: Params):
-    """The decisions of the sampled words, with the weight of each."""
+def _decisions(batches: Iterator[pa.RecordBatch], trie: Trie, mixer: Mixer, scale: float):
+    """Inputs, gates, bits and weights of all decisions of training words, in pieces: words by
+    hash, a word's decisions side by side. A word weighs its count times scale."""
+    for words, counts, key in _groups(batches, 2_000):
+        n, text = counts.sum(axis=1), Spelled(words)
+        before = trie.counts(text, key, n)
+        order = np.asarray(sorted(range(len(words)), key=lambda k: hash_order(words[k])))
+        for part in np.split(order, range(2_000, len(order), 2_000)):  # words of one beginning can be many
+            own = Spelled([words[k] for k in part])
+            at = np.arange(len(own.symbols)) + np.repeat(text.starts[part] - own.starts, own.sizes)
+            x, gate, bits = mixer.inputs(own, before[at], n[part] == 1)
+            turn = np.arange(len(bits)).reshape(8, -1).T.ravel()
+            yield x[:, turn], gate[turn], bits[turn], np.repeat(n[part] * scale, 8 * own.sizes)
+
+
+def _learn(trie: Trie, mixer: Mixer, scale: float, p: Params):
+    """gate, data: the weight of a part's decisions, and the mixing weights it learned times that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        weights = mixer.weights.copy()  # a worker may run this again
+        seen, mass = np.full(weights.shape, 1e-3), np.zeros(GATES)
+        for x, gate, bits, weight in _decisions(batches, trie, mixer, scale):
+            mixer.learn(x, gate, bits, weight, seen, p)
+            mass += np.bincount(gate, weight, minlength=GATES)
+        yield from _by_gate(mass, np.concatenate([mass[:, None], mass[:, None] * mixer.weights], axis=1))
+        mixer.weights = weights
 
-        mixer = new_mixer(tables)
-        for words, counts, key in _groups(batches):
-            n, text = counts.sum(axis=1), Spelled(words)
-            before = trie.counts(text, key, n)
-            share = np.minimum(1, n * (p.sample / total))
-            drawn = np.fromiter((xxhash.xxh64_intdigest(w, p.seed) for w in words), np.float64, len(words)) / 2.0**64 < share
-            use = np.flatnonzero(drawn)
-            if not len(use):
-                continue
-            own = Spelled([words[w] for w in use])
-            at = np.concatenate([np.arange(text.starts[w], text.ends[w]) for w in use])
-            x, gate, bits = mixer.inputs(own, before[at], n[use] == 1)
-            weight = np.maximum(n[use], total / p.sample) * (p.sample / total)
-            m = len(own.symbols)
-            for k, w in enumerate(use.tolist()):
-                s = slice(int(own.starts[k]), int(own.ends[k]))
-                part = lambda y: y.reshape(-1, 8, m)[:, :, s].reshape(-1, 8 * (s.stop - s.start))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array([words[w]], pa.binary()), pa.array([part(x).astype("<f2").tobytes()], pa.binary()), pa.array([part(gate).astype(np.int32).tobytes()], pa.binary()), pa.array([part(bits).tobytes()], pa.binary()), pa.array([float(weight[k])])], names=["word", "x", "gate", "bits", "weight"])
+    return run
+
+
+def _refine(trie: Trie, mixer: Mixer, scale: float):
+    """gate, data: the weight of the decisions in each bin, and of those that were ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, GATES * BINS))
+        for x, gate, bits, weight in _decisions(batches, trie, mixer, scale):
+            at = gate * BINS + mixer.bins(mixer.mix(x, gate))
+            total += [np.bincount(at, w, minlength=GATES * BINS) for w in (weight, weight * bits)]
+        out = total.reshape(2, GATES, BINS)
+        yield from _by_gate(out[0].sum(axis=1), np.concatenate([out[0], out[1]], axis=1))
 
     return run
 
 
+def _by_gate(mass: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero(mass)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([data[k].tobytes() for k in some], pa.binary())], names=["gate", "data"])
+
+
+def _add_gates(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float64) for x in sorted(table.column("data").to_pylist()))  # the same sum in any order
+    return pa.table({"gate": table.column("gate")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def gates(parts: DataFrame) -> dict[int, np.ndarray]:
+    return {r.gate: np.frombuffer(r.data, np.float64) for r in parts.groupBy("gate").applyInArrow(_add_gates, "gate int, data binary").collect()}
+
+
 @dataclass
 class Kinds:
     """tokens and types: each kind's share of them; triples: types with a byte triple, by kind."""
@@ -515,7 +574,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     sample = train.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")  # at most p.texts ids
     points = [np.frombuffer(r.profile, "<f4") for r in sample.mapInArrow(_profiles, "profile binary").collect()]
     points = np.asarray(sorted(points, key=lambda x: x.tobytes()), np.float64).reshape(-1, PROFILE)
-    centres = clustered(points, p.kinds, p.seed)
+    centres = settled(train, clustered(points, p.kinds, p.seed), p.rounds)
     kinds = [f"n{k}" for k in range(len(centres))]
     counted = rows.select(~F.col("held_out"), "text").mapInArrow(_count_words(centres), "word binary, kind int, n long")
     counted = counted.groupBy("word").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in enumerate(kinds)))
@@ -545,14 +604,13 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     tables = to_bytes(tables)
     mixer = new_mixer(tables)
     if sums.n:
-        got = dealt.mapInArrow(_sampled(trie, tables, sums.n, p), "word binary, x binary, gate binary, bits binary, weight double").collect()
-        got.sort(key=lambda r: hash_order(bytes(r.word)))
-        x = np.concatenate([np.frombuffer(r.x, "<f2").reshape(INPUTS, -1) for r in got], axis=1).astype(np.float32)
-        gate = np.concatenate([np.frombuffer(r.gate, np.int32) for r in got])
-        bits = np.concatenate([np.frombuffer(r.bits, np.uint8) for r in got])
-        weight = np.concatenate([np.full(len(r.bits), r.weight) for r in got])
-        del got
-        mixer.learn(x, gate, bits, weight, p)
+        # only training words, so that pieces and parts do not depend on held-out texts
+        taught = words.where(all_ > 0).repartition(partitions(spark), start).sortWithinPartitions(start, "word")
+        scale = sums.v / sums.n
+        for g, own in gates(taught.mapInArrow(_learn(trie, mixer, scale, p), "gate int, data binary")).items():
+            mixer.weights[g] = own[1:] / own[0]
+        for g, own in gates(taught.mapInArrow(_refine(trie, mixer, scale), "gate int, data binary")).items():
+            mixer.refined[g] = np.clip((own[BINS:] + 4 * mixer.refined[g]) / (own[:BINS] + 4), 1e-6, 1 - 1e-6)
     spread = lambda x: (np.asarray(x, np.float64) + 0.5) / (np.sum(x) + 0.5 * len(kinds))
     shares = Kinds(spread([sums[x] for x in kinds]), spread(by_kind.sum(axis=0) / SHARES), by_kind.astype(np.float32) / SHARES)
     values = written(dealt.mapInArrow(_spell(trie, mixer, shares, p), "word binary, n long, spelled float, ratios binary"), "spelled")
