@@ -1,192 +1,167 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is its words (lower case A-Z, between ASCII spaces), each spelled in bytes and
-closed by a space, each byte in eight binary decisions. For every decision there are
-predictions from counts in several contexts: the last 1, 2, 3 and 4 bytes, hashed into
-tables of fixed size and counted over word types, and the whole word so far, counted over
-all training tokens. They are joined in the logistic domain by weights that a gate
-picks (how often the word so far has been seen, whether it has been followed by one bit
-only, and how well the longest hashed context is known); the weights are learned online.
-An adaptive table then refines the result by gate and value. A geometric hazard by
-position tells where a text ends. What comes out is the total of bits, as log10.
-
-No context reaches back beyond its word but one: the kind of text, out of a few kinds
-found by clustering. A document's probability is summed over the kinds, which is what
-predicting each word with the kinds reweighted by the words before it comes to; by Bayes'
-rule a word's probability in a kind is its spelling's, times the share of the kind among
-its occurrences over the kind's share of all. So the model scores each distinct word once,
-and a document's score comes from sums over its words. All learning is from training
-documents; scoring changes nothing, so that a document's score depends on its own text
-and the training documents only.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
+
+A text is its words (lower case A-Z, between ASCII spaces) and an end. Each word is a row
+of binary decisions, the bits of its path (word_codes.py); a word of fewer than two
+training tokens takes the path of level 0 and is then spelled, byte by byte and closed by
+a space, in eight decisions a byte.
+
+Every bit of a path is predicted in three contexts: no context, the last common word
+before it, and the two words before it. The latter two are hashed, and counted over all
+training texts; what a pair of counts means as a probability is itself learned, from all
+training decisions. Every bit of a spelling is predicted in four contexts, the last 1, 2, 3
+and 4 bytes, hashed, and counted over all words of one training token. A training token is
+left out of the counts that predict it, so that training and held-out texts are scored alike.
+
+The predictions are joined in the logistic domain by weights that a gate picks (how well
+the contexts are known). The weights begin at fixed values for each text and are learned
+online, block by block of its words; a table of what came at like predictions in this text
+then refines the result. Both sides of a bit always add to one. A path's bits that no
+context knows anything about are not mixed: their probability is the share of the word's
+level, and an equal part of it.
+
+So a score depends on the text itself and the training texts alone, not on how rows are
+dealt. The work is in chunks of texts and buckets of keys. A chunk sends each bucket its
+sorted distinct words, later its sorted distinct keys, once each with a count, and gets the
+totals back in the same order: a frequent word or passage costs a bucket one row a chunk.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from . import word_codes as codes
+from .common import remove, written
+from .word_codes import bundle, pack, pack_sorted, parts_of, unpack, unpack_sorted
 
 ORDERS = (1, 2, 3, 4)
-BITS = 20  # slots of an order's table: 2^BITS, each with a count of zeros and of ones
+BITS = 19  # slots of an order's table of spellings: 2^BITS, each with a count of zeros and of ones
 BLOCK = 1 << 16
-LEVELS, STATES, KNOWN = 24, 3, 3
-GATES = LEVELS * STATES * KNOWN
-BINS, REACH = 33, 12.0
-INPUTS = len(ORDERS) + 2
-SPACE = b" "
-MANY = 400_000
-PROFILE = 1024  # hashed byte pairs by which texts are clustered
-TRIPLES = 1 << 16  # hashed byte triples that tell a new word's kind
-SHARES = 16  # units in which a word's kinds are counted there
+DEPTH = codes.LEVEL_BITS + 64
+LAST, PAIR = 0, 1  # kinds of contexts: the last common word; the two words before
+STEPS_LAST, STEPS_PAIR = 6, 4
+WORD_GATES = STEPS_LAST * STEPS_PAIR
+GATES = WORD_GATES + len(ORDERS) + 1
+REACH = 12
+BINS, GROUPS = 2 * REACH + 1, 4
+STATES = 20
+ROW = "chunk long, kind string, part int, n long, data binary"
+SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
 @dataclass(frozen=True)
 class Params:
-    """texts: training texts, those whose doc_id hashes lowest, on which the search for kinds
-    begins, to go on over all of them for so many rounds at most; the mixing weights and the
-    refining table are learned on all training words, each piece of them gone over rounds times.
-    trust: occurrences that weigh as much as the spelling in telling a word's kind.
-    chunk_bytes: text that is scored with one lookup of its distinct words."""
-
-    texts: int = 2000
-    kinds: int = 6
-    trust: float = 0.5
-    tempered: float = 0.6
-    rounds: int = 4
-    rate: float = 0.05
-    chunk_bytes: int = 24 << 20
-    seed: int = 5
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return lowered(text).split()
-
-
-def place(t):
-    """The bucket of a position in a text, for where it ends."""
-    return np.floor(np.log2(np.asarray(t, np.float64) + 1)).astype(np.int64)
+    """common: training tokens from which a word is a context of its own. hot: training tokens
+    from which contexts are cut into pieces. chunk_bytes: text of a chunk. bucket_bytes: text
+    a bucket. most_buckets: of words, whose places are known to every task (64 numbers each).
+    rate, trust: of the weights learned in a text, and of the prediction in the refining table."""
+
+    common: int = 64
+    hot: int = 1 << 16
+    chunk_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
+    most_buckets: int = 1 << 15
+    step_tokens: int = 200_000
+    long_word: int = 4096
+    rate: float = 0.02
+    trust: float = 30.0
 
 
 def lowered(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
-def profile(data: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, side by side, of a lowered text."""
-    pair = np.frombuffer(data[: len(data) // 2 * 2], "<u2") * np.uint16(0x9E37) >> 6
-    total = np.bincount(pair, minlength=PROFILE)
-    return np.sqrt(total / max(1, total.sum()))
-
-
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([profile(lowered(x.as_py())).astype("<f4").tobytes() for x in batch.column(0)], pa.binary())], names=["profile"])
-
+def row(chunk: int, kind: str, part: int, data: bytes, n: int | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, kind, part, n, data), SCHEMA.types, strict=True)], schema=SCHEMA)
 
-def clustered(points: np.ndarray, kinds: int, seed: int, tries: int = 12) -> np.ndarray:
-    """Centres of unit length, by k-means on the sphere; the best of a few seeded beginnings."""
-    kinds = min(kinds, len(np.unique(points, axis=0)))
-    if kinds < 2:
-        return np.ones((1, PROFILE)) / np.sqrt(PROFILE)
-    best, rng = (-1.0, points[:1]), np.random.default_rng(seed)
-    for _ in range(tries):
-        centres = points[[rng.integers(len(points))]]
-        while len(centres) < kinds:
-            apart = np.maximum(0, 1 - (points @ centres.T).max(axis=1)) + 1e-12
-            centres = np.concatenate([centres, points[[rng.choice(len(points), p=apart / apart.sum())]]])
-        for _ in range(15):
-            near = np.argmax(points @ centres.T, axis=1)
-            sums = np.stack([points[near == k].sum(axis=0) if (near == k).any() else centres[k] for k in range(kinds)])
-            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        best = max(best, (float((points @ centres.T).max(axis=1).sum()), centres), key=lambda x: x[0])
-    return best[1]
 
+# -- texts to chunks
 
-def _sum_profiles(centres: np.ndarray):
-    """kind, sums: of the profiles nearest to each centre, in whole units, so that no order matters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(centres.shape, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                own = profile(lowered(text.as_py()))
-                sums[int(np.argmax(centres @ own))] += np.rint(own * (1 << 20)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["kind", "sums"])
-
-    return run
+class Index(dict):
+    """Words to numbers, in order of first use."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def _add_sums(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
-    return pa.table({"kind": table.column("kind")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
+class Chunk:
+    """Texts as numbers of their distinct words, which are sorted by hash when it is closed."""
 
-def settled(train: DataFrame, centres: np.ndarray, rounds: int) -> np.ndarray:
-    """The centres after rounds of k-means over all training texts."""
-    for _ in range(rounds if len(centres) > 1 else 0):
-        new = centres.copy()
-        for r in train.select("text").mapInArrow(_sum_profiles(centres), "kind int, sums binary").groupBy("kind").applyInArrow(_add_sums, "kind int, sums binary").collect():
-            own = np.frombuffer(r.sums, np.int64).astype(np.float64)
-            if own.any():
-                new[r.kind] = own / np.linalg.norm(own)
-        if np.array_equal(new, centres):
-            break
-        centres = new
-    return centres
+    def __init__(self, number: int) -> None:
+        self.number, self.size = number, 0
+        self.index, self.ids, self.held, self.tokens, self.sizes, self.parts = Index({codes.END: 0}), [], [], [], [], []
 
+    def add(self, doc_id: int | None, held: bool, text: str | None) -> None:
+        data = lowered(text)
+        said = data.split()
+        self.parts.append(np.fromiter(map(self.index.__getitem__, said), np.uint32, len(said)))
+        self.parts.append(np.zeros(1, np.uint32))
+        self.ids.append(doc_id)
+        self.held.append(held)
+        self.tokens.append(len(said) + 1)
+        self.sizes.append(len(data))
+        self.size += len(data) + 64
 
-def _count_words(centres: np.ndarray):
-    """word, kind, n: n counts training tokens and is 0 for words of held-out texts only. Keys
-    that begin with a space are no words but count texts: ` d` by kind; ` e` and ` g`
-    with a bucket of positions, those that end there and that go on."""
+    def rows(self, shift: int) -> Iterator[pa.RecordBatch]:
+        words = list(self.index)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        stream, held = np.concatenate(self.parts), np.asarray(self.held)
+        count = np.bincount(stream[np.repeat(~held, self.tokens)], minlength=len(words))[order]
+        hashes, stream = hashes[order], place[stream]
+        rare = [words[k] if k else b"" for k in order[count <= 1]]  # they may have to be spelled
+        ids = np.asarray([0 if x is None else x for x in self.ids], np.int64)
+        none = np.asarray([x is None for x in self.ids])
+        yield row(self.number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(np.asarray(self.tokens, np.int64)), pack(np.asarray(self.sizes, np.int64)), pack(stream), pack(count <= 1), zstandard.compress(b" ".join(rare), 1)))
+        ends = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
+        once = np.cumsum(np.concatenate([[0], count == 1]))
+        single = [words[k] if k else b"" for k in order[count == 1]]
+        for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if hi > lo:
+                own = single[once[lo] : once[hi]]
+                yield row(self.number, "words", b, bundle(pack_sorted(hashes[lo:hi]), pack(count[lo:hi]), zstandard.compress(b" ".join(own), 1)))
 
-    def rows(total: list[Counter], held: set[bytes]) -> Iterator[pa.RecordBatch]:
-        new = held.difference(*total)
-        for kind, own in [*enumerate(total), (0, dict.fromkeys(new, 0))]:
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array([kind] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["word", "kind", "n"])
 
+def _chunks(shift: int, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = [Counter() for _ in centres], set()
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
+        chunk = Chunk(number)
         for batch in batches:
-            for train, text in zip(batch.column(0), batch.column(1), strict=True):
-                data = lowered(text.as_py())
-                own = data.split()
-                if train.as_py():
-                    kind = total[int(np.argmax(centres @ profile(data)))]
-                    kind.update(own)
-                    n = len(own)
-                    last = int(place(n))
-                    kind[b" d"] += 1
-                    kind[b" e%d" % last] += 1
-                    for b in range(last + 1):
-                        kind[b" g%d" % b] += min(n, (2 << b) - 1) - ((1 << b) - 1)
-                else:
-                    held.update(own)
-                if sum(map(len, total)) + len(held) >= MANY:
-                    yield from rows(total, held)
-                    total, held = [Counter() for _ in centres], set()
-        yield from rows(total, held)
+            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chunk.add(doc_id, held, text)
+                if chunk.size >= p.chunk_bytes:
+                    yield from chunk.rows(shift)
+                    number += 1
+                    chunk = Chunk(number)
+        if chunk.ids:
+            yield from chunk.rows(shift)
 
     return run
 
 
+# -- spellings
+
+
 class Spelled:
     """Words as one row of symbols, each word closed by a space."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.symbols = np.frombuffer(SPACE.join([*words, b""]), np.uint8)
+        self.symbols = np.frombuffer(b" ".join([*words, b""]), np.uint8)
         self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.at = np.arange(len(self.symbols)) - np.repeat(self.starts, self.sizes)
 
     def back(self, k: int) -> np.ndarray:
@@ -216,415 +191,512 @@ def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> 13)) >> (32 - BITS)).astype(np.int64) << 1
 
 
-def triples(text: Spelled) -> np.ndarray:
-    return ((text.symbols.astype(np.uint32) << 16 | text.back(1) << 8 | text.back(2)) * np.uint32(0x9E3779B1)) >> 16
-
+def spelling_counts(words: list[bytes], tables: np.ndarray) -> None:
+    """Adds the bits of the words to tables (orders, slots of two)."""
+    for lo in range(0, len(words), 20_000):
+        text = Spelled(words[lo : lo + 20_000])
+        for table, context in zip(tables, text.contexts(), strict=True):
+            at = np.concatenate([slot(context, text.nodes(b)) + ((text.symbols >> (7 - b)) & 1) for b in range(8)])
+            table += np.bincount(at, minlength=table.size).astype(table.dtype)
 
-def _count_contexts(kinds: int):
-    """Blocks of the orders' tables and, after them, of the kinds of byte triples."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, by_kind = np.zeros((len(ORDERS), 2 << BITS), np.int32), np.zeros(TRIPLES * kinds, np.int32)
-        for batch in batches:
-            text = Spelled(batch.column(0).to_pylist())
-            for table, context in zip(tables, text.contexts(), strict=True):
-                at = np.concatenate([slot(context, text.nodes(b)) + ((text.symbols >> (7 - b)) & 1) for b in range(8)])
-                table += np.bincount(at, minlength=table.size).astype(np.int32)
-            share = np.stack([batch.column(k + 1).to_numpy() for k in range(kinds)], axis=1).astype(np.float64)
-            share = np.repeat(np.rint(SHARES * share / share.sum(axis=1, keepdims=True)), text.sizes, axis=0)
-            at = triples(text).astype(np.int64)[:, None] * kinds + np.arange(kinds)
-            by_kind += np.bincount(at.ravel(), share.ravel(), by_kind.size).astype(np.int32)
-        for k, block in enumerate([*tables.reshape(-1, BLOCK), *by_kind.reshape(-1, BLOCK)]):
-            if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], names=["block", "data"])
-
-    return run
+def as_bytes(tables: np.ndarray) -> np.ndarray:
+    """Pairs of counts as pairs of bytes: larger pairs are scaled down together, and no count
+    above 0 becomes 0."""
+    pairs = tables.reshape(*tables.shape[:-1], -1, 2)
+    share = 255 / np.maximum(pairs.max(axis=-1, keepdims=True), 255)
+    return np.maximum(np.rint(pairs * share), pairs > 0).astype(np.uint8).reshape(tables.shape)
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
     for x in table.column("data"):
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
-    return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+        total += np.frombuffer(zstandard.decompress(x.as_py()), np.int32)
+    return pa.table({"part": table.column("part")[:1], "data": pa.array([zstandard.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+
+
+# -- buckets of words
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket: to each chunk its words' counts and ranks; the words and tokens of each
+    level; the spellings of words of one training token."""
+    table = pa.Table.from_batches(batches)
+    part = table.column("part")[0].as_py()
+    chunks = table.column("chunk").to_pylist()
+    blobs = [parts_of(x) for x in table.column("data").to_pylist()]
+    own = [unpack_sorted(b[0], np.uint64) for b in blobs]
+    size = np.cumsum([0, *map(len, own)])
+    found, at = np.unique(np.concatenate(own), return_inverse=True)
+    came = [unpack(b[1], np.int64) for b in blobs]
+    count = np.bincount(at, np.concatenate(came), len(found)).astype(np.int64)
+    level = codes.levels(count)
+    order = np.argsort(level, kind="stable")
+    words = np.bincount(level, minlength=codes.LEVELS)
+    rank = np.empty(len(found), np.uint32)
+    rank[order] = np.arange(len(found)) - np.repeat(np.cumsum(words) - words, words)
+    tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
+    for k, (chunk, b) in enumerate(zip(chunks, blobs, strict=True)):
+        mine = at[size[k] : size[k + 1]]
+        yield row(chunk, "codes", part, bundle(pack(count[mine]), pack(rank[mine])))
+        alone = count[mine][came[k] == 1] == 1
+        if alone.any():
+            spelled = zstandard.decompress(b[2]).split(b" ")
+            spelling_counts([spelled[i] for i in np.flatnonzero(alone)], tables)
+    words[0] = np.count_nonzero(count == 1)  # of level 0 only those of a training token
+    yield row(-1, "levels", part, bundle(words.astype(np.int64).tobytes(), np.bincount(level, count, codes.LEVELS).astype(np.int64).tobytes()))
+    for k, block in enumerate(tables.reshape(-1, BLOCK)):
+        if block.any():
+            yield row(-1, "spellings", k, zstandard.compress(block.tobytes(), 1))
+
+
+# -- a chunk's keys
 
 
-def leading(words: list[bytes]) -> np.ndarray:
-    """The first three symbols of each word as a number."""
-    return np.fromiter((int.from_bytes((w[:3] + b" \0\0")[:3], "big") for w in words), np.int64, len(words))
+@dataclass
+class Dictionary:
+    """offsets: (buckets, levels), the ranks before each bucket's; words and tokens by level."""
 
+    offsets: np.ndarray
+    words: np.ndarray
+    tokens: np.ndarray
 
-class Trie:
-    """How many training tokens begin with the first d bits of a word, for every word and d.
+    def __post_init__(self) -> None:
+        self.bits = codes.rank_bits(self.words)
+        self.bits[0] = 0
+
+
+class Tokens:
+    """A chunk's tokens with the codes of their words."""
+
+    def __init__(self, rows: list[tuple[str, int, bytes]], d: Dictionary) -> None:
+        (texts,) = (parts_of(x) for kind, _, x in rows if kind == "texts")
+        replies = sorted((part, parts_of(x)) for kind, part, x in rows if kind == "codes")
+        self.ids, self.none, held = unpack(texts[0], np.int64), unpack(texts[1], bool), unpack(texts[2], bool)
+        self.held, self.tokens, self.sizes = held, unpack(texts[3], np.int64), unpack(texts[4], np.int64)
+        self.stream = unpack(texts[5], np.uint32)
+        self.rare = texts[6:8]
+        self.count = np.concatenate([unpack(b[0], np.int64) for _, b in replies])
+        self.level = codes.levels(self.count)
+        rank = np.concatenate([unpack(b[1], np.uint32) for _, b in replies]).astype(np.int64)
+        bucket = np.repeat([part for part, _ in replies], [len(unpack(b[0], np.int64)) for _, b in replies])
+        self.rank = rank + d.offsets[bucket, self.level]
+        self.first = np.cumsum(self.tokens) - self.tokens
+        self.text = np.repeat(np.arange(len(self.tokens)), self.tokens)
+        self.own = np.repeat(~held, self.tokens)
+        self.bits = d.bits
+
+    def keys(self, p: Params) -> list[tuple]:
+        """For each kind of context (kind, *tuple of word_codes.keys), places ascending."""
+        s, n = self.stream, len(self.stream)
+        uid = np.where(self.level > 0, self.level.astype(np.uint64) << np.uint64(40) | self.rank.astype(np.uint64), np.uint64(0))
+        first, here = self.first[self.text], np.arange(n)
+        level, rank = self.level[s], self.rank[s]
+        d = self.bits[level]
+        # the last common word before
+        last = np.maximum.accumulate(np.where(self.count[s] >= p.common, here, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        have = last >= first
+        word = s[np.maximum(last, 0)]
+        context = codes.mixed(np.where(have, uid[word], codes.START) * np.uint64(0x9E3779B97F4A7C15))
+        hot = ~have | (self.count[word] >= p.hot)
+        out = [(LAST, *x) for x in codes.keys(context, LAST, level, rank, d, hot)]
+        # the two words before; a word of level 0 has no other occurrence to learn from
+        one, two = s[np.maximum(here - 1, 0)], s[np.maximum(here - 2, 0)]
+        has_one, has_two = here - 1 >= first, here - 2 >= first
+        known = (~has_one | (self.level[one] > 0)) & (~has_two | (self.level[two] > 0))
+        at = np.flatnonzero(known)
+        one, two, has_one, has_two = one[at], two[at], has_one[at], has_two[at]
+        context = codes.mixed(np.where(has_one, uid[one], codes.START) * np.uint64(0xC2B2AE3D27D4EB4F))
+        context = codes.mixed((context ^ np.where(has_two, uid[two], codes.START)) * np.uint64(0x165667B19E3779F9))
+        hot = (~has_one | (self.count[one] >= p.hot)) & (~has_two | (self.count[two] >= p.hot))
+        return out + [(PAIR, at[x[0]], *x[1:]) for x in codes.keys(context, PAIR, level[at], rank[at], d[at], hot)]
+
+
+def _contexts(shift: int, d: Dictionary, p: Params):
+    """To each bucket the chunk's distinct keys in order, with their training tokens."""
 
-    Words come sorted, and all words of equal first three symbols together. Counts of
-    shorter beginnings are in `keys` (three symbols as a number, ascending) and `sums`
-    (tokens of all smaller keys), so that words of different beginnings can be on
-    different machines.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
+        tokens = Tokens(rows, d)
+        found = tokens.keys(p)
+        every = np.unique(np.concatenate([x[2] for x in found]))
+        taught, n = np.unique(np.concatenate([x[2][tokens.own[x[1]]] for x in found]), return_counts=True)
+        count = np.zeros(len(every), np.uint32)
+        count[np.searchsorted(every, taught)] = n
+        chunk = table.column("chunk")[0].as_py()
+        buckets = every >> np.uint64(shift) if shift < 64 else np.zeros(len(every), np.uint64)
+        edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0])) if len(every) else []
+        for lo, hi in zip([0, *edges], [*edges, len(every)], strict=True):
+            yield row(chunk, "keys", int(buckets[lo]), bundle(pack_sorted(every[lo:hi]), pack(count[lo:hi])))
 
-    def __init__(self, keys: np.ndarray, sums: np.ndarray) -> None:
-        self.keys, self.sums = keys, sums
-
-    def counts(self, text: Spelled, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(symbols, 9): before each bit of each symbol, and after the last."""
-        out = np.zeros((len(text.symbols), 9), np.int64)
-        for i in range(3):
-            have = np.flatnonzero(text.sizes > i)
-            for b in range(9):
-                shift = 24 - 8 * i - b
-                low = key[have] >> shift << shift
-                out[text.starts[have] + i, b] = self.sums[np.searchsorted(self.keys, low + (1 << shift))] - self.sums[np.searchsorted(self.keys, low)]
-        have = np.flatnonzero(text.sizes > 3)
-        group, i = key[have], 3
-        while len(have):
-            at = text.starts[have] + i
-            symbol = text.symbols[at].astype(np.int64) | 256
-            own = n[have]
-            for b in range(9):
-                run = (group << 9) | (symbol >> (8 - b))
-                new = np.flatnonzero(np.diff(run, prepend=-1))
-                out[at, b] = np.repeat(np.add.reduceat(own, new), np.diff(new, append=len(run)))
-            run = np.cumsum(np.diff(run, prepend=-1) != 0)
-            i += 1
-            stay = text.sizes[have] > i
-            have, group = have[stay], run[stay]
-        return out
+    return run
 
 
-@dataclass
-class Mixer:
-    """Counts of the hashed contexts, weights by gate, and the refining table."""
-
-    tables: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-
-    def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("tables", "weights", "refined")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-
-    def stretch(self) -> None:
-        """What scoring reads in place of the counts; learning, which leaves tokens out, does without."""
-        zero, one = self.tables[:, ::2].astype(np.float32), self.tables[:, 1::2].astype(np.float32)
-        self.stretched = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-        self.known = ((zero[-1] + one[-1] > 0).astype(np.int32) + (zero[-1] + one[-1] > 4)).astype(np.int32)
-
-    def inputs(self, text: Spelled, before: np.ndarray, once: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gates, bits) of all decisions, eight rows of symbols one after the other.
-        once: the words whose only training token is left out of the counts, to learn as
-        if it were new; for other words one token of several is left out."""
-        m = len(text.symbols)
-        x, gate = np.empty((INPUTS, 8, m), np.float32), np.empty((8, m), np.int32)
-        bits = np.unpackbits(text.symbols[:, None], axis=1).T.copy()
-        if once is None and not hasattr(self, "stretched"):
-            self.stretch()
-        less, alone = (0, None) if once is None else (1, np.repeat(once, text.sizes).astype(np.int32))
-        contexts = list(text.contexts())
-        for b in range(8):
-            node, after, bit = before[:, b], before[:, b + 1], bits[b] == 1
-            came, other = np.maximum(after - less, 0).astype(np.float32), np.maximum(node - after, 0).astype(np.float32)
-            one, zero = np.where(bit, came, other), np.where(bit, other, came)
-            x[0, b] = np.log((one + np.float32(0.02)) / (zero + np.float32(0.02)))
-            level = np.minimum(np.log2(came + other + 1), LEVELS - 1).astype(np.int32)
-            state = np.where(one == 0, 0, np.where(zero == 0, 1, 2))
-            symbols = text.nodes(b)
-            for k, context in enumerate(contexts):
-                at = slot(context, symbols)
-                if alone is None:
-                    x[k + 1, b] = self.stretched[k][at >> 1]
-                    known = self.known[at >> 1] if k == len(contexts) - 1 else None
-                    continue
-                zero, one = self.tables[k][at].astype(np.int32), self.tables[k][at + 1].astype(np.int32)
-                one, zero = np.maximum(one - alone * bits[b], 0), np.maximum(zero - alone * (1 - bits[b]), 0)
-                x[k + 1, b] = np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-                known = (zero + one > 0).astype(np.int32) + (zero + one > 4)
-            gate[b] = (level * STATES + state) * KNOWN + known
-        x[-1] = 0.3
-        return x.reshape(INPUTS, -1), gate.ravel(), bits.ravel()
+# -- buckets of keys
 
-    @staticmethod
-    def bins(stretched: np.ndarray) -> np.ndarray:
-        return np.rint((np.clip(stretched, -REACH, REACH) + REACH) * ((BINS - 1) / (2 * REACH))).astype(np.int32)
-
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(x.shape[1], np.float32)
-        for row, own in zip(x, self.weights.T.astype(np.float32), strict=True):
-            total += row * own[gate]
-        return np.clip(total, -REACH, REACH)
-
-    def probability(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """Of the bits that came."""
-        stretched = self.mix(x, gate)
-        one = np.float32(0.5) / (1 + np.exp(-stretched))
-        one += np.float32(0.5) * self.refined.astype(np.float32).ravel()[gate * BINS + self.bins(stretched)]
-        return np.where(bits == 1, one, 1 - one)
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, seen: np.ndarray, p: Params, step: int = 4096) -> None:
-        """Weights online, block by block in the order given, each coordinate's steps scaled by
-        its past, which is kept in seen."""
-        for _ in range(p.rounds):
-            for at in range(0, len(bits), step):
-                part = slice(at, at + step)
-                g, xs = gate[part], x[:, part]
-                gap = (bits[part] - 1 / (1 + np.exp(-self.mix(xs, g)))) * weight[part]
-                push = np.stack([np.bincount(g, gap * row, minlength=GATES) for row in xs], axis=1)
-                seen += push**2
-                self.weights += p.rate * push / np.sqrt(seen)
-
-
-def to_bytes(tables: np.ndarray) -> np.ndarray:
-    """Counts as bytes: larger pairs are scaled down together, and no count above 0 becomes 0."""
-    pairs = tables.reshape(*tables.shape[:-1], -1, 2)
-    share = 255 / np.maximum(pairs.max(axis=-1, keepdims=True), 255)
-    return np.maximum(np.rint(pairs * share), pairs > 0).astype(np.uint8).reshape(tables.shape)
 
+def _paths(bits: np.ndarray):
+    """One bucket: to each chunk the training tokens at every node of its keys' paths; and how
+    often a training token's bit had which counts, in its context before and after it."""
 
-def new_mixer(tables: np.ndarray) -> Mixer:
-    weights = np.tile([0.9, *[0.03] * len(ORDERS), 0.0], (GATES, 1))  # at first the word so far has most of the say
-    middle = np.linspace(-REACH, REACH, BINS)
-    return Mixer(tables, weights, np.tile(1 / (1 + np.exp(-middle)), (GATES, 1)))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 8_000) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """(words, their counts by kind, their beginnings) from rows sorted by key, in pieces that
-    hold every word of their keys, sorted as the trie needs it. The key is the first three
-    symbols; the closing space is part of a word."""
-
-    def piece(words: list[bytes], counts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        order = sorted(range(len(words)), key=lambda k: words[k] + SPACE)
-        words = [words[k] for k in order]
-        return words, counts[order], leading(words)
-
-    words: list[bytes] = []
-    counts: np.ndarray | None = None
-    for batch in batches:
-        words += batch.column(0).to_pylist()
-        new = np.stack([x.to_numpy() for x in batch.columns[1:]], axis=1)
-        counts = new if counts is None else np.concatenate([counts, new])
-        while len(words) > rows:
-            last = words[-1][:3] + SPACE
-            cut = len(words) - 1
-            while cut and (words[cut - 1][:3] + SPACE)[:3] == last[:3]:
-                cut -= 1
-            if not cut:
-                break
-            yield piece(words[:cut], counts[:cut])
-            words, counts = words[cut:], counts[cut:]
-    if words:
-        yield piece(words, counts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        part = table.column("part")[0].as_py()
+        chunks = table.column("chunk").to_pylist()
+        blobs = [parts_of(x) for x in table.column("data").to_pylist()]
+        own = [unpack_sorted(b[0], np.uint64) for b in blobs]
+        size = np.cumsum([0, *map(len, own)])
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")
+        new = np.diff(every[order], prepend=~every[order[0]]) != 0
+        at = np.empty(len(every), np.int64)
+        at[order] = np.cumsum(new) - 1
+        found = every[order[new]]
+        n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
+        del every, order, new, own
+        nodes, seen = nodes_of(found, n, bits)
+        for kind, cells in enumerate(seen):
+            for cell in np.flatnonzero(cells):
+                yield row(-1, "states", int(kind << 16 | cell), b"", int(cells[cell]))
+        for k, chunk in enumerate(chunks):
+            mine = nodes[:, at[size[k] : size[k + 1]]]
+            yield row(chunk, "paths", part, bundle(len(mine).to_bytes(4, "little"), zstandard.compress(np.diff(mine, axis=0, prepend=np.zeros((1, mine.shape[1]), np.uint8)).tobytes(), 1)))
 
+    return run
 
-def _decisions(batches: Iterator[pa.RecordBatch], trie: Trie, mixer: Mixer, scale: float):
-    """Inputs, gates, bits and weights of all decisions of training words, in pieces: words by
-    hash, a word's decisions side by side. A word weighs its count times scale."""
-    for words, counts, key in _groups(batches, 2_000):
-        n, text = counts.sum(axis=1), Spelled(words)
-        before = trie.counts(text, key, n)
-        order = np.asarray(sorted(range(len(words)), key=lambda k: hash_order(words[k])))
-        for part in np.split(order, range(2_000, len(order), 2_000)):  # words of one beginning can be many
-            own = Spelled([words[k] for k in part])
-            at = np.arange(len(own.symbols)) + np.repeat(text.starts[part] - own.starts, own.sizes)
-            x, gate, bits = mixer.inputs(own, before[at], n[part] == 1)
-            turn = np.arange(len(bits)).reshape(8, -1).T.ravel()
-            yield x[:, turn], gate[turn], bits[turn], np.repeat(n[part] * scale, 8 * own.sizes)
 
+def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct keys with counts: the counts (as_byte) after 0, 1, ... bits, by
+    row, up to where every key is alone; and for each kind of context the training tokens
+    whose bit had count a before it and b after it, at a << 8 | b."""
+    size = codes.bits_of(found, bits)
+    kind = (found >> np.uint64(codes.CODE_BITS + 1) & np.uint64(1)).astype(np.int64)
+    alone = codes.as_byte(n)
+    seen = np.zeros((2, 1 << 16), np.int64)
+    rows, act, before = [], np.arange(len(found)), None
+    for j in range(codes.CODE_BITS + 1):
+        prefix = found[act] >> np.uint64(codes.CODE_BITS - j)
+        edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
+        width = np.diff(edge, append=len(act))
+        here = np.repeat(codes.as_byte(np.add.reduceat(n[act], edge)), width)
+        new = rows[-1].copy() if rows else np.empty(len(found), np.uint8)
+        new[act] = here
+        rows.append(new)
+        if before is not None:
+            real = size[act] >= j
+            cell = before[real].astype(np.int64) << 8 | here[real]
+            seen += np.bincount(kind[act][real] << 16 | cell, n[act][real], 2 << 16).astype(np.int64).reshape(2, -1)
+        lone = np.repeat(width == 1, width)
+        out = act[lone]
+        cell = alone[out].astype(np.int64) * 257
+        seen += np.bincount(kind[out] << 16 | cell, n[out] * np.maximum(size[out] - j, 0), 2 << 16).astype(np.int64).reshape(2, -1)
+        act, before = act[~lone], here[~lone]
+        if not len(act):
+            break
+    return np.stack(rows), seen
 
-def _learn(trie: Trie, mixer: Mixer, scale: float, p: Params):
-    """gate, data: the weight of a part's decisions, and the mixing weights it learned times that."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mixer.weights.copy()  # a worker may run this again
-        seen, mass = np.full(weights.shape, 1e-3), np.zeros(GATES)
-        for x, gate, bits, weight in _decisions(batches, trie, mixer, scale):
-            mixer.learn(x, gate, bits, weight, seen, p)
-            mass += np.bincount(gate, weight, minlength=GATES)
-        yield from _by_gate(mass, np.concatenate([mass[:, None], mass[:, None] * mixer.weights], axis=1))
-        mixer.weights = weights
+# -- predictions
 
-    return run
 
+def state_of(n: np.ndarray) -> np.ndarray:
+    """Counts to the numbers 0 to 19: exact up to 4, then in steps of two thirds of a doubling."""
+    n = np.maximum(np.asarray(n, np.float64), 0)
+    return np.where(n <= 4, n, np.minimum(4 + np.floor(1.5 * np.log2(np.maximum(n, 4) / 4)), STATES - 1)).astype(np.int64)
 
-def _refine(trie: Trie, mixer: Mixer, scale: float):
-    """gate, data: the weight of the decisions in each bin, and of those that were ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, GATES * BINS))
-        for x, gate, bits, weight in _decisions(batches, trie, mixer, scale):
-            at = gate * BINS + mixer.bins(mixer.mix(x, gate))
-            total += [np.bincount(at, w, minlength=GATES * BINS) for w in (weight, weight * bits)]
-        out = total.reshape(2, GATES, BINS)
-        yield from _by_gate(out[0].sum(axis=1), np.concatenate([out[0], out[1]], axis=1))
+def stretched(p):
+    return np.log(p) - np.log1p(-p)
 
-    return run
 
+def learned_states(seen: np.ndarray) -> np.ndarray:
+    """(2, 65536): for no and for one token left out, the stretched probability of the side
+    that came, by the counts before it and after it."""
+    a, b = codes.COUNT[np.arange(1 << 16) >> 8], codes.COUNT[np.arange(1 << 16) & 255]
+    total = np.zeros((STATES, STATES))
+    np.add.at(total, (state_of(b - 1), state_of(a - b)), seen)
+    middle = np.asarray([k if k <= 4 else 4 * 2 ** ((k - 3.5) / 1.5) for k in range(STATES)])
+    prior = (middle[:, None] + 0.2) / (middle[:, None] + middle[None, :] + 0.4)
+    p = (total + 4 * prior) / (total + total.T + 4)
+    table = stretched(np.clip(p, 1e-6, 1 - 1e-6))
+    return np.stack([table[state_of(b - own), state_of(a - b)] for own in (0, 1)]).astype(np.float32)
 
-def _by_gate(mass: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-    some = np.flatnonzero(mass)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([data[k].tobytes() for k in some], pa.binary())], names=["gate", "data"])
 
+def steps(edges: tuple[int, ...]) -> np.ndarray:
+    """(2, 256): how well a context is known, by its count, for no and for one token left out."""
+    return np.stack([np.searchsorted(edges, np.maximum(codes.COUNT - own, 0), side="right") for own in (0, 1)]).astype(np.uint8)
 
-def _add_gates(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in sorted(table.column("data").to_pylist()))  # the same sum in any order
-    return pa.table({"gate": table.column("gate")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
+KNOWN_LAST, KNOWN_PAIR = steps((1, 2, 4, 16, 128)), steps((1, 2, 4))
 
-def gates(parts: DataFrame) -> dict[int, np.ndarray]:
-    return {r.gate: np.frombuffer(r.data, np.float64) for r in parts.groupBy("gate").applyInArrow(_add_gates, "gate int, data binary").collect()}
 
+def begin() -> np.ndarray:
+    """(inputs, gates): the weights at the beginning of a text. Inputs of a path's bits are no
+    context, the last common word and the two words before; of a spelling's, the orders."""
+    out = np.zeros((4, GATES), np.float32)
+    for last, w in enumerate(START_LAST):
+        for pair, v in enumerate(START_PAIR):
+            out[:3, last * STEPS_PAIR + pair] = w[0] * (1 - v), w[1] * (1 - v), v
+    for known, w in enumerate(START_SPELLED):
+        out[:, WORD_GATES + known] = w
+    return out
 
-@dataclass
-class Kinds:
-    """tokens and types: each kind's share of them; triples: types with a byte triple, by kind."""
 
-    tokens: np.ndarray
-    types: np.ndarray
-    triples: np.ndarray
+START_LAST = ((1.0, 0.0), (0.9, 0.3), (0.8, 0.5), (0.7, 0.6), (0.45, 0.75), (0.15, 0.9))
+START_PAIR = (0.0, 0.8, 0.9, 0.95)
+START_SPELLED = ((0.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0), (0.2, 0.9, 0.0, 0.0), (0.0, 0.3, 0.8, 0.0), (0.0, 0.1, 0.4, 0.6))
+GROUP = np.asarray([(g % STEPS_PAIR > 0) * 1 for g in range(WORD_GATES)] + [2 + (k > 2) for k in range(len(ORDERS) + 1)])
 
-    def ratios(self, text: Spelled, counts: np.ndarray, p: Params) -> np.ndarray:
-        """log10 of the share of each kind among a word's occurrences, over its share of all. What
-        the occurrences do not tell is told by the spelling."""
-        own = self.triples[triples(text)]
-        own = np.log((own + self.types) / (own.sum(axis=1, keepdims=True) + 1) / self.types)
-        guess = np.log(self.types) + p.tempered * np.add.reduceat(own, text.starts, axis=0)
-        guess = np.exp(guess - guess.max(axis=1, keepdims=True))
-        guess /= guess.sum(axis=1, keepdims=True)
-        share = (counts + p.trust * guess) / (counts.sum(axis=1, keepdims=True) + p.trust)
-        return np.log10(np.maximum(share, 1e-6) / self.tokens)
+
+@dataclass
+class Model:
+    dictionary: Dictionary
+    states: np.ndarray
+    spellings: np.ndarray
+    p: Params
+    begin: np.ndarray = field(default_factory=begin)
+
+    def __post_init__(self) -> None:
+        d = self.dictionary
+        mass = np.where(d.words > 0, d.tokens + 0.5, 1e-3)
+        mass[0] = d.words[0] + 0.5  # tokens that would be new, were they left out
+        node = lambda level, j: mass.reshape(1 << j, -1).sum(axis=1)[level >> (codes.LEVEL_BITS - j)]
+        every = np.arange(codes.LEVELS)
+        at = np.stack([node(every, j) for j in range(codes.LEVEL_BITS + 1)])
+        self.level_bit = stretched(np.clip(at[1:] / at[:-1], 1e-9, 1 - 1e-9)).astype(np.float32)
+        self.level_rest = np.log(mass) - np.log(at) - np.log(np.maximum(d.words, 1)) * (every > 0)
+        k = np.arange(256, dtype=np.float32)
+        self.logs = np.log(k + np.float32(0.4))
+
+    def path_bits(self, t: Tokens, lo: int, hi: int, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
+        """(token, gate, inputs) of the bits to mix of tokens lo to hi; last, pair: counts at
+        their nodes (depth, token). rest takes the log probability of the others."""
+        d, own = self.dictionary, t.own[lo:hi].astype(np.int64)
+        level = t.level[t.stream[lo:hi]].astype(np.int64)
+        rank, bits, words = t.rank[t.stream[lo:hi]], d.bits[level].astype(np.int64), d.words[level]
+        act = np.arange(hi - lo)
+        for j in range(last.shape[0] - 1):
+            mine = own[act]
+            a, c = last[j, act], pair[j, act]
+            some = (a > mine) | (c > mine)
+            if j <= codes.LEVEL_BITS:
+                out = act[~some]
+                rest[out] += self.level_rest[j, level[out]]
+                size = words[act[some]] if j == codes.LEVEL_BITS else None
+            else:
+                size = self.below(rank[act], bits[act], words[act], j - codes.LEVEL_BITS)
+                rest[act[~some]] -= np.log(size[~some])
+                size = size[some]
+            act, mine, a, c = act[some], mine[some], a[some], c[some]
+            stay = np.flatnonzero(j < codes.LEVEL_BITS + bits[act])  # the path of the others is complete
+            act, mine, a, c = act[stay], mine[stay], a[stay], c[stay]
+            if not len(act):
+                return
+            if j < codes.LEVEL_BITS:
+                x0 = self.level_bit[j, level[act]]
+            else:
+                size, after = size[stay], self.below(rank[act], bits[act], words[act], j + 1 - codes.LEVEL_BITS)
+                with np.errstate(divide="ignore"):
+                    x0 = np.minimum(np.log(after / (size - after)), 30).astype(np.float32)
+            sure = np.flatnonzero(x0 < 30)  # else no word is on the other side
+            token, mine, a, c = act[sure], mine[sure], a[sure], c[sure]
+            x = np.zeros((4, len(token)), np.float32)
+            x[0] = x0[sure]
+            x[1] = self.states[LAST, mine, a.astype(np.int64) << 8 | last[j + 1, token]]
+            x[2] = self.states[PAIR, mine, c.astype(np.int64) << 8 | pair[j + 1, token]]
+            yield token, KNOWN_LAST[mine, a] * np.uint8(STEPS_PAIR) + KNOWN_PAIR[mine, c], x
+
+    @staticmethod
+    def below(rank: np.ndarray, bits: np.ndarray, words: np.ndarray, j: int) -> np.ndarray:
+        """Words of the level whose ranks have the same first j bits."""
+        left = np.maximum(bits - j, 0)
+        low = rank >> left << left
+        return np.minimum(words, low + (1 << left)) - low
+
+    def spelled_bits(self, words: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, gate, inputs) of all bits of the words' spellings; own: those to leave out."""
+        text = Spelled(words)
+        word, m = np.repeat(np.arange(len(words)), text.sizes), len(text.symbols)
+        less = own[word].astype(np.int32)
+        x, gate = np.empty((4, 8, m), np.float32), np.full((8, m), WORD_GATES, np.uint8)
+        contexts = list(text.contexts())
+        for b in range(8):
+            node, bit = text.nodes(b), (text.symbols >> (7 - b)) & 1
+            for k, context in enumerate(contexts):
+                at = slot(context, node)
+                came = np.maximum(self.spellings[k][at + bit].astype(np.int32) - less, 0)
+                other = self.spellings[k][at + 1 - bit]
+                x[k, b] = self.logs[came] - self.logs[other]
+                gate[b][came + other > 0] = WORD_GATES + k + 1
+        return np.tile(word, 8), gate.ravel(), x.reshape(4, -1)
+
+    def mixed(self, text: np.ndarray, block: np.ndarray, gate: np.ndarray, x: np.ndarray, texts: int) -> np.ndarray:
+        """Log probabilities of the texts' bits: weights are learned block after block."""
+        p = self.p
+        order = np.argsort(block, kind="stable")
+        text, gate, x = text[order], gate[order].astype(np.int64), x[:, order]
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+        weights = np.tile(self.begin, (1, texts))
+        seen, hits, total = np.zeros(texts * GATES, np.float32), np.zeros(texts * GROUPS * BINS, np.float32), np.zeros(texts)
+        for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
+            t, g, own = text[lo:hi], gate[lo:hi], x[:, lo:hi]
+            at = t * GATES + g
+            logit = own[0] * weights[0][at]
+            for k in (1, 2, 3):
+                logit += own[k] * weights[k][at]
+            logit = np.clip(logit, -REACH, REACH)
+            one = 1 / (1 + np.exp(-logit))
+            bins = (t * GROUPS + GROUP[g]) * BINS + REACH
+            step = np.rint(logit).astype(np.int64)
+            came = hits[bins + step]
+            refined = (came + p.trust * one) / (came + hits[bins - step] + p.trust)
+            total += np.bincount(t, np.log(refined), texts)
+            gap = 1 - one
+            seen += np.bincount(at, minlength=len(seen)).astype(np.float32)
+            scale = p.rate / np.sqrt(1 + seen / 16)
+            for k in range(4):
+                weights[k] += scale * np.bincount(at, gap * own[k], len(seen)).astype(np.float32)
+            hits += np.bincount(bins + step, minlength=len(hits)).astype(np.float32)
+        return total
+
+
+def block_of(place: np.ndarray) -> np.ndarray:
+    """Blocks of 8, 8, 16, 32, 64 and then 128 words."""
+    place = np.asarray(place, np.int64)
+    early = np.floor(np.log2(np.maximum(place, 4) / 4)).astype(np.int64)
+    return np.where(place < 128, early, 4 + place // 128).astype(np.uint32)
+
+
+class Paths:
+    """The counts that the buckets of keys sent for a chunk's keys."""
+
+    def __init__(self, t: Tokens, rows: list[tuple[str, int, bytes]], p: Params) -> None:
+        found = t.keys(p)
+        every, at = np.unique(np.concatenate([x[2] for x in found]), return_inverse=True)
+        ends = np.cumsum([0, *(len(x[2]) for x in found)])
+        self.found = [(kind, places, at[a:b], before, size) for (kind, places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+        replies = [parts_of(x) for _, x in sorted((part, x) for kind, part, x in rows if kind == "paths")]
+        sizes = [int.from_bytes(r[0], "little") for r in replies]
+        self.nodes, done = np.empty((max(sizes), len(every)), np.uint8), 0
+        for n, (_, data) in zip(sizes, replies, strict=True):
+            own = np.add.accumulate(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1), axis=0, dtype=np.uint8)
+            self.nodes[:n, done : done + own.shape[1]] = own
+            self.nodes[n:, done : done + own.shape[1]] = own[-1]
+            done += own.shape[1]
+
+    def of(self, kind: int, lo: int, hi: int, depth: int) -> np.ndarray:
+        """(depth + 1, tokens): the counts at the nodes of the tokens' paths in such contexts."""
+        out = np.zeros((depth + 1, hi - lo), np.uint8)
+        for own, places, at, before, size in self.found:
+            if own == kind:
+                a, b = np.searchsorted(places, (lo, hi))
+                for j in range(int(size[a:b].max(initial=-1)) + 1):
+                    some = np.flatnonzero(size[a:b] >= j) + a
+                    out[before[some] + j, places[some] - lo] = self.nodes[min(j, len(self.nodes) - 1), at[some]]
+        return out
 
 
-def _spell(trie: Trie, mixer: Mixer, kinds: Kinds, p: Params):
-    """log10 of each word's probability, and of each kind's share over its usual one."""
+def _score(model: Model):
+    """A chunk's texts with the counts of its words and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, counts, key in _groups(batches):
-            n, text = counts.sum(axis=1), Spelled(words)
-            came = mixer.probability(*mixer.inputs(text, trie.counts(text, key, n), None))
-            out = np.add.reduceat(np.log10(came).reshape(8, -1).sum(axis=0, dtype=np.float64), text.starts).astype(np.float32)
-            ratios = kinds.ratios(text, counts, p).astype("<f2")
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(out), pa.array([r.tobytes() for r in ratios], pa.binary())], names=["word", "n", "spelled", "ratios"])
+        table = pa.Table.from_batches(batches)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
+        t = Tokens(rows, model.dictionary)
+        yield scores_of(t, Paths(t, rows, model.p), model)
 
     return run
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    found: set[bytes] = set()
-    for x in table.column("text"):
-        found.update(words_of(x.as_py()))
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(found, pa.binary())})
-
-
-def _score(train_tokens: int, distinct: int, go: np.ndarray, end: np.ndarray, prior: np.ndarray):
-    """One chunk's documents with the values of its distinct words."""
-    ends = int(end.sum())
-    below = np.log10(train_tokens + 0.1 * (distinct + 1))
-    stop = np.log10((end + 0.5) / (end + go + 1))
-    on = np.log10((go + 0.5) / (end + go + 1))
-    # going on through all positions of the buckets before b
-    through = np.concatenate([[0], np.cumsum(on * 2.0 ** np.arange(len(on)))])
-
-    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        # frequent words first: their entries then lie together in memory
-        values = values.take(pa.array(np.argsort(-values.column("n").to_numpy(), kind="stable")))
-        words = values.column("word").to_pylist()
-        at = dict(zip(words, range(len(words)), strict=True))
-        n = values.column("n").to_numpy()
-        base = np.log10(n + 0.1) - below
-        ratios = np.frombuffer(b"".join(values.column("ratios").to_pylist()), "<f2").reshape(-1, len(prior))
-        # a word's other values side by side, so that they come with one memory access
-        own = np.concatenate([(n > 0)[:, None], values.column("spelled").to_numpy()[:, None], ratios], axis=1).astype(np.float32)
-        rows = []
-        last = np.log10(ends + 0.1) - below
-        for text in docs.column("text"):
-            said = words_of(text.as_py())
-            size = len(said)
-            k = np.fromiter(map(at.__getitem__, said), np.int64, size)
-            sums = own[k].sum(axis=0, dtype=np.float64)
-            kinds = prior + sums[2:]
-            best = kinds.max()
-            b = (size + 1).bit_length() - 1
-            length = through[b] + on[b] * (size + 1 - (1 << b)) + stop[b]
-            rows.append((size + 1, int(sums[0]) + (ends > 0), base[k].sum() + last, sums[1] + best + np.log10((10.0 ** (kinds - best)).sum()) + length))
-        tokens, n_known, low, score = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([train_tokens] * len(rows), pa.int64()), "base_score": pa.array(low, pa.float64()), "score": pa.array(score, pa.float64()),
-        })
+def scores_of(t: Tokens, paths: Paths, model: Model) -> pa.RecordBatch:
+    p, d = model.p, model.dictionary
+    n = int(d.tokens.sum())
+    distinct = int(d.words.sum())
+    low = np.log10(t.count + 0.1) - np.log10(n + 0.1 * (distinct + 1))
+    base = np.add.reduceat(low[t.stream], t.first)
+    known = np.add.reduceat((t.count > 0)[t.stream].astype(np.int64), t.first)
+    rare = dict(zip(np.flatnonzero(unpack(t.rare[0], bool)).tolist(), zstandard.decompress(t.rare[1]).split(b" "), strict=False))
+    score, ends, lo = np.zeros(len(t.tokens)), np.cumsum(t.tokens), 0
+    while lo < len(t.tokens):
+        hi = max(lo + 1, int(np.searchsorted(ends, t.first[lo] + p.step_tokens, side="right")))
+        score[lo:hi] = some_scores(t, paths, model, rare, lo, hi)
+        lo = hi
+    score /= np.log(10)
+    bits = np.where(t.sizes > 0, -score * np.log2(10) / np.maximum(t.sizes, 1), np.nan)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(t.ids, mask=t.none), pa.array(t.held), pa.array(t.tokens), pa.array(known), pa.array(np.full(len(t.tokens), n)), pa.array(base), pa.array(score), pa.array(bits, from_pandas=True)],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
+    )
+
+
+def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], lo: int, hi: int) -> np.ndarray:
+    """Natural logs of the probabilities of texts lo to hi."""
+    a, b = int(t.first[lo]), int(t.first[hi - 1] + t.tokens[hi - 1])
+    text, place = t.text[a:b] - lo, np.arange(a, b) - t.first[t.text[a:b]]
+    block = block_of(place)
+    depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
+    rest = np.zeros(b - a)
+    decisions = list(model.path_bits(t, a, b, paths.of(LAST, a, b, depth + 1), paths.of(PAIR, a, b, depth + 1), rest))
+    spelled = np.flatnonzero(t.level[t.stream[a:b]] == 0)
+    words = [rare[k] for k in t.stream[a:b][spelled].tolist()]
+    long = np.asarray([len(w) > model.p.long_word for w in words], bool)
+    if long.any():
+        for k in np.flatnonzero(long):
+            rest[spelled[k]] += model.long_word(words[k], bool(t.own[a + spelled[k]]))
+        words, spelled = [w for w, x in zip(words, long, strict=True) if not x], spelled[~long]
+    if words:
+        word, gate, x = model.spelled_bits(words, t.own[a:b][spelled])
+        decisions.append((spelled[word], gate, x))
+    out = np.bincount(text, rest, hi - lo)
+    if decisions:
+        token = np.concatenate([x[0] for x in decisions])
+        out += model.mixed(text[token], block[token], np.concatenate([x[1] for x in decisions]), np.concatenate([x[2] for x in decisions], axis=1), hi - lo)
+    return out
 
-    return run
 
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def power_above(x: float) -> int:
+    """The smallest b for which 2^b is at least x."""
+    return max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
-def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every
-    row of docs(doc_id, text).
 
-    The model learns from the rows for which held_out is not true. Null and empty texts
-    are an end token alone. Rows that repeat count, and are scored, as often as they occur.
-    Extra columns are ignored. Without training rows every count is 0 and each bit
-    of the spelling costs about one bit; an empty table gives no rows.
+def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and
+    bits_per_byte of every row of docs(doc_id, text).
+
+    The model learns from the rows for which held_out is not true. Null and empty texts are
+    an end token alone, and have no bits per byte. Rows that repeat count, and are scored, as
+    often as they occur; doc_id is only carried along and may be null. Extra columns are
+    ignored. Without training rows every count is 0 and each bit of a spelling costs one
+    bit; an empty table gives no rows. A word of more than p.long_word bytes is spelled with
+    the weights a text begins with.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    train = rows.where(~F.col("held_out"))
-    ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.texts)
-    sample = train.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")  # at most p.texts ids
-    points = [np.frombuffer(r.profile, "<f4") for r in sample.mapInArrow(_profiles, "profile binary").collect()]
-    points = np.asarray(sorted(points, key=lambda x: x.tobytes()), np.float64).reshape(-1, PROFILE)
-    centres = settled(train, clustered(points, p.kinds, p.seed), p.rounds)
-    kinds = [f"n{k}" for k in range(len(centres))]
-    counted = rows.select(~F.col("held_out"), "text").mapInArrow(_count_words(centres), "word binary, kind int, n long")
-    counted = counted.groupBy("word").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in enumerate(kinds)))
-    counted = written(counted, "words")
-    marks = counted.where(F.substring("word", 1, 1) == F.lit(SPACE)).collect()  # at most two for each power of two, and one
-    go, end, texts = np.zeros(64), np.zeros(64), np.zeros(len(kinds))
-    for r in marks:
-        own = np.asarray(r[1:], np.float64)
-        if r.word == b" d":
-            texts += own
-        else:
-            (end if bytes(r.word)[1:2] == b"e" else go)[int(bytes(r.word)[2:])] += own.sum()
-    all_ = sum((F.col(x) for x in kinds[1:]), F.col(kinds[0]))
-    words = counted.where(F.substring("word", 1, 1) != F.lit(SPACE))
-    sums = words.agg(F.coalesce(F.sum(all_), F.lit(0)).alias("n"), F.count(F.when(all_ > 0, 1)).alias("v"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in kinds)).first()
-    blocks = words.where(all_ > 0).coalesce(12).mapInArrow(_count_contexts(len(kinds)), "block int, data binary").groupBy("block").applyInArrow(_add_blocks, "block int, data binary")
-    tables, by_kind = np.zeros((len(ORDERS), 2 << BITS), np.int32), np.zeros((TRIPLES, len(kinds)), np.int32)
-    first_kind = tables.size // BLOCK
-    for r in blocks.collect():  # the tables, whose size is fixed
-        (tables.reshape(-1, BLOCK) if r.block < first_kind else by_kind.reshape(-1, BLOCK))[r.block % first_kind] = np.frombuffer(zlib.decompress(r.data), np.int32)
-    start = F.rpad(F.substring(F.concat("word", F.lit(SPACE)), 1, 3), F.lit(3), F.lit(b"\0"))
-    first = words.groupBy(start.alias("start")).agg(F.sum(all_).alias("n")).collect()  # at most 2^24
-    first.sort(key=lambda r: bytes(r.start))
-    keys = np.asarray([int.from_bytes(r.start, "big") for r in first], np.int64)
-    trie = Trie(keys, np.cumsum([0, *(r.n for r in first)]))
-    dealt = words.repartition(partitions(spark), start).sortWithinPartitions(start, "word")
-    tables = to_bytes(tables)
-    mixer = new_mixer(tables)
-    if sums.n:
-        # only training words, so that pieces and parts do not depend on held-out texts
-        taught = words.where(all_ > 0).repartition(partitions(spark), start).sortWithinPartitions(start, "word")
-        scale = sums.v / sums.n
-        for g, own in gates(taught.mapInArrow(_learn(trie, mixer, scale, p), "gate int, data binary")).items():
-            mixer.weights[g] = own[1:] / own[0]
-        for g, own in gates(taught.mapInArrow(_refine(trie, mixer, scale), "gate int, data binary")).items():
-            mixer.refined[g] = np.clip((own[BINS:] + 4 * mixer.refined[g]) / (own[:BINS] + 4), 1e-6, 1 - 1e-6)
-    spread = lambda x: (np.asarray(x, np.float64) + 0.5) / (np.sum(x) + 0.5 * len(kinds))
-    shares = Kinds(spread([sums[x] for x in kinds]), spread(by_kind.sum(axis=0) / SHARES), by_kind.astype(np.float32) / SHARES)
-    values = written(dealt.mapInArrow(_spell(trie, mixer, shares, p), "word binary, n long, spelled float, ratios binary"), "spelled")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // p.chunk_bytes), partitions(spark) // 2)
-    chunk = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")
-    own = rows.select(chunk.alias("chunk"), "doc_id", "held_out", "text")
-    found = own.groupBy("chunk").applyInArrow(_distinct, "chunk int, word binary").join(values, "word")
-    ends = int(end.sum())
-    score = _score(sums.n + ends, sums.v + (ends > 0), go, end, np.log10(spread(texts)))
-    return own.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, SCORED)
-
-
-def hash_order(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word, 1)
+    buckets = power_above(size / p.bucket_bytes)
+    word_buckets = min(buckets, power_above(p.most_buckets))
+    chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks")
+    replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes")
+    stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
+    words, tokens = np.zeros((1 << word_buckets, codes.LEVELS), np.int64), np.zeros(codes.LEVELS, np.int64)
+    for r in stats:
+        own = [np.frombuffer(x, np.int64) for x in parts_of(r.data)]
+        words[r.part] = own[0]
+        tokens += own[1]
+    dictionary = Dictionary(np.cumsum(words, axis=0) - words, words.sum(axis=0), tokens)
+    tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
+    for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
+        tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
+    mine = chunks.where("kind = 'texts'").unionByName(replies.where("kind = 'codes'"))
+    keys = mine.groupBy("chunk").applyInArrow(_contexts(64 - buckets, dictionary, p), ROW)
+    paths = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits), ROW), "paths")
+    seen = np.zeros((2, 1 << 16))
+    for r in paths.where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^17
+        seen[r.part >> 16, r.part & 0xFFFF] = r.n
+    model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
+    return mine.unionByName(paths.where("kind = 'paths'")).groupBy("chunk").applyInArrow(_score(model), SCORED)
