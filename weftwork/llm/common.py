@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,27 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends here.
 
     The folder's name is new for each call. A lost executor costs only the tasks it
-    was running, since the files do not depend on it.
+    was running, since the files do not depend on it. by: a column of few values, each
+    of which gets files of its own.
     """
     path = f"{shared_dir(df.sparkSession)}/weftwork/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    to = df.write.option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftwork_path = path
     return out
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes a table that written() made and that no later plan reads."""
+def remove(df: DataFrame, part: str = "") -> None:
+    """Deletes a table that written() made, or of its parts one, that no later plan reads."""
     spark, path = df.sparkSession, df._weftwork_path
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it
+    does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without_clashes(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones cannot clash with what an operator adds."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

@@ -8,16 +8,16 @@ a space, in eight decisions a byte.
 Every bit of a path is predicted in three contexts: no context, the last common word
 before it, and the two words before it. The latter two are hashed, and counted over all
 training texts; what a pair of counts means as a probability is itself learned, from all
-training decisions. Every bit of a spelling is predicted in four contexts, the last 1, 2, 3
-and 4 bytes, hashed, and counted over all words of one training token. A training token is
+training decisions. The last common word says something of a bit from Params.least training
+tokens on. Every bit of a spelling is predicted in three contexts, the last 1, 2 and 4
+bytes, hashed, and counted over all words of one training token. A training token is
 left out of the counts that predict it, so that training and held-out texts are scored alike.
 
 The predictions are joined in the logistic domain by weights that a gate picks (how well
 the contexts are known). The weights begin at fixed values for each text and are learned
-online, block by block of its words; a table of what came at like predictions in this text
-then refines the result. Both sides of a bit always add to one. A path's bits that no
-context knows anything about are not mixed: their probability is the share of the word's
-level, and an equal part of it.
+online, block by block of its words. Both sides of a bit always add to one. A path's bits
+that no context knows anything about are not mixed: their probability is the share of the
+word's level, and an equal part of it.
 
 So a score depends on the text itself and the training texts alone, not on how rows are
 dealt. The work is in chunks of texts and buckets of keys. A chunk sends each bucket its
@@ -39,19 +39,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_codes as codes
-from .common import remove, written
+from .common import forget, remove, written
 from .word_codes import bundle, pack, pack_sorted, parts_of, unpack, unpack_sorted
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (1, 2, 4)
 BITS = 19  # slots of an order's table of spellings: 2^BITS, each with a count of zeros and of ones
 BLOCK = 1 << 16
 DEPTH = codes.LEVEL_BITS + 64
 LAST, PAIR = 0, 1  # kinds of contexts: the last common word; the two words before
-STEPS_LAST, STEPS_PAIR = 6, 4
+STEPS_LAST, STEPS_PAIR = 4, 4
 WORD_GATES = STEPS_LAST * STEPS_PAIR
 GATES = WORD_GATES + len(ORDERS) + 1
-REACH = 12
-BINS, GROUPS = 2 * REACH + 1, 4
+INPUTS = 3
+REACH, FINE = 12, 64
 STATES = 20
 ROW = "chunk long, kind string, part int, n long, data binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
@@ -59,20 +59,21 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.in
 
 @dataclass(frozen=True)
 class Params:
-    """common: training tokens from which a word is a context of its own. hot: training tokens
-    from which contexts are cut into pieces. chunk_bytes: text of a chunk. bucket_bytes: text
-    a bucket. most_buckets: of words, whose places are known to every task (64 numbers each).
-    rate, trust: of the weights learned in a text, and of the prediction in the refining table."""
+    """common: training tokens from which a word is a context of its own; least: training tokens
+    from which such a context is asked. hot: training tokens from which contexts are cut into
+    pieces. chunk_bytes: text of a chunk. bucket_bytes: text a bucket. most_buckets: of words,
+    whose places are known to every task (32 numbers each). rate: of the weights learned in a
+    text."""
 
     common: int = 64
+    least: int = 8
     hot: int = 1 << 16
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
-    step_tokens: int = 200_000
+    step_tokens: int = 100_000
     long_word: int = 4096
     rate: float = 0.02
-    trust: float = 30.0
 
 
 def lowered(text: str | None) -> bytes:
@@ -320,14 +321,13 @@ def _contexts(shift: int, d: Dictionary, p: Params):
         table = pa.Table.from_batches(batches)
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
         tokens = Tokens(rows, d)
-        found = tokens.keys(p)
-        every = np.unique(np.concatenate([x[2] for x in found]))
-        taught, n = np.unique(np.concatenate([x[2][tokens.own[x[1]]] for x in found]), return_counts=True)
-        count = np.zeros(len(every), np.uint32)
-        count[np.searchsorted(every, taught)] = n
+        every = np.sort(np.concatenate([x[2] << np.uint64(1) | tokens.own[x[1]] for x in tokens.keys(p)]))
+        new = np.flatnonzero(np.diff(every >> np.uint64(1), prepend=~(every[:1] >> np.uint64(1))))
+        count = np.add.reduceat((every & np.uint64(1)).astype(np.uint32), new, dtype=np.uint32)
+        every = every[new] >> np.uint64(1)
         chunk = table.column("chunk")[0].as_py()
-        buckets = every >> np.uint64(shift) if shift < 64 else np.zeros(len(every), np.uint64)
-        edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0])) if len(every) else []
+        buckets = every >> np.uint64(shift)
+        edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0]))
         for lo, hi in zip([0, *edges], [*edges, len(every)], strict=True):
             yield row(chunk, "keys", int(buckets[lo]), bundle(pack_sorted(every[lo:hi]), pack(count[lo:hi])))
 
@@ -337,7 +337,7 @@ def _contexts(shift: int, d: Dictionary, p: Params):
 # -- buckets of keys
 
 
-def _paths(bits: np.ndarray):
+def _paths(bits: np.ndarray, least: int):
     """One bucket: to each chunk the training tokens at every node of its keys' paths; and how
     often a training token's bit had which counts, in its context before and after it."""
 
@@ -356,7 +356,7 @@ def _paths(bits: np.ndarray):
         found = every[order[new]]
         n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
         del every, order, new, own
-        nodes, seen = nodes_of(found, n, bits)
+        nodes, seen = nodes_of(found, n, bits, least)
         for kind, cells in enumerate(seen):
             for cell in np.flatnonzero(cells):
                 yield row(-1, "states", int(kind << 16 | cell), b"", int(cells[cell]))
@@ -367,35 +367,41 @@ def _paths(bits: np.ndarray):
     return run
 
 
-def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted distinct keys with counts: the counts (as_byte) after 0, 1, ... bits, by
-    row, up to where every key is alone; and for each kind of context the training tokens
-    whose bit had count a before it and b after it, at a << 8 | b."""
-    size = codes.bits_of(found, bits)
-    kind = (found >> np.uint64(codes.CODE_BITS + 1) & np.uint64(1)).astype(np.int64)
+    row, up to where every key is alone, but 0 after a count below least in a context of the
+    last common word; and for each kind of context the training tokens whose bit had count a
+    before it and b after it, at a << 8 | b."""
+    size = codes.bits_of(found, bits).astype(np.int32)
+    kind = (found >> np.uint64(codes.CODE_BITS + 1) & np.uint64(1)).astype(np.int32)
+    floor = np.where(kind == LAST, least, 0)
     alone = codes.as_byte(n)
-    seen = np.zeros((2, 1 << 16), np.int64)
-    rows, act, before = [], np.arange(len(found)), None
+    seen = np.zeros(2 << 16)
+    rows, act, before, ended = [], np.arange(len(found)), None, np.empty(0, np.int64)
+    path, mine, own, low, at = found, n, size, floor, kind << 16
     for j in range(codes.CODE_BITS + 1):
-        prefix = found[act] >> np.uint64(codes.CODE_BITS - j)
+        prefix = path >> np.uint64(codes.CODE_BITS - j)
         edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
         width = np.diff(edge, append=len(act))
-        here = np.repeat(codes.as_byte(np.add.reduceat(n[act], edge)), width)
+        total = np.add.reduceat(mine, edge)
+        here = np.repeat(codes.as_byte(total), width)
         new = rows[-1].copy() if rows else np.empty(len(found), np.uint8)
-        new[act] = here
+        new[ended], new[act] = 0, here
         rows.append(new)
         if before is not None:
-            real = size[act] >= j
-            cell = before[real].astype(np.int64) << 8 | here[real]
-            seen += np.bincount(kind[act][real] << 16 | cell, n[act][real], 2 << 16).astype(np.int64).reshape(2, -1)
-        lone = np.repeat(width == 1, width)
-        out = act[lone]
-        cell = alone[out].astype(np.int64) * 257
-        seen += np.bincount(kind[out] << 16 | cell, n[out] * np.maximum(size[out] - j, 0), 2 << 16).astype(np.int64).reshape(2, -1)
-        act, before = act[~lone], here[~lone]
+            real = own >= j
+            seen += np.bincount((at | before.astype(np.int32) << 8 | here)[real], mine[real], 2 << 16)
+        few, lone = np.repeat(total, width) < low, np.repeat(width == 1, width)
+        ended, out = act[few], act[lone & ~few]
+        seen += np.bincount(kind[out] << 16 | alone[out].astype(np.int32) * 257, n[out] * np.maximum(size[out] - j, 0), 2 << 16)
+        stay = ~lone & ~few
+        act, before, path, mine, own, low, at = (x[stay] for x in (act, here, path, mine, own, low, at))
         if not len(act):
             break
-    return np.stack(rows), seen
+    if len(ended):
+        rows.append(rows[-1].copy())
+        rows[-1][ended] = 0
+    return np.stack(rows), seen.astype(np.int64).reshape(2, -1)
 
 
 # -- predictions
@@ -429,25 +435,30 @@ def steps(edges: tuple[int, ...]) -> np.ndarray:
     return np.stack([np.searchsorted(edges, np.maximum(codes.COUNT - own, 0), side="right") for own in (0, 1)]).astype(np.uint8)
 
 
-KNOWN_LAST, KNOWN_PAIR = steps((1, 2, 4, 16, 128)), steps((1, 2, 4))
+KNOWN_LAST, KNOWN_PAIR = steps((1, 16, 128)), steps((1, 2, 4))
+
+
+START_LAST = ((1.0, 0.0), (0.7, 0.6), (0.45, 0.75), (0.15, 0.9))
+START_PAIR = (0.0, 0.8, 0.9, 0.95)
+START_SPELLED = ((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.2, 0.9, 0.0), (0.1, 0.3, 0.7))
 
 
 def begin() -> np.ndarray:
     """(inputs, gates): the weights at the beginning of a text. Inputs of a path's bits are no
     context, the last common word and the two words before; of a spelling's, the orders."""
-    out = np.zeros((4, GATES), np.float32)
+    out = np.zeros((INPUTS, GATES), np.float32)
     for last, w in enumerate(START_LAST):
         for pair, v in enumerate(START_PAIR):
-            out[:3, last * STEPS_PAIR + pair] = w[0] * (1 - v), w[1] * (1 - v), v
+            out[:, last * STEPS_PAIR + pair] = w[0] * (1 - v), w[1] * (1 - v), v
     for known, w in enumerate(START_SPELLED):
         out[:, WORD_GATES + known] = w
     return out
 
 
-START_LAST = ((1.0, 0.0), (0.9, 0.3), (0.8, 0.5), (0.7, 0.6), (0.45, 0.75), (0.15, 0.9))
-START_PAIR = (0.0, 0.8, 0.9, 0.95)
-START_SPELLED = ((0.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0), (0.2, 0.9, 0.0, 0.0), (0.0, 0.3, 0.8, 0.0), (0.0, 0.1, 0.4, 0.6))
-GROUP = np.asarray([(g % STEPS_PAIR > 0) * 1 for g in range(WORD_GATES)] + [2 + (k > 2) for k in range(len(ORDERS) + 1)])
+LOGIT = np.arange(-REACH * FINE, REACH * FINE + 1, dtype=np.float32) / FINE
+GAP = 1 / (1 + np.exp(LOGIT))  # the probability of the side that did not come
+LOG = -np.log1p(np.exp(-LOGIT))
+SURE = np.float32(30)
 
 
 @dataclass
@@ -473,100 +484,112 @@ class Model:
     def path_bits(self, t: Tokens, lo: int, hi: int, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
         """(token, gate, inputs) of the bits to mix of tokens lo to hi; last, pair: counts at
         their nodes (depth, token). rest takes the log probability of the others."""
-        d, own = self.dictionary, t.own[lo:hi].astype(np.int64)
-        level = t.level[t.stream[lo:hi]].astype(np.int64)
-        rank, bits, words = t.rank[t.stream[lo:hi]], d.bits[level].astype(np.int64), d.words[level]
-        act = np.arange(hi - lo)
-        for j in range(last.shape[0] - 1):
-            mine = own[act]
-            a, c = last[j, act], pair[j, act]
-            some = (a > mine) | (c > mine)
-            if j <= codes.LEVEL_BITS:
-                out = act[~some]
-                rest[out] += self.level_rest[j, level[out]]
-                size = words[act[some]] if j == codes.LEVEL_BITS else None
+        d, first = self.dictionary, codes.LEVEL_BITS
+        word = t.stream[lo:hi]
+        level, rank, own = t.level[word].astype(np.int32), t.rank[word], t.own[lo:hi].astype(np.int32)
+        bits, words = d.bits[level].astype(np.int32), d.words[level]
+        act = np.arange(hi - lo, dtype=np.int32)
+        for j in range(len(last) - 1):
+            mine, a, c = own.take(act), last[j].take(act), pair[j].take(act)
+            some = (a >= self.p.least) | (c > mine)
+            out = act[~some]
+            if j <= first:
+                rest[out] += self.level_rest[j].take(level.take(out))
             else:
-                size = self.below(rank[act], bits[act], words[act], j - codes.LEVEL_BITS)
-                rest[act[~some]] -= np.log(size[~some])
-                size = size[some]
-            act, mine, a, c = act[some], mine[some], a[some], c[some]
-            stay = np.flatnonzero(j < codes.LEVEL_BITS + bits[act])  # the path of the others is complete
-            act, mine, a, c = act[stay], mine[stay], a[stay], c[stay]
-            if not len(act):
+                rest[out] -= np.log(self.below(rank[out], bits[out], words[out], j - first))
+            stay = np.flatnonzero(some & (first + bits.take(act) > j))  # the path of the others is complete
+            if not len(stay):
                 return
-            if j < codes.LEVEL_BITS:
-                x0 = self.level_bit[j, level[act]]
+            act, mine, a, c = act.take(stay), mine.take(stay), a.take(stay), c.take(stay)
+            x = np.zeros((INPUTS, len(act)), np.float32)
+            if j < first:
+                x[0] = self.level_bit[j].take(level.take(act))
             else:
-                size, after = size[stay], self.below(rank[act], bits[act], words[act], j + 1 - codes.LEVEL_BITS)
+                # both sides have as many words, but where the level's last words are
+                left = bits.take(act) - (j - first)
+                edge = np.flatnonzero((rank.take(act) >> left) + 1 << left > words.take(act))
+                k = act.take(edge)
+                size, after = (self.below(rank[k], bits[k], words[k], j + i - first) for i in (0, 1))
                 with np.errstate(divide="ignore"):
-                    x0 = np.minimum(np.log(after / (size - after)), 30).astype(np.float32)
-            sure = np.flatnonzero(x0 < 30)  # else no word is on the other side
-            token, mine, a, c = act[sure], mine[sure], a[sure], c[sure]
-            x = np.zeros((4, len(token)), np.float32)
-            x[0] = x0[sure]
-            x[1] = self.states[LAST, mine, a.astype(np.int64) << 8 | last[j + 1, token]]
-            x[2] = self.states[PAIR, mine, c.astype(np.int64) << 8 | pair[j + 1, token]]
-            yield token, KNOWN_LAST[mine, a] * np.uint8(STEPS_PAIR) + KNOWN_PAIR[mine, c], x
+                    x[0, edge] = np.minimum(np.log(after / (size - after)), SURE)
+            x[1] = self.states[LAST].take(mine << 16 | a.astype(np.int32) << 8 | last[j + 1].take(act))
+            x[2] = self.states[PAIR].take(mine << 16 | c.astype(np.int32) << 8 | pair[j + 1].take(act))
+            gate = KNOWN_LAST.take(a) * np.uint8(STEPS_PAIR) + KNOWN_PAIR.take(mine << 8 | c)
+            if j >= first and (x[0] >= SURE).any():  # no word is on the other side
+                keep = np.flatnonzero(x[0] < SURE)
+                yield act.take(keep), gate.take(keep), x[:, keep]
+            else:
+                yield act, gate, x
 
     @staticmethod
     def below(rank: np.ndarray, bits: np.ndarray, words: np.ndarray, j: int) -> np.ndarray:
         """Words of the level whose ranks have the same first j bits."""
         left = np.maximum(bits - j, 0)
         low = rank >> left << left
-        return np.minimum(words, low + (1 << left)) - low
+        return np.minimum(words, low + (np.int64(1) << left)) - low
 
     def spelled_bits(self, words: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, gate, inputs) of all bits of the words' spellings; own: those to leave out."""
         text = Spelled(words)
-        word, m = np.repeat(np.arange(len(words)), text.sizes), len(text.symbols)
-        less = own[word].astype(np.int32)
-        x, gate = np.empty((4, 8, m), np.float32), np.full((8, m), WORD_GATES, np.uint8)
+        word, m = np.repeat(np.arange(len(words), dtype=np.int32), text.sizes), len(text.symbols)
+        less = own.astype(np.int32).take(word)
+        x, gate = np.empty((INPUTS, 8, m), np.float32), np.empty((8, m), np.uint8)
         contexts = list(text.contexts())
         for b in range(8):
             node, bit = text.nodes(b), (text.symbols >> (7 - b)) & 1
+            known = np.zeros(m, np.uint8)
             for k, context in enumerate(contexts):
                 at = slot(context, node)
-                came = np.maximum(self.spellings[k][at + bit].astype(np.int32) - less, 0)
-                other = self.spellings[k][at + 1 - bit]
-                x[k, b] = self.logs[came] - self.logs[other]
-                gate[b][came + other > 0] = WORD_GATES + k + 1
-        return np.tile(word, 8), gate.ravel(), x.reshape(4, -1)
+                came = np.maximum(self.spellings[k].take(at + bit) - less, 0)
+                other = self.spellings[k].take(at + 1 - bit)
+                x[k, b] = self.logs.take(came) - self.logs.take(other)
+                known[came + other > 0] = k + 1
+            gate[b] = known + np.uint8(WORD_GATES)
+        return np.tile(word, 8), gate.ravel(), x.reshape(INPUTS, -1)
 
     def mixed(self, text: np.ndarray, block: np.ndarray, gate: np.ndarray, x: np.ndarray, texts: int) -> np.ndarray:
         """Log probabilities of the texts' bits: weights are learned block after block."""
-        p = self.p
         order = np.argsort(block, kind="stable")
-        text, gate, x = text[order], gate[order].astype(np.int64), x[:, order]
-        edges = np.flatnonzero(np.diff(block[order], prepend=-1))
-        weights = np.tile(self.begin, (1, texts))
-        seen, hits, total = np.zeros(texts * GATES, np.float32), np.zeros(texts * GROUPS * BINS, np.float32), np.zeros(texts)
-        for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
-            t, g, own = text[lo:hi], gate[lo:hi], x[:, lo:hi]
-            at = t * GATES + g
-            logit = own[0] * weights[0][at]
-            for k in (1, 2, 3):
-                logit += own[k] * weights[k][at]
-            logit = np.clip(logit, -REACH, REACH)
-            one = 1 / (1 + np.exp(-logit))
-            bins = (t * GROUPS + GROUP[g]) * BINS + REACH
-            step = np.rint(logit).astype(np.int64)
-            came = hits[bins + step]
-            refined = (came + p.trust * one) / (came + hits[bins - step] + p.trust)
-            total += np.bincount(t, np.log(refined), texts)
-            gap = 1 - one
-            seen += np.bincount(at, minlength=len(seen)).astype(np.float32)
-            scale = p.rate / np.sqrt(1 + seen / 16)
-            for k in range(4):
-                weights[k] += scale * np.bincount(at, gap * own[k], len(seen)).astype(np.float32)
-            hits += np.bincount(bins + step, minlength=len(hits)).astype(np.float32)
-        return total
+        where = (text * np.int32(GATES) + gate).take(order)
+        x = x.take(order, axis=1)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(block))])
+        weights, size = np.tile(self.begin, (1, texts)), texts * GATES
+        seen, total = np.zeros(size, np.float32), np.zeros(size)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            at, own = where[lo:hi], x[:, lo:hi]
+            logit = own[0] * weights[0].take(at)
+            for k in range(1, INPUTS):
+                logit += own[k] * weights[k].take(at)
+            step = (np.clip(logit, -REACH, REACH) * FINE + (REACH * FINE + 0.5)).astype(np.int32)
+            gap = GAP.take(step)
+            total += np.bincount(at, LOG.take(step), size)
+            seen += np.bincount(at, minlength=size)
+            scale = (self.p.rate / np.sqrt(1 + seen / 16)).astype(np.float32)
+            for k in range(INPUTS):
+                weights[k] += scale * np.bincount(at, gap * own[k], size).astype(np.float32)
+        return total.reshape(texts, GATES).sum(axis=1)
+
+    def long_word(self, word: bytes, own: bool) -> float:
+        """Log probability of one long word, with the weights that a text begins with."""
+        total = 0.0
+        for lo in range(0, len(word) + 1, 1 << 16):  # each piece after the bytes that its contexts reach back to
+            part = word[max(0, lo - max(ORDERS)) : lo + (1 << 16)]
+            _, gate, x = self.spelled_bits([part], np.asarray([own]))
+            m = len(part) + 1
+            use = np.zeros((8, m), bool)
+            use[:, lo - max(0, lo - max(ORDERS)) : m - (lo + (1 << 16) <= len(word))] = True
+            logit = np.clip((self.begin[:, gate] * x).sum(axis=0), -REACH, REACH)
+            total -= np.log1p(np.exp(-logit[use.ravel()])).sum(dtype=np.float64)
+        return float(total)
 
 
 def block_of(place: np.ndarray) -> np.ndarray:
     """Blocks of 8, 8, 16, 32, 64 and then 128 words."""
     place = np.asarray(place, np.int64)
     early = np.floor(np.log2(np.maximum(place, 4) / 4)).astype(np.int64)
-    return np.where(place < 128, early, 4 + place // 128).astype(np.uint32)
+    return np.where(place < 128, early, 4 + place // 128).astype(np.uint16)
 
 
 class Paths:
@@ -579,23 +602,26 @@ class Paths:
         self.found = [(kind, places, at[a:b], before, size) for (kind, places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
         replies = [parts_of(x) for _, x in sorted((part, x) for kind, part, x in rows if kind == "paths")]
         sizes = [int.from_bytes(r[0], "little") for r in replies]
-        self.nodes, done = np.empty((max(sizes), len(every)), np.uint8), 0
+        self.nodes, done = np.empty((len(every), max(sizes)), np.uint8), 0  # by key
         for n, (_, data) in zip(sizes, replies, strict=True):
             own = np.add.accumulate(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1), axis=0, dtype=np.uint8)
-            self.nodes[:n, done : done + own.shape[1]] = own
-            self.nodes[n:, done : done + own.shape[1]] = own[-1]
+            self.nodes[done : done + own.shape[1], :n] = own.T
+            self.nodes[done : done + own.shape[1], n:] = own[-1][:, None]
             done += own.shape[1]
 
     def of(self, kind: int, lo: int, hi: int, depth: int) -> np.ndarray:
         """(depth + 1, tokens): the counts at the nodes of the tokens' paths in such contexts."""
-        out = np.zeros((depth + 1, hi - lo), np.uint8)
+        out = np.zeros((hi - lo, depth + 1), np.uint8)
         for own, places, at, before, size in self.found:
             if own == kind:
                 a, b = np.searchsorted(places, (lo, hi))
-                for j in range(int(size[a:b].max(initial=-1)) + 1):
-                    some = np.flatnonzero(size[a:b] >= j) + a
-                    out[before[some] + j, places[some] - lo] = self.nodes[min(j, len(self.nodes) - 1), at[some]]
-        return out
+                for start in np.unique(before[a:b]):
+                    some = np.flatnonzero(before[a:b] == start) + a
+                    wide = min(int(size[some].max()) + 1, self.nodes.shape[1], depth + 1 - start)
+                    mine = self.nodes[at[some], :wide]
+                    out[places[some] - lo, start : start + wide] = mine
+                    out[places[some] - lo, start + wide :] = mine[:, -1:]
+        return np.ascontiguousarray(out.T)
 
 
 def _score(model: Model):
@@ -634,7 +660,7 @@ def scores_of(t: Tokens, paths: Paths, model: Model) -> pa.RecordBatch:
 def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], lo: int, hi: int) -> np.ndarray:
     """Natural logs of the probabilities of texts lo to hi."""
     a, b = int(t.first[lo]), int(t.first[hi - 1] + t.tokens[hi - 1])
-    text, place = t.text[a:b] - lo, np.arange(a, b) - t.first[t.text[a:b]]
+    text, place = (t.text[a:b] - lo).astype(np.int32), np.arange(a, b) - t.first[t.text[a:b]]
     block = block_of(place)
     depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
     rest = np.zeros(b - a)
@@ -648,11 +674,11 @@ def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], l
         words, spelled = [w for w, x in zip(words, long, strict=True) if not x], spelled[~long]
     if words:
         word, gate, x = model.spelled_bits(words, t.own[a:b][spelled])
-        decisions.append((spelled[word], gate, x))
+        decisions.append((spelled.astype(np.int32).take(word), gate, x))
     out = np.bincount(text, rest, hi - lo)
     if decisions:
         token = np.concatenate([x[0] for x in decisions])
-        out += model.mixed(text[token], block[token], np.concatenate([x[1] for x in decisions]), np.concatenate([x[2] for x in decisions], axis=1), hi - lo)
+        out += model.mixed(text.take(token), block.take(token), np.concatenate([x[1] for x in decisions]), np.concatenate([x[2] for x in decisions], axis=1), hi - lo)
     return out
 
 
@@ -680,8 +706,10 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = power_above(size / p.bucket_bytes)
     word_buckets = min(buckets, power_above(p.most_buckets))
-    chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks")
+    chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks", by="kind")
+    texts = chunks.where("kind = 'texts'")
     replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes")
+    remove(chunks, "kind=words")
     stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
     words, tokens = np.zeros((1 << word_buckets, codes.LEVELS), np.int64), np.zeros(codes.LEVELS, np.int64)
     for r in stats:
@@ -692,9 +720,12 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
-    mine = chunks.where("kind = 'texts'").unionByName(replies.where("kind = 'codes'"))
-    keys = mine.groupBy("chunk").applyInArrow(_contexts(64 - buckets, dictionary, p), ROW)
-    paths = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits), ROW), "paths")
+    mine = texts.unionByName(replies.where("kind = 'codes'"))
+    forget(spark)
+    keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, p), ROW)
+    paths = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, p.least), ROW), "paths")
+    del keys
+    forget(spark)
     seen = np.zeros((2, 1 << 16))
     for r in paths.where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^17
         seen[r.part >> 16, r.part & 0xFFFF] = r.n

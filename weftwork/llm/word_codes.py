@@ -1,14 +1,14 @@
 """Words as binary codes, and contexts of words as hashed keys, for the mixing model.
 
-A word of at least two training tokens has a level, by its count, and a rank within the
-level. Its path is six bits of the level and then the rank's bits, as many as the level's
-words need. All other words are of level 0, whose path is the six bits alone.
+A word of at least two training tokens has a level, the logarithm of its count, and a rank
+within the level. Its path is five bits of the level and then the rank's bits, as many as
+the level's words need. All other words are of level 0, whose path is the five bits alone.
 
 A key is 36 bits of a context's hash, a bit for the kind of context, a bit that tells whole
-paths from pieces, and 26 bits of path, left-aligned. Contexts that may be very frequent
-are cut into pieces of at most eight bits (six for the level), each a context of its own
-together with the bits before it. So a key's context either occurs a bounded number of
-times or has at most 256 successors.
+paths from pieces, and 25 bits of path, left-aligned; the top bit is free. Contexts that
+may be very frequent are cut into pieces of at most eight bits (five for the level), each a
+context of its own together with the bits before it. So a key's context either occurs a
+bounded number of times or has at most 256 successors.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-LEVELS, LEVEL_BITS = 64, 6
-CODE_BITS, CONTEXT_BITS = 26, 36
+LEVELS, LEVEL_BITS = 32, 5
+CODE_BITS, CONTEXT_BITS = 25, 36
+KEY_BITS = CONTEXT_BITS + 2 + CODE_BITS
 WHOLE = CODE_BITS - LEVEL_BITS  # rank bits that a whole path's key can hold
 PIECE = 8
 START = np.uint64(1 << 60)  # stands for the words before a text
@@ -63,17 +64,17 @@ def parts_of(data: bytes) -> list[bytes]:
 
 def _decoded() -> np.ndarray:
     k = np.arange(256, dtype=np.float64)
-    return np.where(k < 16, k, np.rint(16 * 2 ** ((k - 15.5) / 8)))
+    return np.where(k < 16, k, np.rint(16 * 2 ** ((k - 15.5) / 4)))
 
 
 COUNT = _decoded()
 
 
 def as_byte(n: np.ndarray) -> np.ndarray:
-    """Counts below 16 as they are, others in steps of an eighth of a doubling."""
+    """Counts below 16 as they are, others in steps of a quarter of a doubling."""
     out = np.minimum(n, 15).astype(np.uint8)
     big = np.flatnonzero(n >= 16)
-    out[big] = np.minimum(16 + np.floor(8 * np.log2(n[big] / 16)), 255).astype(np.uint8)
+    out[big] = np.minimum(16 + np.floor(4 * np.log2(n[big] / 16)), 255).astype(np.uint8)
     return out
 
 
@@ -81,11 +82,8 @@ def as_byte(n: np.ndarray) -> np.ndarray:
 
 
 def levels(count: np.ndarray) -> np.ndarray:
-    """0 for words of fewer than two training tokens, else three levels for four times the count."""
-    out = np.zeros(len(count), np.uint8)
-    many = np.flatnonzero(count >= 2)
-    out[many] = np.clip(np.floor(1.5 * np.log2(count[many])), 1, LEVELS - 1).astype(np.uint8)
-    return out
+    """0 for words of fewer than two training tokens, else one for each doubling."""
+    return np.minimum(np.log2(np.maximum(count, 1)), LEVELS - 1).astype(np.uint8)
 
 
 def rank_bits(words: np.ndarray) -> np.ndarray:
