@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LINKS = "a long, b long"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +34,17 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
     The folder's name is new for each call. A lost executor costs only the tasks it
     was running, since the files do not depend on it. by: a column of few values, each
-    of which gets files of its own.
+    of which gets files of its own. The shuffle files of the write go when it ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/weftwork/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftwork/{name}-{uuid.uuid4().hex}"
     to = df.write.option("compression", "zstd")
-    (to.partitionBy(by) if by else to).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        (to.partitionBy(by) if by else to).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftwork_path = path
     return out
@@ -52,13 +58,6 @@ def remove(df: DataFrame, part: str = "") -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it
-    does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without_clashes(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones cannot clash with what an operator adds."""
     return df.select(*(F.col(f"`{c}`") for c in columns))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import word_codes as codes
-from .common import forget, remove, written
+from .common import remove, written
 from .word_codes import bundle, pack, pack_sorted, parts_of, unpack, unpack_sorted
 
 ORDERS = (1, 2, 4)
@@ -60,13 +60,13 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.in
 @dataclass(frozen=True)
 class Params:
     """common: training tokens from which a word is a context of its own; least: training tokens
-    from which such a context is asked. hot: training tokens from which contexts are cut into
+    from which such a context is asked (at most 16). hot: training tokens from which contexts are cut into
     pieces. chunk_bytes: text of a chunk. bucket_bytes: text a bucket. most_buckets: of words,
     whose places are known to every task (32 numbers each). rate: of the weights learned in a
     text."""
 
     common: int = 64
-    least: int = 8
+    least: int = 16
     hot: int = 1 << 16
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
@@ -299,18 +299,19 @@ class Tokens:
         last = np.concatenate([[-1], last[:-1]])
         have = last >= first
         word = s[np.maximum(last, 0)]
-        context = codes.mixed(np.where(have, uid[word], codes.START) * np.uint64(0x9E3779B97F4A7C15))
-        hot = ~have | (self.count[word] >= p.hot)
+        uid = np.append(uid, codes.START)  # the last stands for what lies before a text
+        frequent = np.append(self.count >= p.hot, True)
+        word = np.where(have, word, len(self.count))
+        context = codes.mixed(uid * np.uint64(0x9E3779B97F4A7C15)).take(word)
+        hot = frequent.take(word)
         out = [(LAST, *x) for x in codes.keys(context, LAST, level, rank, d, hot)]
-        # the two words before; a word of level 0 has no other occurrence to learn from
-        one, two = s[np.maximum(here - 1, 0)], s[np.maximum(here - 2, 0)]
-        has_one, has_two = here - 1 >= first, here - 2 >= first
-        known = (~has_one | (self.level[one] > 0)) & (~has_two | (self.level[two] > 0))
-        at = np.flatnonzero(known)
-        one, two, has_one, has_two = one[at], two[at], has_one[at], has_two[at]
-        context = codes.mixed(np.where(has_one, uid[one], codes.START) * np.uint64(0xC2B2AE3D27D4EB4F))
-        context = codes.mixed((context ^ np.where(has_two, uid[two], codes.START)) * np.uint64(0x165667B19E3779F9))
-        hot = (~has_one | (self.count[one] >= p.hot)) & (~has_two | (self.count[two] >= p.hot))
+        # the two words before; a word of level 0 has no other token to learn from
+        one, two = (np.where(here - k >= first, s.take(np.maximum(here - k, 0)), len(self.count)) for k in (1, 2))
+        in_path = np.append(self.level > 0, True)
+        at = np.flatnonzero(in_path.take(one) & in_path.take(two))
+        one, two = one.take(at), two.take(at)
+        context = codes.mixed(codes.mixed(uid * np.uint64(0xC2B2AE3D27D4EB4F)).take(one) ^ codes.mixed(uid * np.uint64(0x165667B19E3779F9)).take(two))
+        hot = frequent.take(one) & frequent.take(two)
         return out + [(PAIR, at[x[0]], *x[1:]) for x in codes.keys(context, PAIR, level[at], rank[at], d[at], hot)]
 
 
@@ -357,11 +358,10 @@ def _paths(bits: np.ndarray, least: int):
         n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
         del every, order, new, own
         nodes, seen = nodes_of(found, n, bits, least)
-        for kind, cells in enumerate(seen):
-            for cell in np.flatnonzero(cells):
-                yield row(-1, "states", int(kind << 16 | cell), b"", int(cells[cell]))
+        cells = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen.ravel()[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
         for k, chunk in enumerate(chunks):
-            mine = nodes[:, at[size[k] : size[k + 1]]]
+            mine = nodes.take(at[size[k] : size[k + 1]], axis=1)
             yield row(chunk, "paths", part, bundle(len(mine).to_bytes(4, "little"), zstandard.compress(np.diff(mine, axis=0, prepend=np.zeros((1, mine.shape[1]), np.uint8)).tobytes(), 1)))
 
     return run
@@ -481,14 +481,14 @@ class Model:
         k = np.arange(256, dtype=np.float32)
         self.logs = np.log(k + np.float32(0.4))
 
-    def path_bits(self, t: Tokens, lo: int, hi: int, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
-        """(token, gate, inputs) of the bits to mix of tokens lo to hi; last, pair: counts at
-        their nodes (depth, token). rest takes the log probability of the others."""
+    def path_bits(self, t: Tokens, lo: int, hi: int, act: np.ndarray, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
+        """(token, gate, inputs) of the bits to mix of tokens lo to hi, in the order act gives;
+        last, pair: counts at their nodes (depth, token). rest takes the log probability of
+        the others."""
         d, first = self.dictionary, codes.LEVEL_BITS
         word = t.stream[lo:hi]
         level, rank, own = t.level[word].astype(np.int32), t.rank[word], t.own[lo:hi].astype(np.int32)
         bits, words = d.bits[level].astype(np.int32), d.words[level]
-        act = np.arange(hi - lo, dtype=np.int32)
         for j in range(len(last) - 1):
             mine, a, c = own.take(act), last[j].take(act), pair[j].take(act)
             some = (a >= self.p.least) | (c > mine)
@@ -528,37 +528,38 @@ class Model:
         low = rank >> left << left
         return np.minimum(words, low + (np.int64(1) << left)) - low
 
-    def spelled_bits(self, words: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, gate, inputs) of all bits of the words' spellings; own: those to leave out."""
+    def spelled_bits(self, words: list[bytes], own: np.ndarray) -> Iterator[tuple]:
+        """(word, gate, inputs) of the bits of the words' spellings, bytes' first bits, second
+        ones and so on; own: the words to leave out."""
         text = Spelled(words)
         word, m = np.repeat(np.arange(len(words), dtype=np.int32), text.sizes), len(text.symbols)
         less = own.astype(np.int32).take(word)
-        x, gate = np.empty((INPUTS, 8, m), np.float32), np.empty((8, m), np.uint8)
         contexts = list(text.contexts())
         for b in range(8):
             node, bit = text.nodes(b), (text.symbols >> (7 - b)) & 1
-            known = np.zeros(m, np.uint8)
+            x, known = np.empty((INPUTS, m), np.float32), np.zeros(m, np.uint8)
             for k, context in enumerate(contexts):
                 at = slot(context, node)
                 came = np.maximum(self.spellings[k].take(at + bit) - less, 0)
                 other = self.spellings[k].take(at + 1 - bit)
-                x[k, b] = self.logs.take(came) - self.logs.take(other)
+                x[k] = self.logs.take(came) - self.logs.take(other)
                 known[came + other > 0] = k + 1
-            gate[b] = known + np.uint8(WORD_GATES)
-        return np.tile(word, 8), gate.ravel(), x.reshape(INPUTS, -1)
-
-    def mixed(self, text: np.ndarray, block: np.ndarray, gate: np.ndarray, x: np.ndarray, texts: int) -> np.ndarray:
-        """Log probabilities of the texts' bits: weights are learned block after block."""
-        order = np.argsort(block, kind="stable")
-        where = (text * np.int32(GATES) + gate).take(order)
-        x = x.take(order, axis=1)
-        edges = np.concatenate([[0], np.cumsum(np.bincount(block))])
+            yield word, known + np.uint8(WORD_GATES), x
+
+    def mixed(self, decisions: list[tuple], text: np.ndarray, block: np.ndarray, texts: int) -> np.ndarray:
+        """Log probabilities of the texts' bits. decisions: (token, gate, inputs), each with its
+        tokens in the order of their blocks; weights are learned block after block."""
+        blocks = np.arange(int(block.max()) + 2)
+        edges = [np.searchsorted(block.take(token), blocks) for token, _, _ in decisions]
+        parts = [(text.take(token) * np.int32(GATES) + gate, x) for token, gate, x in decisions]
         weights, size = np.tile(self.begin, (1, texts)), texts * GATES
         seen, total = np.zeros(size, np.float32), np.zeros(size)
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if lo == hi:
+        for b in blocks[:-1]:
+            cut = [(slice(e[b], e[b + 1]), *part) for e, part in zip(edges, parts, strict=True) if e[b] < e[b + 1]]
+            if not cut:
                 continue
-            at, own = where[lo:hi], x[:, lo:hi]
+            at = np.concatenate([where[mine] for mine, where, _ in cut])
+            own = np.concatenate([x[:, mine] for mine, _, x in cut], axis=1)
             logit = own[0] * weights[0].take(at)
             for k in range(1, INPUTS):
                 logit += own[k] * weights[k].take(at)
@@ -576,12 +577,10 @@ class Model:
         total = 0.0
         for lo in range(0, len(word) + 1, 1 << 16):  # each piece after the bytes that its contexts reach back to
             part = word[max(0, lo - max(ORDERS)) : lo + (1 << 16)]
-            _, gate, x = self.spelled_bits([part], np.asarray([own]))
-            m = len(part) + 1
-            use = np.zeros((8, m), bool)
-            use[:, lo - max(0, lo - max(ORDERS)) : m - (lo + (1 << 16) <= len(word))] = True
-            logit = np.clip((self.begin[:, gate] * x).sum(axis=0), -REACH, REACH)
-            total -= np.log1p(np.exp(-logit[use.ravel()])).sum(dtype=np.float64)
+            use = slice(lo - max(0, lo - max(ORDERS)), len(part) + (lo + (1 << 16) > len(word)))
+            for _, gate, x in self.spelled_bits([part], np.asarray([own])):
+                logit = np.clip((self.begin[:, gate] * x).sum(axis=0), -REACH, REACH)
+                total -= np.log1p(np.exp(-logit[use])).sum(dtype=np.float64)
         return float(total)
 
 
@@ -604,7 +603,9 @@ class Paths:
         sizes = [int.from_bytes(r[0], "little") for r in replies]
         self.nodes, done = np.empty((len(every), max(sizes)), np.uint8), 0  # by key
         for n, (_, data) in zip(sizes, replies, strict=True):
-            own = np.add.accumulate(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1), axis=0, dtype=np.uint8)
+            own = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1).copy()
+            for k in range(1, n):
+                own[k] += own[k - 1]
             self.nodes[done : done + own.shape[1], :n] = own.T
             self.nodes[done : done + own.shape[1], n:] = own[-1][:, None]
             done += own.shape[1]
@@ -662,24 +663,22 @@ def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], l
     a, b = int(t.first[lo]), int(t.first[hi - 1] + t.tokens[hi - 1])
     text, place = (t.text[a:b] - lo).astype(np.int32), np.arange(a, b) - t.first[t.text[a:b]]
     block = block_of(place)
+    order = np.argsort(block, kind="stable").astype(np.int32)
     depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
     rest = np.zeros(b - a)
-    decisions = list(model.path_bits(t, a, b, paths.of(LAST, a, b, depth + 1), paths.of(PAIR, a, b, depth + 1), rest))
-    spelled = np.flatnonzero(t.level[t.stream[a:b]] == 0)
+    decisions = list(model.path_bits(t, a, b, order, paths.of(LAST, a, b, depth + 1), paths.of(PAIR, a, b, depth + 1), rest))
+    spelled = order[t.level.take(t.stream[a:b]).take(order) == 0]
     words = [rare[k] for k in t.stream[a:b][spelled].tolist()]
-    long = np.asarray([len(w) > model.p.long_word for w in words], bool)
-    if long.any():
-        for k in np.flatnonzero(long):
-            rest[spelled[k]] += model.long_word(words[k], bool(t.own[a + spelled[k]]))
-        words, spelled = [w for w, x in zip(words, long, strict=True) if not x], spelled[~long]
+    long = [k for k, w in enumerate(words) if len(w) > model.p.long_word]
+    for k in long:
+        rest[spelled[k]] += model.long_word(words[k], bool(t.own[a + spelled[k]]))
+        words[k] = None
+    if long:
+        words, spelled = [w for w in words if w is not None], np.delete(spelled, long)
     if words:
-        word, gate, x = model.spelled_bits(words, t.own[a:b][spelled])
-        decisions.append((spelled.astype(np.int32).take(word), gate, x))
+        decisions += [(spelled.take(word), gate, x) for word, gate, x in model.spelled_bits(words, t.own[a:b][spelled])]
     out = np.bincount(text, rest, hi - lo)
-    if decisions:
-        token = np.concatenate([x[0] for x in decisions])
-        out += model.mixed(text.take(token), block.take(token), np.concatenate([x[1] for x in decisions]), np.concatenate([x[2] for x in decisions], axis=1), hi - lo)
-    return out
+    return out + model.mixed(decisions, text, block, hi - lo) if decisions else out
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -721,11 +720,8 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
     mine = texts.unionByName(replies.where("kind = 'codes'"))
-    forget(spark)
     keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, p), ROW)
     paths = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, p.least), ROW), "paths")
-    del keys
-    forget(spark)
     seen = np.zeros((2, 1 << 16))
     for r in paths.where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^17
         seen[r.part >> 16, r.part & 0xFFFF] = r.n
