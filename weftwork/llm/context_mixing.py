@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -46,6 +47,7 @@ ORDERS = (1, 2, 4)
 BITS = 19  # slots of an order's table of spellings: 2^BITS, each with a count of zeros and of ones
 BLOCK = 1 << 16
 DEPTH = codes.LEVEL_BITS + 64
+PATHS = ("last", "pair")
 LAST, PAIR = 0, 1  # kinds of contexts: the last common word; the two words before
 STEPS_LAST, STEPS_PAIR = 4, 4
 WORD_GATES = STEPS_LAST * STEPS_PAIR
@@ -67,7 +69,7 @@ class Params:
 
     common: int = 64
     least: int = 16
-    hot: int = 1 << 16
+    hot: int = 1 << 20
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
@@ -76,10 +78,6 @@ class Params:
     rate: float = 0.02
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode().lower()
-
-
 def row(chunk: int, kind: str, part: int, data: bytes, n: int | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, kind, part, n, data), SCHEMA.types, strict=True)], schema=SCHEMA)
 
@@ -87,68 +85,62 @@ def row(chunk: int, kind: str, part: int, data: bytes, n: int | None = None) ->
 # -- texts to chunks
 
 
-class Index(dict):
-    """Words to numbers, in order of first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class Chunk:
-    """Texts as numbers of their distinct words, which are sorted by hash when it is closed."""
-
-    def __init__(self, number: int) -> None:
-        self.number, self.size = number, 0
-        self.index, self.ids, self.held, self.tokens, self.sizes, self.parts = Index({codes.END: 0}), [], [], [], [], []
-
-    def add(self, doc_id: int | None, held: bool, text: str | None) -> None:
-        data = lowered(text)
-        said = data.split()
-        self.parts.append(np.fromiter(map(self.index.__getitem__, said), np.uint32, len(said)))
-        self.parts.append(np.zeros(1, np.uint32))
-        self.ids.append(doc_id)
-        self.held.append(held)
-        self.tokens.append(len(said) + 1)
-        self.sizes.append(len(data))
-        self.size += len(data) + 64
-
-    def rows(self, shift: int) -> Iterator[pa.RecordBatch]:
-        words = list(self.index)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        stream, held = np.concatenate(self.parts), np.asarray(self.held)
-        count = np.bincount(stream[np.repeat(~held, self.tokens)], minlength=len(words))[order]
-        hashes, stream = hashes[order], place[stream]
-        rare = [words[k] if k else b"" for k in order[count <= 1]]  # they may have to be spelled
-        ids = np.asarray([0 if x is None else x for x in self.ids], np.int64)
-        none = np.asarray([x is None for x in self.ids])
-        yield row(self.number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(np.asarray(self.tokens, np.int64)), pack(np.asarray(self.sizes, np.int64)), pack(stream), pack(count <= 1), zstandard.compress(b" ".join(rare), 1)))
-        ends = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
-        once = np.cumsum(np.concatenate([[0], count == 1]))
-        single = [words[k] if k else b"" for k in order[count == 1]]
-        for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if hi > lo:
-                own = single[once[lo] : once[hi]]
-                yield row(self.number, "words", b, bundle(pack_sorted(hashes[lo:hi]), pack(count[lo:hi]), zstandard.compress(b" ".join(own), 1)))
+def said(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    words = lists.flatten()
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at either end leaves an empty string
+    tokens = np.diff(np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+    return words.filter(pa.array(some)), tokens
+
+
+def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's texts as numbers of their distinct words, which are sorted by hash; and, for
+    each bucket, its words with their training tokens."""
+    ids, held, texts = (pa.chunked_array([r.column(k) for r in rows]).combine_chunks() for k in range(3))
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = held.to_numpy(zero_copy_only=False)
+    words, tokens = said(texts)
+    coded = words.dictionary_encode()
+    words = [w.encode() for w in coded.dictionary.to_pylist()] + [codes.END]
+    ends = np.cumsum(tokens)
+    stream = np.insert(coded.indices.to_numpy(), ends, len(words) - 1)
+    tokens = tokens + 1
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    words[-1] = b""  # how an end is spelled
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(words), np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
+    count = np.bincount(stream[np.repeat(~held, tokens)], minlength=len(words))[order]
+    hashes, stream = hashes[order], place[stream]
+    rare = [words[k] for k in order[count <= 1]]  # they may have to be spelled
+    none = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream), pack(count <= 1), zstandard.compress(b" ".join(rare), 1)))
+    edges = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
+    once = np.cumsum(np.concatenate([[0], count == 1]))
+    single = [words[k] for k in order[count == 1]]
+    for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if hi > lo:
+            yield row(number, "words", b, bundle(pack_sorted(hashes[lo:hi]), pack(count[lo:hi]), zstandard.compress(b" ".join(single[once[lo] : once[hi]]), 1)))
 
 
 def _chunks(shift: int, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
-        chunk = Chunk(number)
+        number, size, rows = (task.partitionId() if task else 0) << 32, 0, []
         for batch in batches:
-            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                chunk.add(doc_id, held, text)
-                if chunk.size >= p.chunk_bytes:
-                    yield from chunk.rows(shift)
-                    number += 1
-                    chunk = Chunk(number)
-        if chunk.ids:
-            yield from chunk.rows(shift)
+            lengths = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False) + 64
+            while batch.num_rows:  # cut where a chunk is full
+                ends = size + np.cumsum(lengths)
+                n = min(batch.num_rows, int(np.searchsorted(ends, p.chunk_bytes)) + 1)
+                rows.append(batch.slice(0, n))
+                batch, lengths, size = batch.slice(n), lengths[n:], int(ends[n - 1])
+                if size >= p.chunk_bytes:
+                    yield from chunk_rows(number, rows, shift)
+                    number, size, rows = number + 1, 0, []
+        if rows:
+            yield from chunk_rows(number, rows, shift)
 
     return run
 
@@ -287,46 +279,43 @@ class Tokens:
         self.own = np.repeat(~held, self.tokens)
         self.bits = d.bits
 
-    def keys(self, p: Params) -> list[tuple]:
-        """For each kind of context (kind, *tuple of word_codes.keys), places ascending."""
+    def keys(self, kind: int, p: Params) -> list[tuple]:
+        """The tokens' keys in contexts of a kind, as from word_codes.keys, places ascending."""
         s, n = self.stream, len(self.stream)
         uid = np.where(self.level > 0, self.level.astype(np.uint64) << np.uint64(40) | self.rank.astype(np.uint64), np.uint64(0))
-        first, here = self.first[self.text], np.arange(n)
-        level, rank = self.level[s], self.rank[s]
-        d = self.bits[level]
-        # the last common word before
-        last = np.maximum.accumulate(np.where(self.count[s] >= p.common, here, -1))
-        last = np.concatenate([[-1], last[:-1]])
-        have = last >= first
-        word = s[np.maximum(last, 0)]
         uid = np.append(uid, codes.START)  # the last stands for what lies before a text
-        frequent = np.append(self.count >= p.hot, True)
-        word = np.where(have, word, len(self.count))
-        context = codes.mixed(uid * np.uint64(0x9E3779B97F4A7C15)).take(word)
-        hot = frequent.take(word)
-        out = [(LAST, *x) for x in codes.keys(context, LAST, level, rank, d, hot)]
-        # the two words before; a word of level 0 has no other token to learn from
-        one, two = (np.where(here - k >= first, s.take(np.maximum(here - k, 0)), len(self.count)) for k in (1, 2))
-        in_path = np.append(self.level > 0, True)
+        frequent, before = np.append(self.count >= p.hot, True), len(self.count)
+        first, here = self.first[self.text], np.arange(n)
+        level, rank = self.level.take(s), self.rank.take(s)
+        d = self.bits.take(level)
+        if kind == LAST:
+            last = np.maximum.accumulate(np.where((self.count >= p.common).take(s), here, -1))
+            last = np.concatenate([[-1], last[:-1]])
+            word = np.where(last >= first, s.take(np.maximum(last, 0)), before)
+            context = codes.mixed(uid * np.uint64(0x9E3779B97F4A7C15)).take(word)
+            return codes.keys(context, LAST, level, rank, d, frequent.take(word))
+        one, two = (np.where(here - k >= first, s.take(np.maximum(here - k, 0)), before) for k in (1, 2))
+        in_path = np.append(self.level > 0, True)  # a word of level 0 has no other token to learn from
         at = np.flatnonzero(in_path.take(one) & in_path.take(two))
         one, two = one.take(at), two.take(at)
         context = codes.mixed(codes.mixed(uid * np.uint64(0xC2B2AE3D27D4EB4F)).take(one) ^ codes.mixed(uid * np.uint64(0x165667B19E3779F9)).take(two))
-        hot = frequent.take(one) & frequent.take(two)
-        return out + [(PAIR, at[x[0]], *x[1:]) for x in codes.keys(context, PAIR, level[at], rank[at], d[at], hot)]
+        return [(at[x[0]], *x[1:]) for x in codes.keys(context, PAIR, level[at], rank[at], d[at], frequent.take(one) & frequent.take(two))]
 
 
-def _contexts(shift: int, d: Dictionary, p: Params):
+def _contexts(shift: int, d: Dictionary, kind: int, p: Params):
     """To each bucket the chunk's distinct keys in order, with their training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
         tokens = Tokens(rows, d)
-        every = np.sort(np.concatenate([x[2] << np.uint64(1) | tokens.own[x[1]] for x in tokens.keys(p)]))
+        chunk = table.column("chunk")[0].as_py()
+        every = np.sort(np.concatenate([x[1] << np.uint64(1) | tokens.own[x[0]] for x in tokens.keys(kind, p)]))
+        if not len(every):
+            return
         new = np.flatnonzero(np.diff(every >> np.uint64(1), prepend=~(every[:1] >> np.uint64(1))))
         count = np.add.reduceat((every & np.uint64(1)).astype(np.uint32), new, dtype=np.uint32)
         every = every[new] >> np.uint64(1)
-        chunk = table.column("chunk")[0].as_py()
         buckets = every >> np.uint64(shift)
         edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0]))
         for lo, hi in zip([0, *edges], [*edges, len(every)], strict=True):
@@ -338,7 +327,7 @@ def _contexts(shift: int, d: Dictionary, p: Params):
 # -- buckets of keys
 
 
-def _paths(bits: np.ndarray, least: int):
+def _paths(bits: np.ndarray, kind: int, least: int):
     """One bucket: to each chunk the training tokens at every node of its keys' paths; and how
     often a training token's bit had which counts, in its context before and after it."""
 
@@ -357,28 +346,25 @@ def _paths(bits: np.ndarray, least: int):
         found = every[order[new]]
         n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
         del every, order, new, own
-        nodes, seen = nodes_of(found, n, bits, least)
+        nodes, seen = nodes_of(found, n, bits, least if kind == LAST else 0)
         cells = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen.ravel()[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
         for k, chunk in enumerate(chunks):
             mine = nodes.take(at[size[k] : size[k + 1]], axis=1)
-            yield row(chunk, "paths", part, bundle(len(mine).to_bytes(4, "little"), zstandard.compress(np.diff(mine, axis=0, prepend=np.zeros((1, mine.shape[1]), np.uint8)).tobytes(), 1)))
+            yield row(chunk, PATHS[kind], part, bundle(len(mine).to_bytes(4, "little"), zstandard.compress(np.diff(mine, axis=0, prepend=np.zeros((1, mine.shape[1]), np.uint8)).tobytes(), 1)))
 
     return run
 
 
 def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted distinct keys with counts: the counts (as_byte) after 0, 1, ... bits, by
-    row, up to where every key is alone, but 0 after a count below least in a context of the
-    last common word; and for each kind of context the training tokens whose bit had count a
-    before it and b after it, at a << 8 | b."""
+    row, up to where every key is alone, but 0 after a count below least; and the training
+    tokens whose bit had count a before it and b after it, at a << 8 | b."""
     size = codes.bits_of(found, bits).astype(np.int32)
-    kind = (found >> np.uint64(codes.CODE_BITS + 1) & np.uint64(1)).astype(np.int32)
-    floor = np.where(kind == LAST, least, 0)
     alone = codes.as_byte(n)
-    seen = np.zeros(2 << 16)
+    seen = np.zeros(1 << 16)
     rows, act, before, ended = [], np.arange(len(found)), None, np.empty(0, np.int64)
-    path, mine, own, low, at = found, n, size, floor, kind << 16
+    path, mine, own = found, n, size
     for j in range(codes.CODE_BITS + 1):
         prefix = path >> np.uint64(codes.CODE_BITS - j)
         edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
@@ -390,18 +376,18 @@ def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
         rows.append(new)
         if before is not None:
             real = own >= j
-            seen += np.bincount((at | before.astype(np.int32) << 8 | here)[real], mine[real], 2 << 16)
-        few, lone = np.repeat(total, width) < low, np.repeat(width == 1, width)
+            seen += np.bincount((before.astype(np.int32) << 8 | here)[real], mine[real], 1 << 16)
+        few, lone = np.repeat(total < least, width), np.repeat(width == 1, width)
         ended, out = act[few], act[lone & ~few]
-        seen += np.bincount(kind[out] << 16 | alone[out].astype(np.int32) * 257, n[out] * np.maximum(size[out] - j, 0), 2 << 16)
-        stay = ~lone & ~few
-        act, before, path, mine, own, low, at = (x[stay] for x in (act, here, path, mine, own, low, at))
+        seen += np.bincount(alone.take(out).astype(np.int32) * 257, n.take(out) * np.maximum(size.take(out) - j, 0), 1 << 16)
+        stay = np.flatnonzero(~lone & ~few)
+        act, before, path, mine, own = (x.take(stay) for x in (act, here, path, mine, own))
         if not len(act):
             break
     if len(ended):
         rows.append(rows[-1].copy())
         rows[-1][ended] = 0
-    return np.stack(rows), seen.astype(np.int64).reshape(2, -1)
+    return np.stack(rows), seen.astype(np.int64)
 
 
 # -- predictions
@@ -592,16 +578,16 @@ def block_of(place: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """The counts that the buckets of keys sent for a chunk's keys."""
-
-    def __init__(self, t: Tokens, rows: list[tuple[str, int, bytes]], p: Params) -> None:
-        found = t.keys(p)
-        every, at = np.unique(np.concatenate([x[2] for x in found]), return_inverse=True)
-        ends = np.cumsum([0, *(len(x[2]) for x in found)])
-        self.found = [(kind, places, at[a:b], before, size) for (kind, places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
-        replies = [parts_of(x) for _, x in sorted((part, x) for kind, part, x in rows if kind == "paths")]
+    """The counts that the buckets of keys sent for a chunk's keys of one kind."""
+
+    def __init__(self, t: Tokens, rows: list[tuple[str, int, bytes]], kind: int, p: Params) -> None:
+        found = t.keys(kind, p)
+        every, at = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)
+        ends = np.cumsum([0, *(len(x[1]) for x in found)])
+        self.found = [(places, at[a:b].astype(np.int32), before, size) for (places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+        replies = [parts_of(x) for _, x in sorted((part, x) for own, part, x in rows if own == PATHS[kind])]
         sizes = [int.from_bytes(r[0], "little") for r in replies]
-        self.nodes, done = np.empty((len(every), max(sizes)), np.uint8), 0  # by key
+        self.nodes, done = np.empty((len(every), max(sizes, default=1)), np.uint8), 0  # by key
         for n, (_, data) in zip(sizes, replies, strict=True):
             own = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1).copy()
             for k in range(1, n):
@@ -610,18 +596,17 @@ class Paths:
             self.nodes[done : done + own.shape[1], n:] = own[-1][:, None]
             done += own.shape[1]
 
-    def of(self, kind: int, lo: int, hi: int, depth: int) -> np.ndarray:
-        """(depth + 1, tokens): the counts at the nodes of the tokens' paths in such contexts."""
+    def of(self, lo: int, hi: int, depth: int) -> np.ndarray:
+        """(depth + 1, tokens): the counts at the nodes of the paths of tokens lo to hi."""
         out = np.zeros((hi - lo, depth + 1), np.uint8)
-        for own, places, at, before, size in self.found:
-            if own == kind:
-                a, b = np.searchsorted(places, (lo, hi))
-                for start in np.unique(before[a:b]):
-                    some = np.flatnonzero(before[a:b] == start) + a
-                    wide = min(int(size[some].max()) + 1, self.nodes.shape[1], depth + 1 - start)
-                    mine = self.nodes[at[some], :wide]
-                    out[places[some] - lo, start : start + wide] = mine
-                    out[places[some] - lo, start + wide :] = mine[:, -1:]
+        for places, at, before, size in self.found:
+            a, b = np.searchsorted(places, (lo, hi))
+            for start in np.unique(before[a:b]):
+                some = slice(a, b) if (before[a:b] == start).all() else np.flatnonzero(before[a:b] == start) + a
+                wide = min(int(size[some].max()) + 1, self.nodes.shape[1], depth + 1 - start)
+                mine = self.nodes.take(at[some], axis=0)[:, :wide]
+                out[places[some] - lo, start : start + wide] = mine
+                out[places[some] - lo, start + wide :] = mine[:, -1:]
         return np.ascontiguousarray(out.T)
 
 
@@ -632,12 +617,12 @@ def _score(model: Model):
         table = pa.Table.from_batches(batches)
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
         t = Tokens(rows, model.dictionary)
-        yield scores_of(t, Paths(t, rows, model.p), model)
+        yield scores_of(t, [Paths(t, rows, kind, model.p) for kind in (LAST, PAIR)], model)
 
     return run
 
 
-def scores_of(t: Tokens, paths: Paths, model: Model) -> pa.RecordBatch:
+def scores_of(t: Tokens, paths: list[Paths], model: Model) -> pa.RecordBatch:
     p, d = model.p, model.dictionary
     n = int(d.tokens.sum())
     distinct = int(d.words.sum())
@@ -658,7 +643,7 @@ def scores_of(t: Tokens, paths: Paths, model: Model) -> pa.RecordBatch:
     )
 
 
-def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], lo: int, hi: int) -> np.ndarray:
+def some_scores(t: Tokens, paths: list[Paths], model: Model, rare: dict[int, bytes], lo: int, hi: int) -> np.ndarray:
     """Natural logs of the probabilities of texts lo to hi."""
     a, b = int(t.first[lo]), int(t.first[hi - 1] + t.tokens[hi - 1])
     text, place = (t.text[a:b] - lo).astype(np.int32), np.arange(a, b) - t.first[t.text[a:b]]
@@ -666,7 +651,7 @@ def some_scores(t: Tokens, paths: Paths, model: Model, rare: dict[int, bytes], l
     order = np.argsort(block, kind="stable").astype(np.int32)
     depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
     rest = np.zeros(b - a)
-    decisions = list(model.path_bits(t, a, b, order, paths.of(LAST, a, b, depth + 1), paths.of(PAIR, a, b, depth + 1), rest))
+    decisions = list(model.path_bits(t, a, b, order, *(x.of(a, b, depth + 1) for x in paths), rest))
     spelled = order[t.level.take(t.stream[a:b]).take(order) == 0]
     words = [rare[k] for k in t.stream[a:b][spelled].tolist()]
     long = [k for k, w in enumerate(words) if len(w) > model.p.long_word]
@@ -720,10 +705,13 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
     mine = texts.unionByName(replies.where("kind = 'codes'"))
-    keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, p), ROW)
-    paths = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, p.least), ROW), "paths")
-    seen = np.zeros((2, 1 << 16))
-    for r in paths.where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^17
-        seen[r.part >> 16, r.part & 0xFFFF] = r.n
+    seen, paths = np.zeros((2, 1 << 16)), []
+    for kind in (LAST, PAIR):  # one after the other: half the keys on disk at a time
+        keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, kind, p), ROW)
+        paths.append(written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths"))
+        for r in paths[-1].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^16
+            seen[kind, r.part] = r.n
     model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
-    return mine.unionByName(paths.where("kind = 'paths'")).groupBy("chunk").applyInArrow(_score(model), SCORED)
+    for kind in (LAST, PAIR):
+        mine = mine.unionByName(paths[kind].where(F.col("kind") == PATHS[kind]))
+    return mine.groupBy("chunk").applyInArrow(_score(model), SCORED)
