@@ -54,7 +54,6 @@ WORD_GATES = STEPS_LAST * STEPS_PAIR
 GATES = WORD_GATES + len(ORDERS) + 1
 INPUTS = 3
 REACH, FINE = 12, 64
-STATES = 20
 ROW = "chunk long, kind string, part int, n long, data binary"
 SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
@@ -62,7 +61,7 @@ SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("part", pa.in
 @dataclass(frozen=True)
 class Params:
     """common: training tokens from which a word is a context of its own; least: training tokens
-    from which such a context is asked (at most 16). hot: training tokens from which contexts are cut into
+    from which such a context is asked. hot: training tokens from which contexts are cut into
     pieces. chunk_bytes: text of a chunk. bucket_bytes: text a bucket. most_buckets: of words,
     whose places are known to every task (32 numbers each). rate: of the weights learned in a
     text."""
@@ -303,7 +302,8 @@ class Tokens:
 
 
 def _contexts(shift: int, d: Dictionary, kind: int, p: Params):
-    """To each bucket the chunk's distinct keys in order, with their training tokens."""
+    """To each bucket the chunk's distinct keys in order, training and held-out tokens' apart
+    (the last bit tells them), with their training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
@@ -313,10 +313,10 @@ def _contexts(shift: int, d: Dictionary, kind: int, p: Params):
         every = np.sort(np.concatenate([x[1] << np.uint64(1) | tokens.own[x[0]] for x in tokens.keys(kind, p)]))
         if not len(every):
             return
-        new = np.flatnonzero(np.diff(every >> np.uint64(1), prepend=~(every[:1] >> np.uint64(1))))
-        count = np.add.reduceat((every & np.uint64(1)).astype(np.uint32), new, dtype=np.uint32)
-        every = every[new] >> np.uint64(1)
-        buckets = every >> np.uint64(shift)
+        new = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        count = (np.diff(new, append=len(every)) * (every[new] & np.uint64(1))).astype(np.uint32)
+        every = every[new]
+        buckets = every >> np.uint64(shift + 1)
         edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0]))
         for lo, hi in zip([0, *edges], [*edges, len(every)], strict=True):
             yield row(chunk, "keys", int(buckets[lo]), bundle(pack_sorted(every[lo:hi]), pack(count[lo:hi])))
@@ -328,8 +328,8 @@ def _contexts(shift: int, d: Dictionary, kind: int, p: Params):
 
 
 def _paths(bits: np.ndarray, kind: int, least: int):
-    """One bucket: to each chunk the training tokens at every node of its keys' paths; and how
-    often a training token's bit had which counts, in its context before and after it."""
+    """One bucket: to each chunk the states of its keys' bits; and how often a training token's
+    bit had which state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
@@ -346,57 +346,59 @@ def _paths(bits: np.ndarray, kind: int, least: int):
         found = every[order[new]]
         n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
         del every, order, new, own
-        nodes, seen = nodes_of(found, n, bits, least if kind == LAST else 0)
+        states, alone, seen = states_of(found, n, bits, least if kind == LAST else 0)
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
         for k, chunk in enumerate(chunks):
-            mine = nodes.take(at[size[k] : size[k + 1]], axis=1)
-            yield row(chunk, PATHS[kind], part, bundle(len(mine).to_bytes(4, "little"), zstandard.compress(np.diff(mine, axis=0, prepend=np.zeros((1, mine.shape[1]), np.uint8)).tobytes(), 1)))
+            mine = states.take(at[size[k] : size[k + 1]], axis=1)
+            yield row(chunk, PATHS[kind], part, codes.pack_states(mine, alone.take(at[size[k] : size[k + 1]])))
 
     return run
 
 
-def nodes_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct keys with counts: the counts (as_byte) after 0, 1, ... bits, by
-    row, up to where every key is alone, but 0 after a count below least; and the training
-    tokens whose bit had count a before it and b after it, at a << 8 | b."""
-    size = codes.bits_of(found, bits).astype(np.int32)
-    alone = codes.as_byte(n)
-    seen = np.zeros(1 << 16)
-    rows, act, before, ended = [], np.arange(len(found)), None, np.empty(0, np.int64)
-    path, mine, own = found, n, size
+def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted distinct keys, each with a last bit that tells training tokens, and counts:
+    the state of every bit of their paths, by row, one training token of the key left out,
+    and 0 where its context has fewer than least tokens; the row from which on a key is the
+    only one of its beginning; and the training tokens whose bit had each state."""
+    less = (found & np.uint64(1)).astype(np.int64)
+    size = codes.bits_of(found >> np.uint64(1), bits)
+    seen = np.zeros(256)
+    rows, act, alone = [], np.arange(len(found)), np.full(len(found), 255, np.uint8)
+    path, mine, own, left = found, n, less, size
+    total, first, last = sums(path, mine, codes.CODE_BITS + 1)
     for j in range(codes.CODE_BITS + 1):
-        prefix = path >> np.uint64(codes.CODE_BITS - j)
-        edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
-        width = np.diff(edge, append=len(act))
-        total = np.add.reduceat(mine, edge)
-        here = np.repeat(codes.as_byte(total), width)
-        new = rows[-1].copy() if rows else np.empty(len(found), np.uint8)
-        new[ended], new[act] = 0, here
+        new = rows[-1].copy() if rows else np.zeros(len(found), np.uint8)
+        few = total - own < max(least, 1)
+        lone = ~few & (path[first] >> np.uint64(1) == path[last] >> np.uint64(1))
+        new[act[few]] = 0
+        out = act[lone]
+        alone[out] = j
+        new[out] = codes.state(total[lone] - own[lone], np.zeros(len(out), np.int64))
+        seen += np.bincount(new[out], mine[lone] * np.maximum(left[lone] - j, 0), 256)
+        stay = np.flatnonzero(~few & ~lone)
+        act, path, mine, own, left, total = (x.take(stay) for x in (act, path, mine, own, left, total))
+        if len(act):
+            after, first, last = sums(path, mine, codes.CODE_BITS - j)
+            new[act] = here = codes.state(after - own, total - after)
+            real = left > j
+            seen += np.bincount(here[real], mine[real], 256)
+            total = after
         rows.append(new)
-        if before is not None:
-            real = own >= j
-            seen += np.bincount((before.astype(np.int32) << 8 | here)[real], mine[real], 1 << 16)
-        few, lone = np.repeat(total < least, width), np.repeat(width == 1, width)
-        ended, out = act[few], act[lone & ~few]
-        seen += np.bincount(alone.take(out).astype(np.int32) * 257, n.take(out) * np.maximum(size.take(out) - j, 0), 1 << 16)
-        stay = np.flatnonzero(~lone & ~few)
-        act, before, path, mine, own = (x.take(stay) for x in (act, here, path, mine, own))
         if not len(act):
             break
-    if len(ended):
-        rows.append(rows[-1].copy())
-        rows[-1][ended] = 0
-    return np.stack(rows), seen.astype(np.int64)
+    return np.stack(rows), alone, seen.astype(np.int64)
 
 
-# -- predictions
+def sums(path: np.ndarray, n: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of sorted keys: the sum over those of the same beginning, and their first and last."""
+    prefix = path >> np.uint64(shift)
+    edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
+    end = np.append(edge[1:], len(path))
+    return tuple(np.repeat(x, end - edge) for x in (np.add.reduceat(n, edge), edge, end - 1))
 
 
-def state_of(n: np.ndarray) -> np.ndarray:
-    """Counts to the numbers 0 to 19: exact up to 4, then in steps of two thirds of a doubling."""
-    n = np.maximum(np.asarray(n, np.float64), 0)
-    return np.where(n <= 4, n, np.minimum(4 + np.floor(1.5 * np.log2(np.maximum(n, 4) / 4)), STATES - 1)).astype(np.int64)
+# -- predictions
 
 
 def stretched(p):
@@ -404,26 +406,19 @@ def stretched(p):
 
 
 def learned_states(seen: np.ndarray) -> np.ndarray:
-    """(2, 65536): for no and for one token left out, the stretched probability of the side
-    that came, by the counts before it and after it."""
-    a, b = codes.COUNT[np.arange(1 << 16) >> 8], codes.COUNT[np.arange(1 << 16) & 255]
-    total = np.zeros((STATES, STATES))
-    np.add.at(total, (state_of(b - 1), state_of(a - b)), seen)
-    middle = np.asarray([k if k <= 4 else 4 * 2 ** ((k - 3.5) / 1.5) for k in range(STATES)])
-    prior = (middle[:, None] + 0.2) / (middle[:, None] + middle[None, :] + 0.4)
-    p = (total + 4 * prior) / (total + total.T + 4)
-    table = stretched(np.clip(p, 1e-6, 1 - 1e-6))
-    return np.stack([table[state_of(b - own), state_of(a - b)] for own in (0, 1)]).astype(np.float32)
-
-
-def steps(edges: tuple[int, ...]) -> np.ndarray:
-    """(2, 256): how well a context is known, by its count, for no and for one token left out."""
-    return np.stack([np.searchsorted(edges, np.maximum(codes.COUNT - own, 0), side="right") for own in (0, 1)]).astype(np.uint8)
-
-
-KNOWN_LAST, KNOWN_PAIR = steps((1, 16, 128)), steps((1, 2, 4))
-
-
+    """(256): for each state the stretched probability of the side that came, from how often
+    training tokens' bits had it and had that of the sides exchanged."""
+    k = np.arange(256)
+    back = k & 0xF0 | (16 - (k & 15)) & 15
+    middle = np.sign((k & 15) - 8.0) * np.asarray([0.0, 0.5, 1.0, 1.6, 2.5, 3.7, 5.5, 7.5, 7.5])[np.abs((k & 15) - 8)]
+    prior = 1 / (1 + 2.0 ** -middle)
+    p = (seen + 4 * prior) / (seen + seen[back] + 4)
+    return np.where(k & 15, stretched(np.clip(p, 1e-6, 1 - 1e-6)), 0).astype(np.float32)
+
+
+#: How well a context is known, by the state's grade.
+KNOWN_LAST = np.searchsorted([1, 6, 9], np.arange(256) >> 4, side="right").astype(np.uint8)
+KNOWN_PAIR = np.searchsorted([1, 2, 4], np.arange(256) >> 4, side="right").astype(np.uint8)
 START_LAST = ((1.0, 0.0), (0.7, 0.6), (0.45, 0.75), (0.15, 0.9))
 START_PAIR = (0.0, 0.8, 0.9, 0.95)
 START_SPELLED = ((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.2, 0.9, 0.0), (0.1, 0.3, 0.7))
@@ -469,15 +464,15 @@ class Model:
 
     def path_bits(self, t: Tokens, lo: int, hi: int, act: np.ndarray, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
         """(token, gate, inputs) of the bits to mix of tokens lo to hi, in the order act gives;
-        last, pair: counts at their nodes (depth, token). rest takes the log probability of
+        last, pair: the states of their bits (depth, token). rest takes the log probability of
         the others."""
         d, first = self.dictionary, codes.LEVEL_BITS
         word = t.stream[lo:hi]
-        level, rank, own = t.level[word].astype(np.int32), t.rank[word], t.own[lo:hi].astype(np.int32)
+        level, rank = t.level[word].astype(np.int32), t.rank[word]
         bits, words = d.bits[level].astype(np.int32), d.words[level]
-        for j in range(len(last) - 1):
-            mine, a, c = own.take(act), last[j].take(act), pair[j].take(act)
-            some = (a >= self.p.least) | (c > mine)
+        for j in range(len(last)):
+            a, c = last[j].take(act), pair[j].take(act)
+            some = (a | c) > 0
             out = act[~some]
             if j <= first:
                 rest[out] += self.level_rest[j].take(level.take(out))
@@ -486,7 +481,7 @@ class Model:
             stay = np.flatnonzero(some & (first + bits.take(act) > j))  # the path of the others is complete
             if not len(stay):
                 return
-            act, mine, a, c = act.take(stay), mine.take(stay), a.take(stay), c.take(stay)
+            act, a, c = act.take(stay), a.take(stay), c.take(stay)
             x = np.zeros((INPUTS, len(act)), np.float32)
             if j < first:
                 x[0] = self.level_bit[j].take(level.take(act))
@@ -498,9 +493,8 @@ class Model:
                 size, after = (self.below(rank[k], bits[k], words[k], j + i - first) for i in (0, 1))
                 with np.errstate(divide="ignore"):
                     x[0, edge] = np.minimum(np.log(after / (size - after)), SURE)
-            x[1] = self.states[LAST].take(mine << 16 | a.astype(np.int32) << 8 | last[j + 1].take(act))
-            x[2] = self.states[PAIR].take(mine << 16 | c.astype(np.int32) << 8 | pair[j + 1].take(act))
-            gate = KNOWN_LAST.take(a) * np.uint8(STEPS_PAIR) + KNOWN_PAIR.take(mine << 8 | c)
+            x[1], x[2] = self.states[LAST].take(a), self.states[PAIR].take(c)
+            gate = KNOWN_LAST.take(a) * np.uint8(STEPS_PAIR) + KNOWN_PAIR.take(c)
             if j >= first and (x[0] >= SURE).any():  # no word is on the other side
                 keep = np.flatnonzero(x[0] < SURE)
                 yield act.take(keep), gate.take(keep), x[:, keep]
@@ -578,46 +572,45 @@ def block_of(place: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """The counts that the buckets of keys sent for a chunk's keys of one kind."""
+    """The states that the buckets of keys sent for a chunk's keys of one kind."""
 
-    def __init__(self, t: Tokens, rows: list[tuple[str, int, bytes]], kind: int, p: Params) -> None:
+    def __init__(self, t: Tokens, rows: list[tuple[str, int, bytes]], kind: int, shift: int, p: Params) -> None:
         found = t.keys(kind, p)
-        every, at = np.unique(np.concatenate([x[1] for x in found]), return_inverse=True)
+        every, at = np.unique(np.concatenate([x[1] << np.uint64(1) | t.own[x[0]] for x in found]), return_inverse=True)
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
         self.found = [(places, at[a:b].astype(np.int32), before, size) for (places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
-        replies = [parts_of(x) for _, x in sorted((part, x) for own, part, x in rows if own == PATHS[kind])]
-        sizes = [int.from_bytes(r[0], "little") for r in replies]
-        self.nodes, done = np.empty((len(every), max(sizes, default=1)), np.uint8), 0  # by key
-        for n, (_, data) in zip(sizes, replies, strict=True):
-            own = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(n, -1).copy()
-            for k in range(1, n):
-                own[k] += own[k - 1]
-            self.nodes[done : done + own.shape[1], :n] = own.T
-            self.nodes[done : done + own.shape[1], n:] = own[-1][:, None]
-            done += own.shape[1]
+        replies = {part: x for own, part, x in rows if own == PATHS[kind]}
+        buckets, sizes = np.unique((every >> np.uint64(shift + 1)).astype(np.int64), return_counts=True)
+        own = [codes.unpack_states(replies[b], n) for b, n in zip(buckets.tolist(), sizes.tolist(), strict=True)]
+        self.states, done = np.empty((len(every), max((x.shape[1] for x in own), default=1)), np.uint8), 0  # by key
+        for x in own:
+            self.states[done : done + len(x), : x.shape[1]] = x
+            self.states[done : done + len(x), x.shape[1] :] = x[:, -1:]
+            done += len(x)
 
     def of(self, lo: int, hi: int, depth: int) -> np.ndarray:
-        """(depth + 1, tokens): the counts at the nodes of the paths of tokens lo to hi."""
-        out = np.zeros((hi - lo, depth + 1), np.uint8)
+        """(depth, tokens): the states of the bits of tokens lo to hi."""
+        out = np.zeros((hi - lo, depth), np.uint8)
         for places, at, before, size in self.found:
             a, b = np.searchsorted(places, (lo, hi))
             for start in np.unique(before[a:b]):
                 some = slice(a, b) if (before[a:b] == start).all() else np.flatnonzero(before[a:b] == start) + a
-                wide = min(int(size[some].max()) + 1, self.nodes.shape[1], depth + 1 - start)
-                mine = self.nodes.take(at[some], axis=0)[:, :wide]
-                out[places[some] - lo, start : start + wide] = mine
-                out[places[some] - lo, start + wide :] = mine[:, -1:]
+                wide = min(int(size[some].max()), self.states.shape[1], depth - start)
+                if wide > 0:
+                    mine = self.states.take(at[some], axis=0)[:, :wide]
+                    out[places[some] - lo, start : start + wide] = mine
+                    out[places[some] - lo, start + wide :] = mine[:, -1:]
         return np.ascontiguousarray(out.T)
 
 
-def _score(model: Model):
+def _score(model: Model, shift: int):
     """A chunk's texts with the counts of its words and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
         t = Tokens(rows, model.dictionary)
-        yield scores_of(t, [Paths(t, rows, kind, model.p) for kind in (LAST, PAIR)], model)
+        yield scores_of(t, [Paths(t, rows, kind, shift, model.p) for kind in (LAST, PAIR)], model)
 
     return run
 
@@ -705,13 +698,13 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
     mine = texts.unionByName(replies.where("kind = 'codes'"))
-    seen, paths = np.zeros((2, 1 << 16)), []
+    seen, paths = np.zeros((2, 256)), []
     for kind in (LAST, PAIR):  # one after the other: half the keys on disk at a time
         keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, kind, p), ROW)
         paths.append(written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths"))
-        for r in paths[-1].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 2^16
+        for r in paths[-1].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 256
             seen[kind, r.part] = r.n
     model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
     for kind in (LAST, PAIR):
         mine = mine.unionByName(paths[kind].where(F.col("kind") == PATHS[kind]))
-    return mine.groupBy("chunk").applyInArrow(_score(model), SCORED)
+    return mine.groupBy("chunk").applyInArrow(_score(model, codes.KEY_BITS - buckets), SCORED)

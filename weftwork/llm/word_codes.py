@@ -59,22 +59,55 @@ def parts_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-# -- counts as one byte
-
-
-def _decoded() -> np.ndarray:
-    k = np.arange(256, dtype=np.float64)
-    return np.where(k < 16, k, np.rint(16 * 2 ** ((k - 15.5) / 4)))
-
-
-COUNT = _decoded()
-
-
-def as_byte(n: np.ndarray) -> np.ndarray:
-    """Counts below 16 as they are, others in steps of a quarter of a doubling."""
-    out = np.minimum(n, 15).astype(np.uint8)
-    big = np.flatnonzero(n >= 16)
-    out[big] = np.minimum(16 + np.floor(4 * np.log2(n[big] / 16)), 255).astype(np.uint8)
+# -- pairs of counts as one byte
+
+
+#: Steps of the logarithm of a ratio, on either side of none.
+STEPS = np.asarray([0.25, 0.75, 1.25, 2.0, 3.0, 4.5])
+ALL = 15  # the step where no token is on the other side
+
+
+def grade(n: np.ndarray) -> np.ndarray:
+    """Counts up to 4 as they are, others in one step for each doubling, 15 at most."""
+    return np.where(n <= 4, n, np.minimum(2 + np.floor(np.log2(np.maximum(n, 4))), 15)).astype(np.uint8)
+
+
+def state(came: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The tokens on the side that came and on the other as one byte, 0 for none: the grade of
+    their sum and the ratio's step, from 1 to 15. With the sides exchanged the step is 16 less it."""
+    ratio = np.log2((came + 0.5) / (other + 0.5))
+    step = (8 + np.sign(ratio) * np.searchsorted(STEPS, np.abs(ratio))).astype(np.uint8)
+    step = np.where(other == 0, ALL, np.where(came == 0, 16 - ALL, step)).astype(np.uint8)
+    return np.where(came + other > 0, grade(came + other) << 4 | step, 0).astype(np.uint8)
+
+
+def pack_states(states: np.ndarray, alone: np.ndarray) -> bytes:
+    """The states by row, a column for each key: 0 is followed by 0 only and, from the row on
+    that alone gives, all are the same and of step ALL."""
+    out, act, before = [len(states).to_bytes(4, "little")], np.arange(states.shape[1]), np.zeros(states.shape[1], np.uint8)
+    for k, row in enumerate(states):
+        here, ends = row.take(act), alone.take(act) == k
+        sent = np.where(ends | (here == 0), here & 0xF0, here - (before & 0xF0))  # the grade's difference and the step
+        out.append(zstandard.compress(sent.tobytes(), 1))
+        stay = np.flatnonzero(~ends & (here > 0))
+        act, before = act.take(stay), here.take(stay)
+        if not len(act):
+            break
+    return bundle(*out)
+
+
+def unpack_states(data: bytes, keys: int) -> np.ndarray:
+    """(keys, rows)"""
+    rows = parts_of(data)
+    out = np.zeros((keys, int.from_bytes(rows[0], "little")), np.uint8)
+    act, before = np.arange(keys), np.zeros(keys, np.uint8)
+    for k, row in enumerate(rows[1:]):
+        sent = np.frombuffer(zstandard.decompress(row), np.uint8)
+        ends = sent & 15 == 0
+        out[act[ends], k:] = np.where(sent[ends], sent[ends] | ALL, 0)[:, None]
+        stay = np.flatnonzero(~ends)
+        act, before = act.take(stay), sent.take(stay) + (before.take(stay) & 0xF0)
+        out[act, k] = before
     return out
 
 
