@@ -67,7 +67,7 @@ class Params:
     text."""
 
     common: int = 64
-    least: int = 16
+    least: int = 32
     hot: int = 1 << 20
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
@@ -319,7 +319,7 @@ def _contexts(shift: int, d: Dictionary, kind: int, p: Params):
         buckets = every >> np.uint64(shift + 1)
         edges = np.flatnonzero(np.diff(buckets, prepend=buckets[0]))
         for lo, hi in zip([0, *edges], [*edges, len(every)], strict=True):
-            yield row(chunk, "keys", int(buckets[lo]), bundle(pack_sorted(every[lo:hi]), pack(count[lo:hi])))
+            yield row(chunk, "keys", int(buckets[lo]), bundle(codes.pack_keys(every[lo:hi]), pack(count[lo:hi])))
 
     return run
 
@@ -336,7 +336,7 @@ def _paths(bits: np.ndarray, kind: int, least: int):
         part = table.column("part")[0].as_py()
         chunks = table.column("chunk").to_pylist()
         blobs = [parts_of(x) for x in table.column("data").to_pylist()]
-        own = [unpack_sorted(b[0], np.uint64) for b in blobs]
+        own = [codes.unpack_keys(b[0]) for b in blobs]
         size = np.cumsum([0, *map(len, own)])
         every = np.concatenate(own)
         order = np.argsort(every, kind="stable")
@@ -366,11 +366,11 @@ def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
     seen = np.zeros(256)
     rows, act, alone = [], np.arange(len(found)), np.full(len(found), 255, np.uint8)
     path, mine, own, left = found, n, less, size
-    total, first, last = sums(path, mine, codes.CODE_BITS + 1)
+    total, single = sums(path, mine, codes.CODE_BITS + 1)
     for j in range(codes.CODE_BITS + 1):
         new = rows[-1].copy() if rows else np.zeros(len(found), np.uint8)
         few = total - own < max(least, 1)
-        lone = ~few & (path[first] >> np.uint64(1) == path[last] >> np.uint64(1))
+        lone = ~few & single
         new[act[few]] = 0
         out = act[lone]
         alone[out] = j
@@ -379,7 +379,7 @@ def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
         stay = np.flatnonzero(~few & ~lone)
         act, path, mine, own, left, total = (x.take(stay) for x in (act, path, mine, own, left, total))
         if len(act):
-            after, first, last = sums(path, mine, codes.CODE_BITS - j)
+            after, single = sums(path, mine, codes.CODE_BITS - j)
             new[act] = here = codes.state(after - own, total - after)
             real = left > j
             seen += np.bincount(here[real], mine[real], 256)
@@ -390,12 +390,14 @@ def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
     return np.stack(rows), alone, seen.astype(np.int64)
 
 
-def sums(path: np.ndarray, n: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of sorted keys: the sum over those of the same beginning, and their first and last."""
+def sums(path: np.ndarray, n: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted keys: the sum over those of the same beginning, and whether they
+    are one key only."""
     prefix = path >> np.uint64(shift)
     edge = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
     end = np.append(edge[1:], len(path))
-    return tuple(np.repeat(x, end - edge) for x in (np.add.reduceat(n, edge), edge, end - 1))
+    one = path[edge] >> np.uint64(1) == path[end - 1] >> np.uint64(1)
+    return np.repeat(np.add.reduceat(n, edge), end - edge), np.repeat(one, end - edge)
 
 
 # -- predictions
@@ -468,7 +470,7 @@ class Model:
         the others."""
         d, first = self.dictionary, codes.LEVEL_BITS
         word = t.stream[lo:hi]
-        level, rank = t.level[word].astype(np.int32), t.rank[word]
+        level, rank = t.level[word].astype(np.intp), t.rank[word]
         bits, words = d.bits[level].astype(np.int32), d.words[level]
         for j in range(len(last)):
             a, c = last[j].take(act), pair[j].take(act)
@@ -481,7 +483,7 @@ class Model:
             stay = np.flatnonzero(some & (first + bits.take(act) > j))  # the path of the others is complete
             if not len(stay):
                 return
-            act, a, c = act.take(stay), a.take(stay), c.take(stay)
+            act, a, c = act.take(stay), a.take(stay).astype(np.intp), c.take(stay).astype(np.intp)
             x = np.zeros((INPUTS, len(act)), np.float32)
             if j < first:
                 x[0] = self.level_bit[j].take(level.take(act))
@@ -512,7 +514,7 @@ class Model:
         """(word, gate, inputs) of the bits of the words' spellings, bytes' first bits, second
         ones and so on; own: the words to leave out."""
         text = Spelled(words)
-        word, m = np.repeat(np.arange(len(words), dtype=np.int32), text.sizes), len(text.symbols)
+        word, m = np.repeat(np.arange(len(words)), text.sizes), len(text.symbols)
         less = own.astype(np.int32).take(word)
         contexts = list(text.contexts())
         for b in range(8):
@@ -531,7 +533,7 @@ class Model:
         tokens in the order of their blocks; weights are learned block after block."""
         blocks = np.arange(int(block.max()) + 2)
         edges = [np.searchsorted(block.take(token), blocks) for token, _, _ in decisions]
-        parts = [(text.take(token) * np.int32(GATES) + gate, x) for token, gate, x in decisions]
+        parts = [(text.take(token) * GATES + gate, x) for token, gate, x in decisions]
         weights, size = np.tile(self.begin, (1, texts)), texts * GATES
         seen, total = np.zeros(size, np.float32), np.zeros(size)
         for b in blocks[:-1]:
@@ -543,7 +545,7 @@ class Model:
             logit = own[0] * weights[0].take(at)
             for k in range(1, INPUTS):
                 logit += own[k] * weights[k].take(at)
-            step = (np.clip(logit, -REACH, REACH) * FINE + (REACH * FINE + 0.5)).astype(np.int32)
+            step = (np.clip(logit, -REACH, REACH) * FINE + (REACH * FINE + 0.5)).astype(np.intp)
             gap = GAP.take(step)
             total += np.bincount(at, LOG.take(step), size)
             seen += np.bincount(at, minlength=size)
@@ -578,7 +580,7 @@ class Paths:
         found = t.keys(kind, p)
         every, at = np.unique(np.concatenate([x[1] << np.uint64(1) | t.own[x[0]] for x in found]), return_inverse=True)
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
-        self.found = [(places, at[a:b].astype(np.int32), before, size) for (places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+        self.found = [(places, at[a:b], before, size) for (places, _, before, size), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
         replies = {part: x for own, part, x in rows if own == PATHS[kind]}
         buckets, sizes = np.unique((every >> np.uint64(shift + 1)).astype(np.int64), return_counts=True)
         own = [codes.unpack_states(replies[b], n) for b, n in zip(buckets.tolist(), sizes.tolist(), strict=True)]
@@ -639,9 +641,9 @@ def scores_of(t: Tokens, paths: list[Paths], model: Model) -> pa.RecordBatch:
 def some_scores(t: Tokens, paths: list[Paths], model: Model, rare: dict[int, bytes], lo: int, hi: int) -> np.ndarray:
     """Natural logs of the probabilities of texts lo to hi."""
     a, b = int(t.first[lo]), int(t.first[hi - 1] + t.tokens[hi - 1])
-    text, place = (t.text[a:b] - lo).astype(np.int32), np.arange(a, b) - t.first[t.text[a:b]]
+    text, place = t.text[a:b] - lo, np.arange(a, b) - t.first[t.text[a:b]]
     block = block_of(place)
-    order = np.argsort(block, kind="stable").astype(np.int32)
+    order = np.argsort(block, kind="stable")
     depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
     rest = np.zeros(b - a)
     decisions = list(model.path_bits(t, a, b, order, *(x.of(a, b, depth + 1) for x in paths), rest))
@@ -685,7 +687,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     word_buckets = min(buckets, power_above(p.most_buckets))
     chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks", by="kind")
     texts = chunks.where("kind = 'texts'")
-    replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes")
+    replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes", by="kind")
     remove(chunks, "kind=words")
     stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
     words, tokens = np.zeros((1 << word_buckets, codes.LEVELS), np.int64), np.zeros(codes.LEVELS, np.int64)
@@ -697,6 +699,8 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
+    if stats:
+        remove(replies, "kind=spellings")
     mine = texts.unionByName(replies.where("kind = 'codes'"))
     seen, paths = np.zeros((2, 256)), []
     for kind in (LAST, PAIR):  # one after the other: half the keys on disk at a time
@@ -707,4 +711,10 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
     for kind in (LAST, PAIR):
         mine = mine.unionByName(paths[kind].where(F.col("kind") == PATHS[kind]))
-    return mine.groupBy("chunk").applyInArrow(_score(model, codes.KEY_BITS - buckets), SCORED)
+    out = []
+    for k in range(2):  # half the chunks at a time, for the same reason
+        half = mine.where(F.pmod(F.xxhash64("chunk"), F.lit(2)) == k)
+        out.append(written(half.groupBy("chunk").applyInArrow(_score(model, codes.KEY_BITS - buckets), SCORED), "scores"))
+    for table in (chunks, replies, *paths):
+        remove(table)
+    return out[0].unionByName(out[1])

@@ -49,6 +49,27 @@ def unpack_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
+def pack_keys(values: np.ndarray) -> bytes:
+    """Sorted keys with a last bit: the differences of their contexts, and their paths as
+    differences where the context is the same."""
+    low = np.uint64(CODE_BITS + 1)
+    context, path = values >> low, values & np.uint64((1 << CODE_BITS + 1) - 1)
+    step = np.diff(context, prepend=np.uint64(0))
+    less = np.concatenate([[np.uint64(0)], path[:-1]])
+    return bundle(pack(step), pack((path - np.where(step, np.uint64(0), less)).astype(np.uint32)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    step, path = (unpack(x, t) for x, t in zip(parts_of(data), (np.uint64, np.uint32), strict=True))
+    context, path = np.cumsum(step, dtype=np.uint64), np.cumsum(path, dtype=np.uint64)
+    start = np.flatnonzero(step)
+    if not len(step) or step[0] == 0:
+        start = np.concatenate([[0], start[start > 0]]) if len(step) else start
+    before = np.concatenate([[np.uint64(0)], path])[start]
+    path -= np.repeat(before, np.diff(start, append=len(step)))
+    return context << np.uint64(CODE_BITS + 1) | path
+
+
 def bundle(*parts: bytes) -> bytes:
     return np.asarray([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
@@ -72,15 +93,26 @@ def grade(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 4, n, np.minimum(2 + np.floor(np.log2(np.maximum(n, 4))), 15)).astype(np.uint8)
 
 
-def state(came: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The tokens on the side that came and on the other as one byte, 0 for none: the grade of
-    their sum and the ratio's step, from 1 to 15. With the sides exchanged the step is 16 less it."""
+def _state(came: np.ndarray, other: np.ndarray) -> np.ndarray:
     ratio = np.log2((came + 0.5) / (other + 0.5))
     step = (8 + np.sign(ratio) * np.searchsorted(STEPS, np.abs(ratio))).astype(np.uint8)
     step = np.where(other == 0, ALL, np.where(came == 0, 16 - ALL, step)).astype(np.uint8)
     return np.where(came + other > 0, grade(came + other) << 4 | step, 0).astype(np.uint8)
 
 
+FEW = 64
+SMALL = _state(*np.divmod(np.arange(FEW * FEW), FEW))
+
+
+def state(came: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The tokens on the side that came and on the other as one byte, 0 for none: the grade of
+    their sum and the ratio's step, from 1 to 15. With the sides exchanged the step is 16 less it."""
+    out = SMALL.take(np.minimum(came, FEW - 1) * FEW + np.minimum(other, FEW - 1))
+    big = np.flatnonzero(np.maximum(came, other) >= FEW)
+    out[big] = _state(came.take(big), other.take(big))
+    return out
+
+
 def pack_states(states: np.ndarray, alone: np.ndarray) -> bytes:
     """The states by row, a column for each key: 0 is followed by 0 only and, from the row on
     that alone gives, all are the same and of step ALL."""
