@@ -337,21 +337,22 @@ def _paths(bits: np.ndarray, kind: int, least: int):
         chunks = table.column("chunk").to_pylist()
         blobs = [parts_of(x) for x in table.column("data").to_pylist()]
         own = [codes.unpack_keys(b[0]) for b in blobs]
-        size = np.cumsum([0, *map(len, own)])
         every = np.concatenate(own)
-        order = np.argsort(every, kind="stable")
-        new = np.diff(every[order], prepend=~every[order[0]]) != 0
-        at = np.empty(len(every), np.int64)
-        at[order] = np.cumsum(new) - 1
-        found = every[order[new]]
+        order = np.argsort(every)
+        found = every[order]
+        new = np.diff(found, prepend=~found[:1]) != 0
+        found = found[new]
+        at = np.empty(len(every), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
         n = np.bincount(at, np.concatenate([unpack(b[1], np.uint32) for b in blobs]), len(found)).astype(np.int64)
-        del every, order, new, own
+        at = np.split(at, np.cumsum([len(x) for x in own])[:-1])
+        del every, order, new
+        del own, blobs
         states, alone, seen = states_of(found, n, bits, least if kind == LAST else 0)
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
         for k, chunk in enumerate(chunks):
-            mine = states.take(at[size[k] : size[k + 1]], axis=1)
-            yield row(chunk, PATHS[kind], part, codes.pack_states(mine, alone.take(at[size[k] : size[k + 1]])))
+            yield row(chunk, PATHS[kind], part, codes.pack_states(states.take(at[k], axis=1), alone.take(at[k])))
 
     return run
 
@@ -454,13 +455,14 @@ class Model:
 
     def __post_init__(self) -> None:
         d = self.dictionary
-        mass = np.where(d.words > 0, d.tokens + 0.5, 1e-3)
+        mass = np.where(d.words > 0, d.tokens + 0.5, 0)
         mass[0] = d.words[0] + 0.5  # tokens that would be new, were they left out
         node = lambda level, j: mass.reshape(1 << j, -1).sum(axis=1)[level >> (codes.LEVEL_BITS - j)]
         every = np.arange(codes.LEVELS)
         at = np.stack([node(every, j) for j in range(codes.LEVEL_BITS + 1)])
-        self.level_bit = stretched(np.clip(at[1:] / at[:-1], 1e-9, 1 - 1e-9)).astype(np.float32)
-        self.level_rest = np.log(mass) - np.log(at) - np.log(np.maximum(d.words, 1)) * (every > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):  # levels without words
+            self.level_bit = np.minimum(np.log(at[1:] / (at[:-1] - at[1:])), SURE).astype(np.float32)
+            self.level_rest = np.log(mass) - np.log(at) - np.log(np.maximum(d.words, 1)) * (every > 0)
         k = np.arange(256, dtype=np.float32)
         self.logs = np.log(k + np.float32(0.4))
 
@@ -497,7 +499,7 @@ class Model:
                     x[0, edge] = np.minimum(np.log(after / (size - after)), SURE)
             x[1], x[2] = self.states[LAST].take(a), self.states[PAIR].take(c)
             gate = KNOWN_LAST.take(a) * np.uint8(STEPS_PAIR) + KNOWN_PAIR.take(c)
-            if j >= first and (x[0] >= SURE).any():  # no word is on the other side
+            if (x[0] >= SURE).any():  # no word is on the other side
                 keep = np.flatnonzero(x[0] < SURE)
                 yield act.take(keep), gate.take(keep), x[:, keep]
             else:
@@ -567,10 +569,10 @@ class Model:
 
 
 def block_of(place: np.ndarray) -> np.ndarray:
-    """Blocks of 8, 8, 16, 32, 64 and then 128 words."""
+    """Blocks of 8, 8, 16, 32 words and so on, up to 512 and then always 512."""
     place = np.asarray(place, np.int64)
     early = np.floor(np.log2(np.maximum(place, 4) / 4)).astype(np.int64)
-    return np.where(place < 128, early, 4 + place // 128).astype(np.uint16)
+    return np.where(place < 1024, early, 7 + place // 512).astype(np.uint16)
 
 
 class Paths:
