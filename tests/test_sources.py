@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftwork.functions import folding
 from weftwork.operators import browsers, rows
 from weftwork.plans import stylesheets
 from weftwork.sources import texts
@@ -80,3 +82,37 @@ def test_late_sheets_within_the_watermark(spark, tmp_path):
     q = streaming.inserted_once(stream, time="at").writeStream.format("memory").queryName("weftwork_late").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert spark.table("weftwork_late").count() == 1
+
+
+def test_dead_browsers(spark):
+    agents = spark.createDataFrame([("x", "1", 0, 1), ("x", "2", 1, 1), ("ie", "8", 0, 1)], "browser string, version string, pos int, released int")
+    dead = spark.createDataFrame([("ie", "8")], "browser string, version string")
+    assert sorted((r.browser, r.version) for r in browsers.selected(spark, agents, "last 2 versions, not dead", dead=dead).collect()) == [("x", "1"), ("x", "2")]
+    usage = spark.createDataFrame([("x", "1", 0.2), ("x", "2", 5.0)], "browser string, version string, share double")
+    assert sorted((r.browser, r.version) for r in browsers.selected(spark, agents, "defaults", usage, dead).collect()) == [("x", "1"), ("x", "2")]
+    for query in ("not dead", "> 1%"):
+        with pytest.raises(ValueError, match="needs a table"):
+            browsers.selected(spark, agents, query)
+
+
+def test_first_match_keeps_every_row(spark, monkeypatch):
+    left = spark.createDataFrame([(1, "ab"), (1, "ab"), (1, "c"), (2, None)], "id int, t string")
+    rules = spark.createDataFrame([(2, "a"), (1, "ab")], "rule int, prefix string")
+    want = [(1, "ab", 1), (1, "ab", 1), (1, "c", None), (2, None, None)]
+    for few in (1000, 1):
+        monkeypatch.setattr(rows, "FEW_RULES", few)
+        got = rows.first_match(left, rules, lambda r: F.col("t").startswith(r.prefix), "rule").collect()
+        assert sorted(((r.id, r.t, r.rule) for r in got), key=str) == want
+    assert rows.first_match(left, rules.limit(0), lambda r: F.col("t").startswith(r.prefix), "rule").count() == 4
+
+
+def test_rounding_of_large_numbers(spark):
+    x = spark.createDataFrame([(1e20,), (-2.0**60,), (2.5,), (-2.5,), (float("inf"),)], "x double")
+    got = x.select(*(folding.MATH[f](F.col("x")).alias(f) for f in ("ceil", "floor", "round", "trunc"))).collect()
+    assert [tuple(r) for r in got] == [(1e20,) * 4, (-(2.0**60),) * 4, (3, 2, 3, 2), (-2, -3, -2, -2), (float("inf"),) * 4]
+
+
+def test_deep_nesting_is_an_error(spark):
+    deep = "a{" * 5000 + "top:0" + "}" * 5000
+    got = stylesheets.transform_css(spark.createDataFrame([(1, deep), (2, "a{top:0}")], "id int, css string")).collect()
+    assert [r.error is None for r in sorted(got, key=lambda r: r.id)] == [False, True]

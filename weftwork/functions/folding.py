@@ -48,9 +48,16 @@ def truthy(x: Column) -> Column:
 
 LOGICAL = {"||": lambda a, b: F.when(truthy(a), a).otherwise(b), "&&": lambda a, b: F.when(truthy(a), b).otherwise(a), "??": lambda a, b: F.coalesce(a, b)}
 UNARY = {"!": lambda a: ~truthy(a), "+": lambda a: a, "-": lambda a: -a, "~": lambda a: F.bitwise_not(to_int32(a))}
+
+
+def whole(f):
+    """Rounding by f, which goes through 64-bit integers; from 2^53 on every double is whole."""
+    return lambda x: F.when(F.abs(x) < 2.0**53, f(x).cast("double")).otherwise(x)
+
+
 MATH = {
-    "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": lambda x: F.floor(x + 0.5).cast("double"),
-    "trunc": lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"), "sign": F.signum, "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "log": F.log,
+    "abs": F.abs, "ceil": whole(F.ceil), "floor": whole(F.floor), "round": whole(lambda x: F.floor(x + 0.5)),
+    "trunc": whole(lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))), "sign": F.signum, "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "log": F.log,
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan,
 }
 

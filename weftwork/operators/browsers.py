@@ -33,35 +33,41 @@ def version_lookup(agents: DataFrame, wanted: DataFrame) -> DataFrame:
     low, high = F.element_at(ends, 1).try_cast("double"), F.element_at(ends, -1).try_cast("double")
     at = F.col("want").try_cast("double")
     own = agents.select("browser", "version", "pos", low.alias("low"), high.alias("high"))
-    hit = own.join(F.broadcast(wanted), "browser").where((F.col("version") == F.col("want")) | at.between(F.col("low"), F.col("high")))
+    hit = own.join(wanted, "browser").where((F.col("version") == F.col("want")) | at.between(F.col("low"), F.col("high")))
     rank = F.row_number().over(Window.partitionBy("browser", "want").orderBy("pos"))
     return hit.withColumn("_rank", rank).where("_rank = 1").select("browser", "want", "version")
 
 
-def selected(spark: SparkSession, agents: DataFrame, query: str, usage: DataFrame | None = None) -> DataFrame:
+def selected(spark: SparkSession, agents: DataFrame, query: str, usage: DataFrame | None = None, dead: DataFrame | None = None) -> DataFrame:
     """browser, version of a query: atoms joined by comma, each `last N [browser] versions`,
     `<browser> <version>`, `firefox esr`, `> N%` (of usage(browser, version, share)), `dead`
-    left out and `not <atom>` taken away from what came before. Each once, by name and then newest first."""
+    (of dead(browser, version)), `defaults`, and `not <atom>`, taken away from what came before.
+    Each once, by name and then newest first. An atom whose table is not given is an error."""
     out = agents.select("browser", "version").limit(0)
-    for atom in re.split(r"\s*,\s*|\s+or\s+", query.strip()):
+    atoms = re.split(r"\s*,\s*|\s+or\s+", query.strip())
+    for atom in (x for a in atoms for x in (DEFAULT if a.lower() == "defaults" else [a])):
         gone = re.match(r"not\s+(.*)", atom, re.I)
-        got = _atom(spark, agents, gone[1] if gone else atom, usage)
+        got = _atom(spark, agents, gone[1] if gone else atom, usage, dead)
         out = out.join(got, ["browser", "version"], "left_anti") if gone else out.union(got).distinct()
     low = F.split(F.element_at(F.split("version", "-"), 1), r"\.")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("browser").orderBy(F.desc(F.transform(low, lambda x: x.try_cast("int"))))))
 
 
-def _atom(spark: SparkSession, agents: DataFrame, atom: str, usage: DataFrame | None) -> DataFrame:
+def _atom(spark: SparkSession, agents: DataFrame, atom: str, usage: DataFrame | None, dead: DataFrame | None) -> DataFrame:
     atom = atom.strip()
     if m := re.fullmatch(r"last\s+(\d+)\s+(?:(\w+)\s+)?versions?", atom, re.I):
         return last_versions(agents, int(m[1]), m[2])
     if re.fullmatch(r"(firefox|ff|fx)\s+esr", atom, re.I):
         return agents.where((F.col("browser") == "firefox") & F.col("version").isin(*ESR)).select("browser", "version")
-    if (m := re.fullmatch(r"(>=?)\s*([\d.]+)%", atom)) and usage is not None:
+    if m := re.fullmatch(r"(>=?)\s*([\d.]+)%", atom):
+        if usage is None:
+            raise ValueError(f"{atom} needs a table of usage")
         share = F.col("share")
         return usage.where(share > float(m[2]) if m[1] == ">" else share >= float(m[2])).select("browser", "version")
     if atom.lower() == "dead":
-        return agents.where("released is null").select("browser", "version").limit(0)
+        if dead is None:
+            raise ValueError("dead needs a table of dead browsers")
+        return dead.select("browser", "version")
     if m := re.fullmatch(r"(\w+)\s+([\d.]+(?:-[\d.]+)?)", atom):
         name = ALIASES.get(m[1].lower(), m[1].lower())
         wanted = spark.createDataFrame([(name, m[2])], "browser string, want string")
@@ -86,12 +92,13 @@ def support_by_flag(support: DataFrame) -> DataFrame:
 def is_supported(support: DataFrame, features: DataFrame, browsers: DataFrame) -> DataFrame:
     """feature, supported: whether all the browsers have flags beginning with `y`. No browsers:
     true; a browser without an entry, and an unknown feature: false."""
+    asked = browsers.select("browser", "version").distinct()
     known = support.select("feature").distinct().withColumn("known", F.lit(True))
-    asked = features.select("feature").distinct().crossJoin(F.broadcast(browsers.select("browser", "version").distinct()))  # few browsers
-    have = support.select("feature", "browser", "version", F.col("flags").startswith("y").alias("ok"))
-    per = asked.join(have, ["feature", "browser", "version"], "left").groupBy("feature").agg(F.every(F.coalesce("ok", F.lit(False))).alias("ok"))
+    have = support.select("feature", "browser", "version", F.col("flags").startswith("y").alias("ok")).join(asked, ["browser", "version"])
+    per = have.groupBy("feature").agg((F.every(F.coalesce("ok", F.lit(False))) & (F.count_distinct("browser", "version") == asked.count())).alias("ok"))
     out = features.select("feature").distinct().join(known, "feature", "left").join(per, "feature", "left")
-    return out.select("feature", (F.coalesce("known", F.lit(False)) & F.coalesce("ok", F.lit(True))).alias("supported"))
+    none = F.lit(asked.isEmpty())
+    return out.select("feature", (F.coalesce("known", F.lit(False)) & F.coalesce("ok", none)).alias("supported"))
 
 
 def find_features(support: DataFrame, text: str) -> DataFrame:

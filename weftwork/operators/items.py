@@ -57,5 +57,5 @@ def variables(rows: DataFrame, keys: list[str]) -> DataFrame:
 def from_imports(calls: DataFrame, imports: DataFrame, sources: DataFrame) -> DataFrame:
     """calls(module, local, ...) whose local name the module imports from one of sources(source)
     under imports(module, local, imported, source): with the imported name as `api`."""
-    known = imports.join(F.broadcast(sources), "source", "left_semi")
+    known = imports.join(sources, "source", "left_semi")
     return calls.join(known.select("module", "local", F.col("imported").alias("api")), ["module", "local"])

@@ -4,43 +4,51 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from copy import deepcopy
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIRST, LATER
+from ..shared import written
+from .rows import first_match
+from .walks import reached
 
 
-def bindings(spark: SparkSession, scopes: DataFrame, names: DataFrame, uses: DataFrame) -> DataFrame:
+def bindings(scopes: DataFrame, names: DataFrame, uses: DataFrame) -> DataFrame:
     """use, name, scope: the innermost scope around a use that binds its name; null where none
-    does. scopes(scope, parent), names(scope, name), uses(use, scope, name)."""
-    scopes.createOrReplaceTempView("weftwork_scopes")
-    names.createOrReplaceTempView("weftwork_names")
-    uses.createOrReplaceTempView("weftwork_uses")
-    return spark.sql("""
-        WITH RECURSIVE up AS (
-          SELECT use, name, scope, 0 AS depth FROM weftwork_uses
-          UNION ALL
-          SELECT up.use, up.name, s.parent, up.depth + 1 FROM up JOIN weftwork_scopes s ON s.scope = up.scope WHERE s.parent IS NOT NULL),
-        hit AS (SELECT up.use, min_by(up.scope, up.depth) AS scope FROM up JOIN weftwork_names n ON n.scope = up.scope AND n.name = up.name GROUP BY up.use)
-        SELECT u.use, u.name, hit.scope FROM weftwork_uses u LEFT JOIN hit ON hit.use = u.use""")
-
-
-def exports(spark: SparkSession, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """module, name, home, home_name: where a wanted export is defined, through re-exports.
+    does. scopes(scope, parent), names(scope, name), uses(use, scope, name). Scopes may be
+    nested to any depth; ones that hold each other bind nothing they do not name."""
+    bound = names.select("scope", "name").distinct()
+    around = scopes.where("parent is not null").select("scope", "parent").distinct()
+
+    def outwards(here: DataFrame) -> DataFrame:
+        open_ = here.join(bound, ["scope", "name"], "left_anti").join(around, "scope")
+        return open_.select("use", "name", F.col("parent").alias("scope"), (F.col("depth") + 1).alias("depth"))
+
+    hit = reached(uses.select("use", "name", "scope"), outwards, ["use", "name", "scope"], "depth").join(bound, ["scope", "name"], "left_semi")
+    hit = hit.groupBy("use", "name").agg(F.min_by("scope", "depth").alias("scope"))
+    return uses.select("use", "name").join(hit, ["use", "name"], "left")
+
+
+def exports(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """module, name, home, home_name: where a wanted export is defined, through any number of
+    re-exports; of several definitions the nearest, then the first by name. Cycles end.
     edges(module, name, source, source_name): source null for a definition; name `*` passes
-    every name on. Cycles end at 32 hops."""
-    edges.createOrReplaceTempView("weftwork_edges")
-    wanted.createOrReplaceTempView("weftwork_wanted")
-    return spark.sql("""
-        WITH RECURSIVE hop AS (
-          SELECT module, name, module AS at, name AS at_name, 0 AS n FROM weftwork_wanted
-          UNION ALL
-          SELECT h.module, h.name, e.source, CASE WHEN e.name = '*' THEN h.at_name ELSE e.source_name END, h.n + 1
-          FROM hop h JOIN weftwork_edges e ON e.module = h.at AND (e.name = h.at_name OR e.name = '*') WHERE e.source IS NOT NULL AND h.n < 32)
-        SELECT h.module, h.name, min_by(h.at, h.n) AS home, min_by(h.at_name, h.n) AS home_name
-        FROM hop h JOIN weftwork_edges d ON d.module = h.at AND d.name = h.at_name AND d.source IS NULL GROUP BY h.module, h.name""")
+    every name on."""
+    on = edges.where("source is not null").select(F.col("module").alias("at"), F.col("name").alias("by"), "source", "source_name")
+
+    def further(here: DataFrame) -> DataFrame:
+        along = here.join(on, "at").where((F.col("by") == F.col("at_name")) | (F.col("by") == "*"))
+        name = F.when(F.col("by") == "*", F.col("at_name")).otherwise(F.col("source_name"))
+        return along.select("module", "name", F.col("source").alias("at"), name.alias("at_name"), (F.col("hops") + 1).alias("hops"))
+
+    start = wanted.select("module", "name", F.col("module").alias("at"), F.col("name").alias("at_name"))
+    every = reached(start, further, ["module", "name", "at", "at_name"], "hops")
+    homes = edges.where("source is null").select(F.col("module").alias("at"), F.col("name").alias("at_name")).distinct()
+    found = every.join(homes, ["at", "at_name"], "left_semi").groupBy("module", "name").agg(F.min(F.struct("hops", "at", "at_name")).alias("home"))
+    return found.select("module", "name", F.col("home.at").alias("home"), F.col("home.at_name").alias("home_name"))
 
 
 def included_files(hops: DataFrame) -> DataFrame:
@@ -50,10 +58,9 @@ def included_files(hops: DataFrame) -> DataFrame:
 
 def resolved(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """requests(request) by the first of rules(rule, prefix, target) whose prefix it has."""
-    joined = requests.join(F.broadcast(rules), F.col("request").startswith(F.col("prefix")), "left")
-    first = joined.groupBy("request").agg(F.min_by(F.struct("prefix", "target"), "rule").alias("r"))
-    rest = F.substr("request", F.length("r.prefix") + 1)
-    return first.select("request", F.when(F.col("r").isNull(), F.col("request")).otherwise(F.concat("r.target", rest)).alias("path"))
+    first = first_match(requests.select("request").distinct(), rules, lambda r: F.col("request").startswith(r.prefix), "rule")
+    rest = F.substr("request", F.length("prefix") + 1)
+    return first.select("request", F.when(F.col("rule").isNull(), F.col("request")).otherwise(F.concat("target", rest)).alias("path"))
 
 
 def used_variants(uses: DataFrame, maps: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def rewritten_package(text: str, steps: Sequence[Mapping]) -> str:
             for k, v in step["entries"].items():
                 own.setdefault(k, v)
         elif step["from"] in own and not (soft and step["to"] in own):
-            value = own[step["from"]]
+            value = deepcopy(own[step["from"]])  # later steps change the one only
             wrap = step.get("wrap")
             own[step["to"]] = {wrap["key"]: value} if wrap else value
             if op == "renameMapEntry" and step.get("deleteSource"):
@@ -104,9 +111,9 @@ def rewritten_packages(df: DataFrame, column: str, steps: Sequence[Mapping]) ->
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with its rank by `order`, from 0: ranges of the order are sorted apart, and the counts of
-    those before are added."""
+    those before are added. The ranges are written, since both plans must see the same."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
     here = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -70,7 +70,7 @@ def add_prefixes(decls: DataFrame, table: DataFrame, key: str = "doc_id") -> Dat
     """decls(key, ord, ..., prop) with a row for each prefixed clone before the original: column
     `clone` counts from 0, the original last. A clone whose property the same block has
     (same key, at_rules and selectors) is left out."""
-    table = F.broadcast(table.select(F.col("name").alias("prop"), "add"))  # the size of the support data's prefix list
+    table = table.select(F.col("name").alias("prop"), "add")
     joined = decls.join(table, "prop", "left")
     marks = F.concat(F.transform(F.coalesce("add", F.array().cast("array<string>")), lambda p: F.regexp_replace(p, " .*", "")), F.array(F.lit("")))
     out = joined.select("*", F.posexplode(marks).alias("clone", "mark")).withColumn("original", F.col("prop"))
@@ -83,7 +83,7 @@ def add_prefixes(decls: DataFrame, table: DataFrame, key: str = "doc_id") -> Dat
 def remove_prefixes(decls: DataFrame, table: DataFrame) -> DataFrame:
     """decls without those whose prefixed property the table says to remove."""
     gone = table.select("name", F.explode("remove").alias("mark")).select(F.concat(F.regexp_replace("mark", " .*", ""), "name").alias("prop"))
-    return decls.join(F.broadcast(gone.distinct()), "prop", "left_anti")
+    return decls.join(gone.distinct(), "prop", "left_anti")
 
 
 def resolution_variants(query: str) -> list[str]:
@@ -123,7 +123,7 @@ def transition_variants(value: str, table: Mapping[str, list[str]]) -> str:
 def value_variants(decls: DataFrame, table: DataFrame) -> DataFrame:
     """decls with, before each whose value has a word of table(word, mark), a clone in which the
     word is prefixed; `clone` counts from 0, the original last."""
-    hit = decls.join(F.broadcast(table), F.rlike(F.concat(F.lit(" "), "value", F.lit(" ")), F.concat(F.lit(r"[\s,(]"), "word", F.lit(r"[\s,()]"))))
+    hit = decls.join(table, F.rlike(F.concat(F.lit(" "), "value", F.lit(" ")), F.concat(F.lit(r"[\s,(]"), "word", F.lit(r"[\s,()]"))))
     new = F.regexp_replace("value", F.concat(F.lit(r"(^|[\s,(])("), "word", F.lit(r")(?=$|[\s,()])")), F.concat(F.lit("$1"), "mark", F.lit("$2")))
     clones = hit.withColumn("value", new).select(*decls.columns, F.lit(0).alias("clone"))
     return clones.union(decls.select("*", F.lit(1).alias("clone")))

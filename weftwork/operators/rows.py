@@ -5,6 +5,8 @@ Rows have no order of their own, so each operator takes the column (`ord`) that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +93,23 @@ def added_and_removed(df: DataFrame, wanted: str, every: str) -> DataFrame:
     return df.withColumn("add", F.array_sort(add)).withColumn("remove", F.array_sort(F.when(F.size(add) == 0, F.col(every)).otherwise(F.array_except(every, add))))
 
 
-def first_match(left: DataFrame, rules: DataFrame, on: Column, key: str, order: str) -> DataFrame:
-    """Every left row with the first rule, by order, that matches; the rules are few and are sent along."""
-    joined = left.join(F.broadcast(rules), on, "left")
-    return _pick(joined, [key], [F.asc_nulls_last(order)])
+#: Rules up to which they are part of the plan.
+FEW_RULES = 1000
+
+
+def first_match(left: DataFrame, rules: DataFrame, on: Callable[[Column], Column], order: str) -> DataFrame:
+    """Every left row with the columns of the first rule, by order, for which `on` (given the
+    rule as a struct) is true; nulls where there is none. Rows that repeat stay. Few rules
+    are compared in place, without a shuffle; more are joined."""
+    names = rules.columns
+    found = rules.orderBy(order).limit(FEW_RULES + 1).collect()
+    if len(found) <= FEW_RULES:
+        kind = rules.schema.simpleString()
+        if not found:
+            return left.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema))
+        every = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in names)).cast(kind) for r in found))
+        first = F.try_element_at(F.filter(every, lambda r: F.coalesce(on(r), F.lit(False))), F.lit(1))
+        return left.withColumn("_rule", first).select(*left.columns, "_rule.*")
+    one = rules.select(F.struct(*names).alias("_rule"))
+    joined = left.withColumn("_id", F.monotonically_increasing_id()).join(one, on(F.col("_rule")), "left")
+    return _pick(joined, ["_id"], [F.asc_nulls_last(F.col("_rule")[order])]).select(*left.columns, "_rule.*")

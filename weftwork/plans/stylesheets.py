@@ -83,7 +83,7 @@ def sorted_css(text: str, at_rules: bool = True, shorthand: bool = True) -> str:
     return source.text_of(Node("root", children=nodes))
 
 
-ERRORS = (source.CssError, ValueError)
+ERRORS = (source.CssError, ValueError, RecursionError)  # the last for blocks nested too deep
 
 
 def transform_css(df: DataFrame, options: Options = Options(), column: str = "css") -> DataFrame:

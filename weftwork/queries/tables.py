@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import shortest
-from ..operators import rows
+from ..operators import rows, walks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,7 +119,7 @@ def first_rule_match(spark, sf_dir):
     """First match wins: the first prefix rule for each page's address."""
     rules = spark.createDataFrame(RULES, "rule int, prefix string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return rows.first_match(pages, rules, F.col("url").startswith(F.col("prefix")), "page_id", "rule").select("page_id", "rule")
+    return rows.first_match(pages, rules, lambda r: F.col("url").startswith(r.prefix), "rule").select("page_id", "rule")
 
 
 BANDS = [("small", 0.0, 50_000.0), ("middle", 50_000.0, 200_000.0), ("large", 200_000.0, 1e12)]
@@ -142,17 +142,18 @@ def range_lookup(spark, sf_dir):
     UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier) c ON c.parent = t.id)
 SELECT id, path, CAST(depth AS INTEGER) AS depth FROM t""")
 def recursive_paths(spark, sf_dir):
-    """Nesting: every path from the root down, by a recursive query."""
-    for name in ("region", "nation", "supplier"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"weftwork_{name}")
-    return spark.sql("""
-        WITH RECURSIVE t AS (
-          SELECT concat('r', r_regionkey) AS id, CAST(r_name AS STRING) AS path, 1 AS depth FROM weftwork_region
-          UNION ALL
-          SELECT c.id, concat(t.path, '/', c.name), t.depth + 1 FROM t JOIN (
-            SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent, n_name AS name FROM weftwork_nation
-            UNION ALL SELECT concat('s', s_suppkey), concat('n', s_nationkey), s_name FROM weftwork_supplier) c ON c.parent = t.id)
-        SELECT id, path, depth FROM t""")
+    """Nesting: every path from the root down, however deep."""
+    region, nation, supplier = (table(spark, sf_dir, name) for name in ("region", "nation", "supplier"))
+    of = lambda df, id, parent, name: df.select(id.alias("id"), parent.alias("parent"), F.col(name).cast("string").alias("name"))
+    key = lambda letter, c: F.concat(F.lit(letter), c)
+    inner = of(nation, key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name").union(of(supplier, key("s", "s_suppkey"), key("n", "s_nationkey"), "s_name"))
+
+    def inwards(here):
+        found = here.withColumnRenamed("id", "parent").join(inner, "parent")
+        return found.select("id", F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"))
+
+    roots = region.select(key("r", "r_regionkey").alias("id"), F.col("r_name").cast("string").alias("path"))
+    return walks.reached(roots, inwards, ["id"], "depth").select("id", "path", (F.col("depth") + 1).alias("depth"))
 
 
 @query("""SELECT c_mktsegment, n_name, sum(o_totalprice) AS total, count(*) AS n_orders
