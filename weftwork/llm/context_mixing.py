@@ -3,13 +3,14 @@
 A text is its words (lower case A-Z, between ASCII spaces) and an end. Each word is a row
 of binary decisions, the bits of its path (word_codes.py); a word of fewer than two
 training tokens takes the path of level 0 and is then spelled, byte by byte and closed by
-a space, in eight decisions a byte.
+a space, in eight decisions a byte; but a held-out text's word that training has once is
+one of those, all alike.
 
 Every bit of a path is predicted in three contexts: no context, the last common word
 before it, and the two words before it. The latter two are hashed, and counted over all
 training texts; what a pair of counts means as a probability is itself learned, from all
 training decisions. The last common word says something of a bit from Params.least training
-tokens on. Every bit of a spelling is predicted in three contexts, the last 1, 2 and 4
+tokens on. Every bit of a spelling is predicted in three contexts, the last 2, 3 and 4
 bytes, hashed, and counted over all words of one training token. A training token is
 left out of the counts that predict it, so that training and held-out texts are scored alike.
 
@@ -43,7 +44,7 @@ from . import word_codes as codes
 from .common import remove, written
 from .word_codes import bundle, pack, pack_sorted, parts_of, unpack, unpack_sorted
 
-ORDERS = (1, 2, 4)
+ORDERS = (2, 3, 4)
 BITS = 19  # slots of an order's table of spellings: 2^BITS, each with a count of zeros and of ones
 BLOCK = 1 << 16
 DEPTH = codes.LEVEL_BITS + 64
@@ -236,7 +237,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spelled = zstandard.decompress(b[2]).split(b" ")
             spelling_counts([spelled[i] for i in np.flatnonzero(alone)], tables)
     words[0] = np.count_nonzero(count == 1)  # of level 0 only those of a training token
-    yield row(-1, "levels", part, bundle(words.astype(np.int64).tobytes(), np.bincount(level, count, codes.LEVELS).astype(np.int64).tobytes()))
+    yield row(-1, "levels", part, bundle(words.astype(np.int64).tobytes(), np.bincount(level, count, codes.LEVELS).astype(np.int64).tobytes(), np.asarray([np.count_nonzero(count == 2)]).tobytes()))
     for k, block in enumerate(tables.reshape(-1, BLOCK)):
         if block.any():
             yield row(-1, "spellings", k, zstandard.compress(block.tobytes(), 1))
@@ -247,11 +248,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Dictionary:
-    """offsets: (buckets, levels), the ranks before each bucket's; words and tokens by level."""
+    """offsets: (buckets, levels), the ranks before each bucket's; words and tokens by level;
+    twice: words of two training tokens."""
 
     offsets: np.ndarray
     words: np.ndarray
     tokens: np.ndarray
+    twice: int
 
     def __post_init__(self) -> None:
         self.bits = codes.rank_bits(self.words)
@@ -272,7 +275,7 @@ class Tokens:
         self.level = codes.levels(self.count)
         rank = np.concatenate([unpack(b[1], np.uint32) for _, b in replies]).astype(np.int64)
         bucket = np.repeat([part for part, _ in replies], [len(unpack(b[0], np.int64)) for _, b in replies])
-        self.rank = rank + d.offsets[bucket, self.level]
+        self.rank = np.where(self.level > 0, rank + d.offsets[bucket, self.level], 0)
         self.first = np.cumsum(self.tokens) - self.tokens
         self.text = np.repeat(np.arange(len(self.tokens)), self.tokens)
         self.own = np.repeat(~held, self.tokens)
@@ -362,7 +365,7 @@ def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
     the state of every bit of their paths, by row, one training token of the key left out,
     and 0 where its context has fewer than least tokens; the row from which on a key is the
     only one of its beginning; and the training tokens whose bit had each state."""
-    less = (found & np.uint64(1)).astype(np.int64)
+    less, least = (found & np.uint64(1)).astype(np.int64), max(least, 1)
     size = codes.bits_of(found >> np.uint64(1), bits)
     seen = np.zeros(256)
     rows, act, alone = [], np.arange(len(found)), np.full(len(found), 255, np.uint8)
@@ -370,19 +373,22 @@ def states_of(found: np.ndarray, n: np.ndarray, bits: np.ndarray, least: int) ->
     total, single = sums(path, mine, codes.CODE_BITS + 1)
     for j in range(codes.CODE_BITS + 1):
         new = rows[-1].copy() if rows else np.zeros(len(found), np.uint8)
-        few = total - own < max(least, 1)
-        lone = ~few & single
-        new[act[few]] = 0
-        out = act[lone]
+        none = total - own < least  # without its own token
+        new[act[none]] = 0
+        lone = single | (total < least)
+        out, alive = act[lone], np.flatnonzero(lone & ~none)
         alone[out] = j
-        new[out] = codes.state(total[lone] - own[lone], np.zeros(len(out), np.int64))
-        seen += np.bincount(new[out], mine[lone] * np.maximum(left[lone] - j, 0), 256)
-        stay = np.flatnonzero(~few & ~lone)
-        act, path, mine, own, left, total = (x.take(stay) for x in (act, path, mine, own, left, total))
+        some = act[alive]
+        new[some] = codes.state(total[alive] - own[alive], np.zeros(len(some), np.int64))
+        seen += np.bincount(new[some], mine[alive] * np.maximum(left[alive] - j, 0), 256)
+        stay = np.flatnonzero(~lone)
+        act, path, mine, own, left, total, none = (x.take(stay) for x in (act, path, mine, own, left, total, none))
         if len(act):
             after, single = sums(path, mine, codes.CODE_BITS - j)
-            new[act] = here = codes.state(after - own, total - after)
-            real = left > j
+            here = codes.state(after - own, total - after)
+            here[none] = 0
+            new[act] = here
+            real = np.flatnonzero((left > j) & ~none)
             seen += np.bincount(here[real], mine[real], 256)
             total = after
         rows.append(new)
@@ -422,21 +428,21 @@ def learned_states(seen: np.ndarray) -> np.ndarray:
 #: How well a context is known, by the state's grade.
 KNOWN_LAST = np.searchsorted([1, 6, 9], np.arange(256) >> 4, side="right").astype(np.uint8)
 KNOWN_PAIR = np.searchsorted([1, 2, 4], np.arange(256) >> 4, side="right").astype(np.uint8)
-START_LAST = ((1.0, 0.0), (0.7, 0.6), (0.45, 0.75), (0.15, 0.9))
-START_PAIR = (0.0, 0.8, 0.9, 0.95)
-START_SPELLED = ((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.2, 0.9, 0.0), (0.1, 0.3, 0.7))
+#: Weights at the beginning of a text: of a path's bits by how well the last common word is
+#: known and, in each row, the two words before (no context, the last, the two); of a
+#: spelling's by the longest known order.
+START_PATH = (
+    ((1.0, 0.0, 0.0), (0.35, 0.0, 1.4), (0.25, 0.0, 1.5), (0.1, 0.0, 1.5)),
+    ((0.5, 0.5, 0.0), (0.2, 0.3, 0.9), (0.15, 0.35, 0.85), (0.05, 0.25, 1.0)),
+    ((0.4, 0.6, 0.0), (0.15, 0.4, 0.9), (0.1, 0.4, 0.85), (0.05, 0.3, 1.0)),
+    ((0.3, 0.7, 0.0), (0.1, 0.45, 0.7), (0.1, 0.5, 0.65), (0.0, 0.35, 0.8)),
+)
+START_SPELLED = ((0.0, 0.0, 0.0), (0.4, 0.0, 0.0), (0.3, 0.55, 0.0), (0.0, 0.55, 0.55))
 
 
 def begin() -> np.ndarray:
-    """(inputs, gates): the weights at the beginning of a text. Inputs of a path's bits are no
-    context, the last common word and the two words before; of a spelling's, the orders."""
-    out = np.zeros((INPUTS, GATES), np.float32)
-    for last, w in enumerate(START_LAST):
-        for pair, v in enumerate(START_PAIR):
-            out[:, last * STEPS_PAIR + pair] = w[0] * (1 - v), w[1] * (1 - v), v
-    for known, w in enumerate(START_SPELLED):
-        out[:, WORD_GATES + known] = w
-    return out
+    """(inputs, gates)"""
+    return np.asarray([*(w for row in START_PATH for w in row), *START_SPELLED], np.float32).T.copy()
 
 
 LOGIT = np.arange(-REACH * FINE, REACH * FINE + 1, dtype=np.float32) / FINE
@@ -463,6 +469,9 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):  # levels without words
             self.level_bit = np.minimum(np.log(at[1:] / (at[:-1] - at[1:])), SURE).astype(np.float32)
             self.level_rest = np.log(mass) - np.log(at) - np.log(np.maximum(d.words, 1)) * (every > 0)
+        # of level 0, tokens whose word another token has: were they left out, words of two are of one
+        again = (2 * d.twice + 0.5) / (d.words[0] + 2 * d.twice + 1)
+        self.seen_once, self.new = np.log(again / max(1, d.words[0])), np.log(1 - again)
         k = np.arange(256, dtype=np.float32)
         self.logs = np.log(k + np.float32(0.4))
 
@@ -649,16 +658,21 @@ def some_scores(t: Tokens, paths: list[Paths], model: Model, rare: dict[int, byt
     depth = codes.LEVEL_BITS + int(model.dictionary.bits.max(initial=0))
     rest = np.zeros(b - a)
     decisions = list(model.path_bits(t, a, b, order, *(x.of(a, b, depth + 1) for x in paths), rest))
-    spelled = order[t.level.take(t.stream[a:b]).take(order) == 0]
+    count, own = t.count.take(t.stream[a:b]), t.own[a:b]
+    known = (count == 1) & ~own
+    rest[known] += model.seen_once
+    new = (count <= 1) & ~known
+    rest[new] += model.new
+    spelled = order[new.take(order)]
     words = [rare[k] for k in t.stream[a:b][spelled].tolist()]
     long = [k for k, w in enumerate(words) if len(w) > model.p.long_word]
     for k in long:
-        rest[spelled[k]] += model.long_word(words[k], bool(t.own[a + spelled[k]]))
+        rest[spelled[k]] += model.long_word(words[k], bool(own[spelled[k]]))
         words[k] = None
     if long:
         words, spelled = [w for w in words if w is not None], np.delete(spelled, long)
     if words:
-        decisions += [(spelled.take(word), gate, x) for word, gate, x in model.spelled_bits(words, t.own[a:b][spelled])]
+        decisions += [(spelled.take(word), gate, x) for word, gate, x in model.spelled_bits(words, own[spelled])]
     out = np.bincount(text, rest, hi - lo)
     return out + model.mixed(decisions, text, block, hi - lo) if decisions else out
 
@@ -693,11 +707,13 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     remove(chunks, "kind=words")
     stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
     words, tokens = np.zeros((1 << word_buckets, codes.LEVELS), np.int64), np.zeros(codes.LEVELS, np.int64)
+    twice = 0
     for r in stats:
         own = [np.frombuffer(x, np.int64) for x in parts_of(r.data)]
         words[r.part] = own[0]
         tokens += own[1]
-    dictionary = Dictionary(np.cumsum(words, axis=0) - words, words.sum(axis=0), tokens)
+        twice += int(own[2][0])
+    dictionary = Dictionary(np.cumsum(words, axis=0) - words, words.sum(axis=0), tokens, twice)
     tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
