@@ -6,9 +6,11 @@ fits; bins wait in a balanced tree ordered by remaining capacity. For a fixed nu
 shards the capacity is the smallest, in fine steps, with which that many bins do, once
 groups above the mean have shards of their own.
 
-Only groups above a grain are items of their own; smaller groups are gathered by hash
-into bundles of about the grain. So the driver packs a number of items that depends on
-the number of shards and not on the number of documents, and groups stay whole.
+The driver packs sizes, each with the number of groups that have it: the groups of one
+size enter a bin together for as long as it is the tightest. Since different sizes add
+up to no more than all bytes, there are fewer than sqrt(2 * bytes) of them. Which group of
+a size enters which bin is settled where the groups lie, by their places in an order
+of hashes.
 """
 
 from __future__ import annotations
@@ -94,64 +96,72 @@ class Tree:
         return found
 
 
-def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """(bin of each item, number of bins). An item above the capacity has a bin to itself.
-    Equal sizes are packed in the order given, equal bins by number."""
-    out, tree, bins = [0] * len(sizes), Tree(), 0
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        got = tree.take(sizes[k])
-        if got is None:
-            got, bins = (max(capacity, sizes[k]), bins), bins + 1
-        out[k] = got[1]
-        tree.insert((got[0] - sizes[k], got[1]))
-    return out, bins
+Sizes = list[tuple[int, int]]  # (size, groups of it), largest size first
+
+
+def best_fit(sizes: Sizes, capacity: int) -> list[Sizes]:
+    """What each bin holds. A group above the capacity has a bin to itself. Equal bins are
+    taken by number."""
+    tree, bins = Tree(), []
+    for size, n in sizes:
+        while n:
+            got = tree.take(size)
+            if got is None:
+                got = (max(capacity, size), len(bins))
+                bins.append([])
+            # what remains of the tightest bin is tighter still, so the next group enters it too
+            fit = min(n, got[0] // size)
+            bins[got[1]].append((size, fit))
+            tree.insert((got[0] - fit * size, got[1]))
+            n -= fit
+    return bins
+
+
+def halves(own: Sizes) -> tuple[Sizes, Sizes]:
+    """Every other group, from the largest on, and the rest."""
+    out, seen = ([], []), 0
+    for size, n in own:
+        second = (n + seen % 2) // 2
+        for part, k in zip(out, (n - second, second), strict=True):
+            if k:
+                part.append((size, k))
+        seen += n
+    return out
 
 
-def fixed_bins(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each item: all bins are used if there are as many items.
+def fixed_bins(sizes: Sizes, bins: int) -> list[Sizes]:
+    """What each bin holds: all bins are used if there are as many groups.
 
-    An item above the mean of what is left has a bin to itself, largest first, and the mean
-    is taken anew; the rest enter the remaining bins, with the smallest capacity for which
-    no more are used. Bins that stay empty then, which few and coarse items can leave, take
-    every other item of the fullest bin that has two.
+    A group above the mean of what is left has a bin to itself, largest first, and the mean
+    is taken anew; the rest enter the remaining bins, with the smallest capacity, in fine
+    steps, for which no more are used. Bins that stay empty then, which few and coarse
+    groups can leave, take every other group of the fullest bin that has two.
     """
-    out = [0] * len(sizes)
-    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
-    left, own = sum(sizes), 0
-    while own < len(order) and sizes[order[own]] * (bins - own) > left:
-        out[order[own]] = own
-        left -= sizes[order[own]]
-        own += 1
-    rest = order[own:]
+    left, out, rest = sum(size * n for size, n in sizes), [], list(sizes)
+    while rest and rest[0][0] * (bins - len(out)) > left:
+        size, n = rest[0]
+        out.append([(size, 1)])
+        left -= size
+        rest[:1] = [(size, n - 1)] if n > 1 else []
     if not rest:
         return out
-    few = bins - own
-    low = max(-(-left // few), sizes[rest[0]])
+    few = bins - len(out)
+    low = max(-(-left // few), rest[0][0])
     step = max(1, low // 10_000)
-    while True:
-        found, used = best_fit([sizes[k] for k in rest], low)
-        if used <= few:
-            break
+    while len(found := best_fit(rest, low)) > few:
         low += step
         step += step // 2
-    members: list[list[int]] = [[] for _ in range(used)]
-    for k, b in zip(rest, found, strict=True):
-        members[b].append(k)
-    while len(members) < min(few, len(rest)):
-        full = max((m for m in members if len(m) > 1), key=lambda m: sum(sizes[k] for k in m))
-        members.append(full[1::2])
-        del full[1::2]
-    for b, m in enumerate(members):
-        for k in m:
-            out[k] = own + b
-    return out
+    while len(found) < min(few, sum(n for _, n in rest)):
+        full = max((k for k, own in enumerate(found) if sum(n for _, n in own) > 1), key=lambda k: sum(size * n for size, n in found[k]))
+        found[full], other = halves(found[full])
+        found.append(other)
+    return out + found
 
 
 @dataclass(frozen=True)
 class Params:
-    """grain: an item has about 1 / grain of a shard. slot_rows: rows numbered by one task."""
+    """slot_rows: rows, or groups, numbered by one task."""
 
-    grain: int = 256
     slot_rows: int = 4096
 
 
@@ -164,45 +174,42 @@ def sharded(docs: DataFrame, shards: int = 16, capacity: int | None = None, p: P
     capacity, as few shards as best fit finds hold at most that many bytes each, but for
     a group that is larger by itself. Rows of equal text, null being one text, share
     a shard. slot counts a shard's rows from 0 without gaps. grown_shard is null under this
-    law. Rows that repeat are rows of their own; extra columns are ignored; an empty table gives
-    no rows.
+    law. Rows that repeat, or have no doc_id, are rows of their own; extra columns are
+    ignored; an empty table gives no rows.
     """
-    text = F.col("text")
+    spark, text = docs.sparkSession, F.col("text")
     group = F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"null"))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rows = without_clashes(docs, "doc_id", "text").select("doc_id", size.alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), group.alias("group"))
     rows = written(rows, "sizes")
-    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    if not total.n:
-        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    count = shards if capacity is None else -(-total.bytes // capacity)
-    grain = max(1, total.bytes // (count * p.grain))
-    bundles = count * p.grain
-    groups = rows.groupBy("group").agg(F.sum("size").alias("size"))
-    bundle = F.pmod(F.xxhash64("group"), F.lit(bundles))
-    # at most bytes / grain groups are large, and there are as many bundles
-    item = F.when(F.col("size") >= grain, F.col("group"))
-    items = groups.groupBy(item.alias("large"), F.when(item.isNull(), bundle).alias("bundle")).agg(F.sum("size").alias("size")).collect()
-    items.sort(key=lambda r: (bytes(r.large or b""), -1 if r.bundle is None else r.bundle))
-    sizes = [r.size for r in items]
-    bins = fixed_bins(sizes, shards) if capacity is None else best_fit(sizes, capacity)[0]
-    spark = docs.sparkSession
-    large = spark.createDataFrame([(bytes(r.large), b) for r, b in zip(items, bins, strict=True) if r.large is not None], "group binary, own int")
-    small = spark.createDataFrame([(r.bundle, b) for r, b in zip(items, bins, strict=True) if r.large is None], "bundle long, shared int")
-    placed = rows.join(F.broadcast(large), "group", "left").withColumn("bundle", bundle).join(F.broadcast(small), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"))
-    return numbered(placed, total.n, p)
-
-
-def numbered(placed: DataFrame, n: int, p: Params) -> DataFrame:
-    """Adds slot by prefix sums: rows fall by hash into buckets, a bucket's first slot is the
-    count of the shard's rows in earlier buckets, and only a bucket is ever sorted."""
-    parts = max(1, -(-n // p.slot_rows))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).alias("bucket")
-    dealt = placed.select("*", bucket)
-    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
-    here = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = dealt.withColumn("here", here).join(first, ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("here")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
+    counts = groups.groupBy("bytes").count().collect()  # fewer than sqrt(2 * all bytes)
+    sizes = sorted(((r.bytes, r["count"]) for r in counts), reverse=True)
+    bins = fixed_bins(sizes, shards) if capacity is None else best_fit(sizes, capacity)
+    upto: dict[int, int] = {}
+    parts = []
+    for b, own in enumerate(bins):  # of a size's groups, the places from `low` on
+        for n_bytes, n in own:
+            low = upto.get(n_bytes, 0)
+            parts.append((n_bytes, low, low + n, b))
+            upto[n_bytes] = low + n
+    parts = spark.createDataFrame(parts, "bytes long, low long, high long, shard int")
+    placed = placing(groups, sum(n for _, n in sizes), ["bytes"], ["group"], "place", p).join(parts, "bytes").where("place >= low and place < high")
+    placed = rows.join(placed.select("group", "shard"), "group").select("doc_id", "size", "text_crc32", "shard")
+    n = rows.count()
+    out = placing(placed, n, ["shard"], ["doc_id", "text_crc32", "size"], "slot", p)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def placing(rows: DataFrame, n: int, keys: list[str], order: list[str], name: str, p: Params) -> DataFrame:
+    """Numbers the rows of each key from 0 by prefix sums: rows fall by hash of `order` into
+    buckets, a bucket's first number is the count of the key's rows in earlier buckets, and
+    only a bucket is ever sorted."""
+    buckets = max(1, -(-n // p.slot_rows))
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    first = counts.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_first"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    out = dealt.withColumn("_here", here).join(first, [*keys, "_bucket"])
+    return out.withColumn(name, F.col("_first") + F.col("_here")).drop("_bucket", "_first", "_here")
