@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +25,18 @@ from .common import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 RANGES = 1024
+SEPARATOR = "\x01"
 
 
 @dataclass(frozen=True)
 class Params:
     """budget: tokens, or, if below or at 1 as a float, a share of all. weights: by path
-    (a tuple of names from the root); a node without one has weight 1. most_leaves: the
-    driver holds the tree, so a tree with more leaves is refused."""
+    (a tuple of names from the root); a node without one has weight 1."""
 
     budget: float | int = 1.0
     epochs: int = 2
     weights: Mapping[tuple[str, ...], float] = field(default_factory=dict)
     seed: int = 17
-    most_leaves: int = 100_000
 
 
 def poured(amount: int, room: list[int], weights: list[float]) -> list[int]:
@@ -63,24 +63,32 @@ def poured(amount: int, room: list[int], weights: list[float]) -> list[int]:
     return out
 
 
-def budgets(leaves: Mapping[tuple[str, ...], int], amount: int, epochs: int, weights: Mapping[tuple[str, ...], float]) -> dict[tuple[str, ...], int]:
-    """The tokens that each leaf (path to tokens it has) is to give."""
-    out: dict[tuple[str, ...], int] = {}
+def _share(epochs: int, weights: Mapping[tuple[str, ...], float]):
+    """A parent's budget among its children."""
 
-    def down(paths: list[tuple[str, ...]], depth: int, share: int) -> None:
-        children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-        for path in paths:
-            children.setdefault(path[: depth + 1], []).append(path)
-        names = sorted(children)
-        room = [epochs * sum(leaves[x] for x in children[name]) for name in names]
-        for name, own in zip(names, poured(share, room, [weights.get(name, 1.0) for name in names]), strict=True):
-            if len(name) == len(children[name][0]):
-                out[name] = own
-            else:
-                down(children[name], depth + 1, own)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("path")
+        paths = table.column("path").to_pylist()
+        room = [epochs * n for n in table.column("n").to_pylist()]
+        given = poured(table.column("budget")[0].as_py(), room, [weights.get(tuple(x.split(SEPARATOR)), 1.0) for x in paths])
+        return pa.table({"path": table.column("path"), "n": table.column("n"), "budget": pa.array(given, pa.int64())})
 
-    down(sorted(leaves), 0, amount)
-    return out
+    return run
+
+
+def budgets(leaves: DataFrame, depth: int, amount: int, epochs: int, weights: Mapping[tuple[str, ...], float]) -> DataFrame:
+    """path, n, budget: the tokens that each of leaves(path, n) is to give. Paths are names
+    from the root down, as many as depth. Level by level, the children of a
+    node share its budget in one task; the driver sees none of them."""
+    spark = leaves.sparkSession
+    nodes = spark.createDataFrame([("", amount)], "path string, budget long")
+    for k in range(1, depth + 1):
+        upto = F.substring_index("path", SEPARATOR, k)
+        children = leaves.groupBy(upto.alias("path")).agg(F.sum("n").alias("n"))
+        parent = F.substring_index("path", SEPARATOR, k - 1) if k > 1 else F.lit("")
+        own = children.withColumn("parent", parent).join(nodes.select(F.col("path").alias("parent"), "budget"), "parent")
+        nodes = written(own.groupBy("parent").applyInArrow(_share(epochs, weights), "path string, n long, budget long"), "budgets")
+    return nodes
 
 
 def mixed(docs: DataFrame, levels: Mapping[str, Column], p: Params = Params(), keep: bool = False) -> DataFrame:
@@ -94,40 +102,36 @@ def mixed(docs: DataFrame, levels: Mapping[str, Column], p: Params = Params(), k
     table, or no budget, gives no rows with tokens.
     """
     names = list(levels)
-    path = F.concat_ws("\x01", *(F.regexp_replace(F.coalesce(x, F.lit("")), "\x01", "") for x in levels.values()))
+    path = F.concat_ws(SEPARATOR, *(F.regexp_replace(F.coalesce(x, F.lit("")), SEPARATOR, "") for x in levels.values()))
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    slim = written(docs.select("doc_id", path.alias("leaf"), tokens.alias("n")), "leaves")
-    sums = slim.groupBy("leaf").agg(F.sum("n").alias("n")).limit(p.most_leaves + 1).collect()
-    if len(sums) > p.most_leaves:
-        raise ValueError(f"the tree has more than {p.most_leaves} leaves")
-    leaves = {tuple(r.leaf.split("\x01")): r.n for r in sums}
-    total = sum(leaves.values())
+    level = F.array(*(F.coalesce(x, F.lit("")) for x in levels.values())).alias("level")
+    slim = written(docs.select("doc_id", path.alias("leaf"), level, tokens.alias("n")), "leaves")
+    leaves = written(slim.groupBy("leaf").agg(F.sum("n").alias("n")).withColumnRenamed("leaf", "path"), "sums")
+    total = leaves.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     amount = int(p.budget * total) if isinstance(p.budget, float) and p.budget <= 1 else int(p.budget)
-    given = budgets(leaves, amount, p.epochs, p.weights)
-    shares = [("\x01".join(k), given[k], given[k] // n if n else 0, given[k] % n if n else 0) for k, n in leaves.items() if p.epochs > 0]
-    spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(shares, "leaf string, budget long, whole long, rest long"))
+    given = budgets(leaves, len(names), amount, p.epochs, p.weights)
+    part = lambda f: F.when(F.col("n") > 0, f).otherwise(0)
+    plan = given.where(F.lit(p.epochs > 0)).select(F.col("path").alias("leaf"), "budget", part(F.expr("budget div n")).alias("whole"), part(F.expr("budget % n")).alias("rest"))
     # the leaf's order in its last epoch; the key is not negative, so that ranges are its leading bits
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), "whole", "doc_id"), 1)
-    placed = slim.join(plan, "leaf").select("leaf", "n", "rest", key.alias("key"))
+    key = lambda id: F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), "whole", id), 1)
+    placed = slim.join(plan, "leaf").select("leaf", "n", "rest", key("doc_id").alias("key"))
     width = 1 << 53  # 2^63 keys in RANGES ranges
     ranges = placed.groupBy("leaf", "rest", F.floor(F.col("key") / width).alias("range")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("leaf").orderBy("range"))
     crossed = ranges.withColumn("upto", upto).where("upto > rest").groupBy("leaf").agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("before"))).alias("x"))
     crossed = crossed.select("leaf", "x.range", "x.before")
-    inside = placed.withColumn("range", F.floor(F.col("key") / width)).join(F.broadcast(crossed), ["leaf", "range"])
+    inside = placed.withColumn("range", F.floor(F.col("key") / width)).join(crossed, ["leaf", "range"])
     keys = inside.groupBy("leaf", "rest", "before", "key").agg(F.sum("n").alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("key"))
     cut = keys.withColumn("upto", upto).where("upto > rest").groupBy("leaf").agg(F.min("key").alias("cut"))
-    cuts = {r.leaf: r.cut for r in cut.collect()}  # a row for each leaf
-    rows = [(leaf, budget, whole, cuts.get(leaf)) for leaf, budget, whole, _ in shares]
-    chosen = F.broadcast(spark.createDataFrame(rows, "leaf string, budget long, whole long, cut long"))
-    # docs' row stays in one struct, so that none of its names can clash
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    level = F.array(*(F.coalesce(x, F.lit("")) for x in levels.values())).alias("level")
-    out = docs.select(row, path.alias("leaf"), level, F.col("doc_id").alias("id"), tokens.alias("n")).join(chosen, "leaf")
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(p.seed), "whole", "id"), 1)
-    times = F.col("whole") + F.when(F.col("cut").isNull() | (key < F.col("cut")), 1).otherwise(0)
+    chosen = written(plan.join(cut, "leaf", "left").select("leaf", "budget", "whole", "cut"), "cuts")  # a row for each leaf
+    if keep:
+        # docs' row stays in one struct, so that none of its names can clash
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+        out = docs.select(row, path.alias("leaf"), F.col("doc_id").alias("id")).join(chosen, "leaf")
+    else:
+        out = slim.withColumnRenamed("doc_id", "id").join(chosen, "leaf")
+    times = F.col("whole") + F.when(F.col("cut").isNull() | (key("id") < F.col("cut")), 1).otherwise(0)
     times = F.least(times, F.lit(p.epochs).cast("long"))
     epochs = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>"))
     out = out.select("*", F.explode(epochs).alias("epoch"))
