@@ -6,7 +6,7 @@ in the family found, one-versus-one machines vote between its languages. A text'
 for a machine is the mean weight of its features, so texts of any length are one pass.
 
 The machines are fitted on a bounded sample of labelled rows: for each language the
-`sample` rows whose doc_id hashes lowest. Their features are counted on the executors;
+`sample` rows whose doc_id and text hash lowest. Their features are counted on the executors;
 the driver gets sparse counts, never texts.
 """
 
@@ -14,12 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -36,10 +35,9 @@ PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 @dataclass(frozen=True)
 class Params:
-    """sample: labelled rows for each language; languages: at most so many, the most frequent."""
+    """sample: different labelled rows for each language; all languages are learned."""
 
     sample: int = 1000
-    languages: int = 200
     rounds: int = 150
     penalty: float = 1e-3
     slope: float = 3.0
@@ -196,15 +194,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, p: Params = Params()) -> Model:
     """The model from labelled(doc_id, text, lang); rows with a null lang, or whose text is
     null or without letters, teach nothing. No usable row: a model that knows no language."""
-    rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()
-    # only the share of a language's rows that holds its lowest hashes, with room to spare, is ranked
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(2.0**63)
-    low = [(F.col("lang") == r.lang) & (place <= 3 * p.sample / r["count"]) for r in most]
-    rows = rows.where(reduce(Column.__or__, low, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.sample).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")  # at most sample * languages ids
+    rows = labelled.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # only the share of a language's rows that holds its lowest hashes, with room to spare, is
+    # ranked; rows that repeat have one place
+    share = rows.groupBy("lang").agg((F.lit(3.0 * p.sample) / F.approx_count_distinct("place")).alias("share"))
+    low = rows.select("lang", "place").join(share, "lang").where(F.col("place") / F.lit(2.0**63) <= F.col("share")).select("lang", "place").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    last = low.withColumn("k", rank).where(F.col("k") <= p.sample).groupBy("lang").agg(F.max("place").alias("last"))
+    sample = rows.join(last, "lang").where(F.col("place") <= F.col("last")).groupBy("lang", "place").agg(F.first("text").alias("text")).select("lang", "text")
     got = sample.mapInArrow(_count, "lang string, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.ids), bytes(r.counts)))
     return fit([r.lang for r in got], [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u4").astype(np.float64)) for r in got], p)
@@ -222,13 +220,14 @@ def _predict(model: Model):
     return run
 
 
-#: The columns that predicted() adds; a column of docs with such a name is an error.
+#: The columns that predicted() adds; columns of docs with such names are replaced.
 ADDED = ["lang_pred", "lang_score"]
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and lang_score (0 to 1) after its own columns. A null or empty
     text, or one without letters, is `und` with score 0. Rows depend on their text only."""
+    docs = docs.drop(*ADDED)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.mapInArrow(_predict(model), ", ".join([*kinds, "lang_pred string", "lang_score double"]))
 
