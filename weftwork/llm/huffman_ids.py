@@ -5,13 +5,15 @@ stay within a limit) and is canonical, so the file keeps its lengths only. Docum
 in ascending doc_id order, cut into ranges (one written by each task) and, at document
 boundaries, into blocks. A block is
 
-    b"CHB1", then unsigned 32-bit: documents, ids, bytes of code;
+    b"CHB2", then unsigned 32-bit: documents, those without a doc_id (they come first),
+    ids, bytes of code;
     64-bit doc_ids; 32-bit ids of each document;
     16-bit lengths in bits of each run of STRIDE ids, of which checkpoints are the sums;
     the code, most significant bit first.
 
-All numbers are little-endian. Decoding looks up the next 16 bits in a table that has
-the id and the length of its code, for all checkpoints of a block side by side. Blocks
+All numbers are little-endian. Codes have 16 bits at most, or as many as more than 32,768
+ids need. Decoding looks up that many bits in a table that has the id and the length of
+its code, for all checkpoints of a block side by side. Blocks
 are rows of Parquet files, so Spark's own committers and stores serve as the file layer.
 """
 
@@ -32,13 +34,14 @@ from .common import partitions, written
 from .token_cache import ID
 from .tokens import ranged, starts, unpacked
 
-MAGIC, HEAD, STRIDE, PEEK = b"CHB1", struct.Struct("<4sIII"), 64, 16
-NO_DOC = -(1 << 63)
+MAGIC, HEAD, STRIDE, PEEK = b"CHB2", struct.Struct("<4sIIII"), 64, 16
 
 
-def code_lengths(counts: np.ndarray, limit: int = PEEK) -> np.ndarray:
-    """For each id the length of its code, 0 where its count is 0; ties go to the smaller id."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """For each id the length of its code, 0 where its count is 0; ties go to the smaller id.
+    Without a limit it follows the alphabet: PEEK, or one bit more than the ids need."""
     used = np.flatnonzero(counts)
+    limit = limit or max(PEEK, len(used).bit_length() + 1)
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
@@ -63,13 +66,13 @@ def code_lengths(counts: np.ndarray, limit: int = PEEK) -> np.ndarray:
     return out
 
 
-def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def canonical(lengths: np.ndarray, peek: int = PEEK) -> tuple[np.ndarray, np.ndarray]:
     """(used ids by length, then id; the code of each): consecutive numbers, shifted where the length grows."""
     used = np.flatnonzero(lengths)
     used = used[np.lexsort((used, lengths[used]))]
-    steps = np.left_shift(np.int64(1), PEEK - lengths[used].astype(np.int64))
+    steps = np.left_shift(np.int64(1), peek - lengths[used].astype(np.int64))
     first = np.concatenate([[0], np.cumsum(steps)[:-1]]) if len(used) else np.zeros(0, np.int64)
-    return used, first >> (PEEK - lengths[used].astype(np.int64))
+    return used, first >> (peek - lengths[used].astype(np.int64))
 
 
 @dataclass
@@ -79,27 +82,31 @@ class Code:
     lengths: np.ndarray
 
     def __post_init__(self) -> None:
-        used, codes = canonical(self.lengths)
+        self.peek = max(PEEK, int(self.lengths.max(initial=0)))
+        used, codes = canonical(self.lengths, self.peek)
         # code and length in one number, so that each id costs one lookup
         self.codes = np.zeros(len(self.lengths), np.uint32)
         self.codes[used] = codes << 5 | self.lengths[used]
-        span = np.left_shift(1, PEEK - self.lengths[used].astype(np.int64))
-        self.ids, self.used = np.zeros(1 << PEEK, ID), np.zeros(1 << PEEK, np.uint8)
+        span = np.left_shift(1, self.peek - self.lengths[used].astype(np.int64))
+        self.ids, self.used = np.zeros(1 << self.peek, ID), np.zeros(1 << self.peek, np.uint8)
         self.ids[: span.sum()] = np.repeat(used, span)
         self.used[: span.sum()] = np.repeat(self.lengths[used], span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(code, bits of each run of STRIDE ids). Two ids' codes are joined first; the
-        last of an odd number is joined with no bits."""
+        """(code, bits of each run of STRIDE ids). If they fit one word, two ids' codes are
+        joined first; the last of an odd number is joined with no bits."""
         own = self.codes[ids]
-        if len(own) % 2:
-            own = np.append(own, np.uint32(0))
-        one, two = own[::2], own[1::2]
-        n = two & 31
-        value = ((one >> 5 << n) | two >> 5).astype(np.uint64)
-        n += one & 31
+        if self.peek > 16:
+            n, value, half = own & 31, (own >> 5).astype(np.uint64), STRIDE
+        else:
+            if len(own) % 2:
+                own = np.append(own, np.uint32(0))
+            one, two = own[::2], own[1::2]
+            n = two & 31
+            value = ((one >> 5 << n) | two >> 5).astype(np.uint64)
+            n += one & 31
+            half = STRIDE // 2
         end = np.cumsum(n, dtype=np.int64)
-        half = STRIDE // 2
         runs = np.diff(end[np.append(np.arange(half - 1, len(end) - 1, half), len(end) - 1)], prepend=0)
         at = end - n
         value <<= (64 - n - (at & 31)).astype(np.uint64)
@@ -111,31 +118,31 @@ class Code:
         return out.astype(">u4").tobytes()[: int(end[-1] + 7) // 8], runs.astype("<u2")
 
     def decode(self, data: bytes, runs: np.ndarray, n: int) -> np.ndarray:
-        b = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-        window = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+        b = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
+        window = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
         at = np.concatenate([[0], np.cumsum(runs.astype(np.int64))[:-1]])
         out = np.zeros((STRIDE, len(runs)), ID)
-        last = len(window) - 1
+        last, mask = len(window) - 1, np.uint32((1 << self.peek) - 1)
         for k in range(STRIDE):
-            peek = (window[np.minimum(at >> 3, last)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+            peek = (window[np.minimum(at >> 3, last)] >> (32 - self.peek - (at & 7)).astype(np.uint32)) & mask
             out[k] = self.ids[peek]
             at = at + self.used[peek]
         return out.T.ravel()[:n]
 
 
-def pack_block(code: Code, doc_ids: list[int], rows: list[np.ndarray]) -> bytes:
+def pack_block(code: Code, doc_ids: list[int | None], rows: list[np.ndarray]) -> bytes:
     ids = np.concatenate(rows)
     data, runs = code.encode(ids)
-    return b"".join([HEAD.pack(MAGIC, len(rows), len(ids), len(data)), np.asarray(doc_ids, "<i8").tobytes(), np.asarray([len(r) for r in rows], "<u4").tobytes(), runs.tobytes(), data])
+    return b"".join([HEAD.pack(MAGIC, len(rows), doc_ids.count(None), len(ids), len(data)), np.asarray([x or 0 for x in doc_ids], "<i8").tobytes(), np.asarray([len(r) for r in rows], "<u4").tobytes(), runs.tobytes(), data])
 
 
-def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_block(code: Code, block: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(doc_ids, ids of each document, all ids)."""
-    magic, docs, n, size = HEAD.unpack_from(block)
+    magic, docs, nulls, n, size = HEAD.unpack_from(block)
     if magic != MAGIC:
         raise ValueError("not a block")
     at = HEAD.size
-    doc_ids = np.frombuffer(block, "<i8", docs, at)
+    doc_ids = pa.array(np.frombuffer(block, "<i8", docs, at), mask=np.arange(docs) < nulls)
     counts = np.frombuffer(block, "<u4", docs, at := at + 8 * docs)
     runs = np.frombuffer(block, "<u2", -(-n // STRIDE), at := at + 4 * docs)
     at += 2 * len(runs)
@@ -154,7 +161,7 @@ def _blocks(lengths: np.ndarray, block_tokens: int):
         for batch in batches:
             for doc_id, wide, ids in zip(batch.column("doc_id"), batch.column("wide"), batch.column("ids"), strict=True):
                 x = unpacked(wide.as_py(), ids.as_py())
-                doc_ids.append(NO_DOC if doc_id.as_py() is None else doc_id.as_py())
+                doc_ids.append(doc_id.as_py())
                 rows.append(x)
                 size += len(x)
                 if size >= block_tokens:
@@ -194,7 +201,7 @@ def _digests(lengths: np.ndarray, ranges: np.ndarray, before: np.ndarray):
                 ends = np.cumsum(counts.astype(np.int64))
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_DOC), pa.array(ends - counts + at, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - counts + at, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -220,7 +227,7 @@ def _documents(lengths: np.ndarray):
             for data in batch.column("data"):
                 doc_ids, counts, ids = read_block(code, data.as_py())
                 rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NO_DOC), rows], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, rows], names=["doc_id", "ids"])
 
     return run
 

@@ -5,8 +5,9 @@ of a text are those of its space-separated pieces, one after the other. The ids
 piece still come from the tokenizers library; the caches only spare it what it has
 encoded already. A new piece of plain Latin text is split into the words that the file's
 pattern finds, and new words go straight to the library's BPE model, without its
-normalizers; any other piece takes the library's whole path. Tokenizers of any other
-make encode every text whole.
+normalizers; any other piece takes the library's whole path. Texts that may hold the
+string of an added token go through the library whole, which gives such a string the
+token's id; and so do all texts with tokenizers of any other make.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the strings of added tokens are found before a text is split, even within its pieces
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [x] if (x := os.path.commonprefix(added)) and not any(map(str.isalpha, x)) else added
         self.by_piece = splits_at_spaces(path)
         if self.by_piece:
             self.words: dict[str, bytes] = {}
@@ -72,7 +75,7 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece:
+        if not self.by_piece or any(x in text for x in self.marks):
             return self.ids(text)
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

@@ -71,14 +71,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     Since the table is written, part and at stay what they are however often a later
     task runs again.
     """
-    return written(without_clashes(docs, "doc_id", "text").mapInArrow(_tokenize(path, end_id, None), SCHEMA), "tokens")
+    return written(without_clashes(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_tokenize(path, end_id, None), SCHEMA), "tokens")
 
 
 def ranged(docs: DataFrame, path: str, end_id: int, ranges: int) -> tuple[DataFrame, np.ndarray]:
     """(table, counts): as tokenized(), with each row's range of doc_ids (quantiles, so that
     ranges are about even; nulls are in the first), and the count of every id. Each task counts
     the ids it writes and leaves its counts in a row of their own."""
-    docs = without_clashes(docs, "doc_id", "text")
+    docs = without_clashes(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     shares = [k / ranges for k in range(1, ranges)]
     bounds = docs.approxQuantile("doc_id", shares, 1 / (4 * ranges)) if shares else []
     bounds = np.unique(np.asarray(bounds, np.int64))
