@@ -53,6 +53,21 @@ def test_language_edges(spark, docs):
     assert {r.lang_pred for r in language_id.predicted(odd, one).collect()} == {"und", "fr"}
 
 
+def test_null_and_repeated_ids_teach(spark):
+    english, french = "the and of that with this from", "le la les des pour avec dans"
+    rows = [(None, f"{english} {k}", "en") for k in range(30)] + [(1, f"{french} x{k}", "fr") for k in range(30)] + [(2, "é ü", "fr")] * 50
+    model = language_id.learn(some(spark, rows), language_id.Params(sample=20))
+    table = some(spark, [(1, english), (2, french)]).withColumn("lang_pred", F.lit(3)).withColumn("lang_score", F.lit("x"))
+    assert {r.doc_id: r.lang_pred for r in language_id.predicted(table, model).collect()} == {1: "en", 2: "fr"}
+
+
+def test_every_language_is_learned(spark):
+    names = [a + b + c for a in "qwxyz" for b in "abcde" for c in "abcdefghijk"]  # 275, above any earlier bound
+    rows = [(k, f"{n * 3} {n}{n[::-1]} " * 3, n) for k, n in enumerate(names) for _ in (0, 1)]
+    model = language_id.learn(some(spark, rows), language_id.Params(rounds=30))
+    assert len({x for own in model.languages.values() for x in own}) == len(names)
+
+
 def test_slices_of_a_long_text_add_up():
     text = "".join(chr(97 + k % 26) + (" " if k % 7 == 0 else "") for k in range(200_000))
     whole = np.bincount(language_id.features(np.frombuffer((" " + text + "  ").encode(), np.uint8)).ravel(), minlength=2 * language_id.SIZE)
@@ -175,17 +190,6 @@ def test_held_out_texts_teach_nothing(spark):
     assert all(one[i].score == pytest.approx(two[i].score, rel=1e-6) and one[i].base_score == two[i].base_score for i in same)
 
 
-def test_every_training_word_reaches_the_mixer(spark, monkeypatch):
-    seen = []
-    whole = context_mixing.gates
-    monkeypatch.setattr(context_mixing, "gates", lambda parts: seen.append(whole(parts)) or seen[-1])
-    rows = [(i, " ".join(f"w{i}x{k}" for k in range(2000))) for i in range(40)]
-    context_mixing.scored(some(spark, rows), F.col("doc_id") % 4 == 0)
-    decisions = sum(8 * (len(w) + 1) for i, t in rows if i % 4 for w in t.split())  # 60,000 words, each once
-    assert sum(x[0] for x in seen[0].values()) == pytest.approx(decisions)
-    assert sum(x[: context_mixing.BINS].sum() for x in seen[1].values()) == pytest.approx(decisions)
-
-
 def test_no_training_rows(spark):
     rows = some(spark, [(1, "a b"), (2, None)])
     got = context_mixing.scored(rows, F.lit(True)).collect()
@@ -193,32 +197,6 @@ def test_no_training_rows(spark):
     assert context_mixing.scored(rows.limit(0), F.lit(False)).count() == 0
 
 
-def test_trie_counts_are_prefix_counts():
-    r = np.random.default_rng(0)
-    words = sorted({bytes(r.integers(97, 100, r.integers(1, 8)).tolist()) for _ in range(150)} | {b"\x01a", b"ab\xc3\xa9", b"a"}, key=lambda w: w + b" ")
-    n = r.integers(0, 9, len(words))
-    key = context_mixing.leading(words)
-    keys, at = np.unique(key, return_inverse=True)
-    trie = context_mixing.Trie(keys, np.concatenate([[0], np.cumsum(np.bincount(at, n))]).astype(np.int64))
-    text = context_mixing.Spelled(words)
-    got = trie.counts(text, key, n)
-    bits = ["".join(f"{b:08b}" for b in w + b" ") for w in words]
-    for k in range(0, len(words), 7):
-        for d in range(len(bits[k])):
-            want = sum(int(c) for b, c in zip(bits, n, strict=True) if b.startswith(bits[k][:d]))
-            assert got[text.starts[k] + d // 8, d % 8] == want
-
-
-def test_bit_probabilities_add_to_one():
-    """Over all symbols after a beginning, with any state of the mixer."""
-    r = np.random.default_rng(1)
-    mixer = context_mixing.new_mixer(context_mixing.to_bytes(r.integers(0, 900, (4, 2 << context_mixing.BITS))))
-    mixer.weights += r.normal(0, 0.2, mixer.weights.shape)
-    x, gate, bits = mixer.inputs(context_mixing.Spelled([b"ab"]), np.tile(np.arange(9, 0, -1), (3, 1)), None)
-    p, q = mixer.probability(x, gate, bits), mixer.probability(x, gate, 1 - bits)
-    assert np.allclose(p + q, 1)
-
-
 # -- sharding
 
 
@@ -239,21 +217,51 @@ def test_tree_keeps_its_order_and_balance():
     assert tree._high(tree.root) <= 1.45 * math.log2(len(kept) + 2)
 
 
-def test_best_fit_decreasing():
-    r = np.random.default_rng(3)
-    sizes = r.integers(1, 60, 400).tolist()
-    bins, used = best_fit_shards.best_fit(sizes, 100)
-    rooms: list[int] = []
-    want = [0] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        fits = [(room, b) for b, room in enumerate(rooms) if room >= sizes[k]]
+def plain_best_fit(sizes, capacity):
+    """What each bin holds, item by item: the fullest bin in which one still fits, by number."""
+    rooms, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= size]
         b = min(fits)[1] if fits else len(rooms)
         if not fits:
-            rooms.append(100)
-        rooms[b] -= sizes[k]
-        want[k] = b
-    assert (bins, used) == (want, len(rooms))
-    assert best_fit_shards.best_fit([500, 3], 100) == ([0, 1], 2)
+            rooms.append(max(capacity, size))
+            bins.append([])
+        rooms[b] -= size
+        bins[b].append(size)
+    return bins
+
+
+def counted(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def spread(bins):
+    return [[size for size, n in own for _ in range(n)] for own in bins]
+
+
+def test_best_fit_decreasing():
+    r = np.random.default_rng(3)
+    for most in (5, 60, 200):
+        sizes = r.integers(1, most, 400).tolist()
+        assert spread(best_fit_shards.best_fit(counted(sizes), 100)) == plain_best_fit(sizes, 100)
+    assert best_fit_shards.best_fit([(500, 1), (3, 1)], 100) == [[(500, 1)], [(3, 1)]]
+
+
+def test_shards_are_those_of_best_fit_over_all_groups(spark):
+    """At a size with many small groups: no group is packed by anything else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    groups = Counter()
+    for r in docs.select("text").collect():
+        groups[r.text] += (len(r.text.encode()) if r.text is not None else 0) + 1
+    sizes, got = list(groups.values()), defaultdict(int)
+    for r in best_fit_shards.sharded(docs, 16).collect():
+        got[r.shard] += r["size"]
+    capacity = -(-sum(sizes) // 16)
+    step = capacity // 10_000
+    while len(want := plain_best_fit(sizes, capacity)) > 16:
+        capacity += step
+        step += step // 2
+    assert max(sizes) <= capacity and [got[k] for k in range(16)] == [sum(x) for x in want]
 
 
 def test_a_group_above_the_mean_leaves_no_shard_empty(spark):
@@ -264,15 +272,15 @@ def test_a_group_above_the_mean_leaves_no_shard_empty(spark):
         sizes[r.shard] += r["size"]
     hot, *others = sorted(sizes.values(), reverse=True)
     assert hot == 100_000 and sorted(sizes) == list(range(16)) and max(others) <= 1.02 * sum(others) / 15
-    bins = best_fit_shards.fixed_bins([500, 60, 1, 1, 1, 1, 1], 6)
-    assert bins[:2] == [0, 1] and sorted(map(bins[2:].count, range(2, 6))) == [1, 1, 1, 2]
-    assert sorted(map(best_fit_shards.fixed_bins([1] * 17, 16).count, range(16))) == [1] * 15 + [2]
-    assert best_fit_shards.fixed_bins([9, 9], 4) == [0, 1] and best_fit_shards.fixed_bins([5, 5], 1) == [0, 0]
+    bins = best_fit_shards.fixed_bins([(500, 1), (60, 1), (1, 5)], 6)
+    assert bins[:2] == [[(500, 1)], [(60, 1)]] and sorted(sum(n for _, n in x) for x in bins[2:]) == [1, 1, 1, 2]
+    assert sorted(sum(n for _, n in x) for x in best_fit_shards.fixed_bins([(1, 17)], 16)) == [1] * 15 + [2]
+    assert best_fit_shards.fixed_bins([(9, 2)], 4) == [[(9, 1)], [(9, 1)]] and best_fit_shards.fixed_bins([(5, 2)], 1) == [[(5, 2)]]
 
 
 @pytest.mark.parametrize("capacity", [None, 60_000])
 def test_shards(spark, docs, capacity):
-    rows = docs.select("doc_id", "text").union(some(spark, [(900, None), (901, None), (902, ""), (903, "Ünï"), (903, "Ünï")]).select("doc_id", "text"))
+    rows = docs.select("doc_id", "text").union(some(spark, [(900, None), (901, None), (902, ""), (903, "Ünï"), (903, "Ünï"), (None, "no id"), (None, "no id")]).select("doc_id", "text"))
     rows = rows.withColumn("shard", F.lit("x")).withColumn("size", F.lit(1))
     got = best_fit_shards.sharded(rows, 4, capacity).collect()
     texts = defaultdict(set)
@@ -299,11 +307,56 @@ def test_shards(spark, docs, capacity):
 # -- mixing
 
 
-def test_shortages_go_to_siblings_first():
-    leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}
-    assert budget_mix.budgets(leaves, 120, 1, {}) == {("a", "x"): 10, ("a", "y"): 50, ("b", "z"): 60}
-    assert budget_mix.budgets(leaves, 300, 1, {}) == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 190}
-    assert budget_mix.budgets(leaves, 300, 2, {("b",): 0.0}) == {("a", "x"): 20, ("a", "y"): 200, ("b", "z"): 0}
+def plain_budgets(leaves, amount, epochs, weights):
+    """The tokens of each leaf, from the root down, one by one in memory."""
+    out = {}
+
+    def down(paths, depth, share):
+        names = sorted({x[: depth + 1] for x in paths})
+        own = [[x for x in paths if x[: depth + 1] == name] for name in names]
+        given, open_ = [0] * len(names), {k for k, name in enumerate(names) if weights.get(name, 1.0) > 0}
+        room = [epochs * sum(leaves[x] for x in o) for o in own]
+        share = min(share, sum(room[k] for k in open_))
+        while open_ and share:
+            total = sum(weights.get(names[k], 1.0) for k in sorted(open_))
+            full = [k for k in sorted(open_) if room[k] - given[k] <= share * weights.get(names[k], 1.0) / total]
+            if not full:
+                parts = {k: int(share * weights.get(names[k], 1.0) / total) for k in sorted(open_)}
+                spare = share - sum(parts.values())
+                for n, k in enumerate(sorted(open_)):
+                    given[k] += parts[k] + (n < spare)
+                break
+            for k in full:
+                share -= room[k] - given[k]
+                given[k] = room[k]
+                open_.remove(k)
+        for name, o, x in zip(names, own, given, strict=True):
+            if o == [name]:
+                out[name] = x
+            else:
+                down(o, depth + 1, x)
+
+    down(sorted(leaves), 0, amount)
+    return out
+
+
+@pytest.mark.parametrize(
+    "leaves,amount,epochs,weights",
+    [
+        ({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}, 120, 1, {}),
+        ({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}, 300, 1, {}),
+        ({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}, 300, 2, {("b",): 0.0}),
+        ({(f"d{k % 3}", f"l{k % 5}", f"s{k}"): k * k for k in range(300)}, 1_000_003, 2, {("d1",): 3.0, ("d0", "l2"): 0.5}),
+    ],
+)
+def test_shortages_go_to_siblings_first(spark, leaves, amount, epochs, weights):
+    table = spark.createDataFrame([("\x01".join(k), n) for k, n in leaves.items()], "path string, n long")
+    got = {tuple(r.path.split("\x01")): r.budget for r in budget_mix.budgets(table, len(next(iter(leaves))), amount, epochs, weights).collect()}
+    assert got == plain_budgets(leaves, amount, epochs, weights)
+
+
+def test_budgets_by_hand():
+    assert plain_budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}, 300, 1, {}) == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 190}
     assert sum(budget_mix.poured(7, [10, 10, 10], [1, 1, 1])) == 7
     assert budget_mix.poured(5, [1, 1], [1, 1]) == [1, 1] and budget_mix.poured(0, [], []) == []
 
@@ -332,7 +385,7 @@ def test_mixed_documents_are_prefixes(spark, docs, budget, epochs):
     have = {k: sum(n for _, n in x) for k, x in leaves.items()}
     amount = int(budget * sum(have.values())) if isinstance(budget, float) else budget
     want = Counter()
-    for leaf, share in budget_mix.budgets(have, amount, epochs, p.weights).items():
+    for leaf, share in plain_budgets(have, amount, epochs, p.weights).items():
         whole, rest = divmod(share, have[leaf]) if have[leaf] else (0, 0)
         for i, _ in leaves[leaf]:
             for e in range(min(whole, epochs)):
@@ -354,5 +407,3 @@ def test_mixed_documents_are_prefixes(spark, docs, budget, epochs):
 
 def test_mixing_nothing(spark, docs):
     assert budget_mix.mixed(docs.limit(0), levels()).count() == 0
-    with pytest.raises(ValueError, match="leaves"):
-        budget_mix.mixed(docs, levels(), budget_mix.Params(most_leaves=2))

@@ -18,7 +18,7 @@ from weftwork.llm.token_cache import Encoder, default_path
 PATH = default_path()
 WHOLE = Tokenizer.from_file(PATH)
 CACHED = Encoder(PATH)
-ODD = ["", " ", "it's don't I'LL x'S ''s", "á b́ ́x", "İstanbul ΑΣ ς", "tab\tx\xa0y z \x1c q\r\nw\x85v", "日本語 ☃️ x² ½ ªº", "a.b,c...d!?--e__f", "9 12 3.5", "<|end", "ß ẞ Ǆ", "soft\xadhyphen zero​width"]
+ODD = ["", " ", "it's don't I'LL x'S ''s", "á b́ ́x", "İstanbul ΑΣ ς", "tab\tx\xa0y z \x1c q\r\nw\x85v", "日本語 ☃️ x² ½ ªº", "a.b,c...d!?--e__f", "9 12 3.5", "<|end", "x <|endoftext|> y", "<|startoftext|>", "a<|endoftext|>b <|STARTOFTEXT|> <|endoftext|>", "ß ẞ Ǆ", "soft\xadhyphen zero​width"]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -32,6 +32,32 @@ def test_cached_ids_of_any_text(text):
     assert np.frombuffer(CACHED.encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|", "|>", "a", "É", " ", "\n", "endoftext", "<|EndOfText|>"]), max_size=8))
+def test_cached_ids_with_added_tokens(parts):
+    text = "".join(parts)
+    assert np.frombuffer(CACHED.encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_codes_of_large_alphabets():
+    r = np.random.default_rng(6)
+    counts = r.integers(1, 50, 70_000)
+    lengths = huffman_ids.code_lengths(counts)
+    assert lengths.max() > 16 and sum(2.0 ** -lengths.astype(float)) == pytest.approx(1)
+    code, ids = huffman_ids.Code(lengths), r.integers(0, 70_000, 1001).astype("<u4")
+    data, runs = code.encode(ids)
+    assert np.array_equal(code.decode(data, runs, len(ids)), ids)
+
+
+def test_least_doc_id_and_none(spark):
+    rows = [(-(2**63), "a b"), (None, "c"), (None, "d e"), (5, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = huffman_ids.digests(*huffman_ids.write(docs, PATH, 1)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, -(2**63)), (False, 5), (True, 0), (True, 0)]
+    few = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id int, text string")
+    assert cut_packing.pieces(few, PATH, 2, 16).count() == 2 and huffman_ids.digests(*huffman_ids.write(few, PATH, 1)).count() == 2
+
+
 def test_other_tokenizers_are_not_split():
     assert not Encoder(public_tokenizers.path("byte_bpe_50k.json")).by_piece
 

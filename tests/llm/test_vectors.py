@@ -109,3 +109,19 @@ def test_the_bound_holds_and_the_estimate_is_unbiased():
     assert abs((estimate - exact)[off].mean()) < 0.002
     across = np.sqrt(np.maximum(0, 1 - exact**2))
     assert (np.abs(estimate - exact) <= 7 * codes.spread[:, None] * across + 1e-4).all()
+
+
+def test_odd_ids_and_lengths(spark):
+    kind = "vec_id int, embedding array<double>, label int"
+    table = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0, 0.0], 0), (4, [1.0, 0.0, 0.01], 0), (None, [1.0, 0.0], 0), (5, [1.0, 0.0], None)], kind)
+    got = {(r.query_id, r.vec_id) for r in collision_search.nearest(table, table, k=3).collect()}
+    assert got == {(a, b) for own in ((1, 2, 5), (3, 4)) for a in own for b in own if a != b}
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rotated_codes.near_duplicates(table).collect()}
+    assert found == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), None: (0, None, True)}
+
+
+def test_huge_components(spark):
+    table = spark.createDataFrame([(k, [x, 1.0, x / 3]) for k, x in enumerate((1e308, 0.9e308, -1.7e308, 1.0, 2.0))], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in collision_search.nearest(table, table.where("vec_id in (0, 3)"), k=4).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [1, 3, 4, 2] and got[0, 4][1] == math.inf
+    assert got[3, 1][0] == 4 and len(got) == 8

@@ -15,6 +15,7 @@ is no cap on the candidates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,13 +104,14 @@ class ShardIndex:
             if len(dist) > k and np.partition(dist, k - 1)[k - 1] <= radius:
                 break
             radius *= p.growth if np.isfinite(dist).any() or counts.max(initial=0) > self.needed // 2 else 1.5
-        found = np.flatnonzero(np.isfinite(dist))
+        found = np.flatnonzero(np.isfinite(dist))  # those verified
         best = found[np.lexsort((self.ids[found], dist[found]))[:k]]
         return self.ids[best], dist[best]
 
 
-def _search_shards(k: int, p: Params):
-    """Rows come ordered by shard, and in each shard the indexed vectors before the queries."""
+def _search_shards(k: int, scale: float, p: Params):
+    """Rows come ordered by shard, and in each shard the indexed vectors before the queries.
+    Vectors are divided by scale, so that squares stay within the doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, rows, index = None, [], [], None
@@ -122,7 +124,7 @@ def _search_shards(k: int, p: Params):
                 here, kind = divmod(int(marks[start]), 2)
                 if here != shard:
                     shard, ids, rows, index = here, [], [], None
-                vec_ids, vectors = part.column(2).to_numpy(), as_matrix(part.column(3))
+                vec_ids, vectors = part.column(2).to_numpy(), as_matrix(part.column(3)) / scale
                 if kind == 0:
                     ids.append(vec_ids)
                     rows.append(vectors)
@@ -134,7 +136,7 @@ def _search_shards(k: int, p: Params):
                     continue
                 for query_id, query in zip(vec_ids.tolist(), vectors, strict=True):
                     near, far = index.search(query_id, query, k)
-                    out += [(query_id, x, y) for x, y in zip(near.tolist(), far.tolist(), strict=True)]
+                    out += [(query_id, x, y) for x, y in zip(near.tolist(), (far * scale).tolist(), strict=True)]
             if out:
                 q, v, d = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
@@ -147,23 +149,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, p: Params = Par
 
     Both inputs have vec_id and embedding (an array of floats or doubles of one length);
     other columns are ignored. Vectors that are null, zero or hold null or non-finite
-    components take no part on either side. A query never finds its own vec_id. Repeated
-    rows are separate candidates. Empty input on either side gives no rows. Equal
-    distances are ranked by vec_id.
+    components, and rows of null vec_id, take no part on either side. A query meets the
+    vectors of its own length only. It never finds its own vec_id, on whatever rows that
+    is; other vec_ids that repeat are separate candidates. Empty input on either side
+    gives no rows. Equal distances are ranked by vec_id; one too large for a double is
+    infinite, but ranked by its size.
 
     The vectors are split by vec_id into shards of about p.shard_rows; each shard holds
     its index in one task's memory and streams through all queries, so what a task
     holds does not grow with the input. Each shard sends k rows for a query.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable("embedding")).select("vec_id", "embedding")
-    asked = queries.where(usable("embedding")).select("vec_id", "embedding")
-    shards = max(p.least_shards, -(-rows.count() // p.shard_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    indexed = rows.select(shard.alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    copied = asked.select(every.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    taking_part = usable("embedding") & F.col("vec_id").isNotNull()
+    rows, asked = (df.where(taking_part).select(F.col("vec_id").cast("long"), F.size("embedding").cast("long").alias("length"), "embedding") for df in (vectors, queries))
+    largest = F.max(F.array_max(F.transform("embedding", F.abs))).alias("largest")
+    found = rows.agg(F.count("*").alias("n"), largest).first()
+    most = max(found.largest or 0.0, asked.agg(largest).first().largest or 0.0)
+    scale = 2.0 ** (math.frexp(most)[1] - 1) if not 1e-140 < most < 1e140 and most else 1.0
+    shards = max(p.least_shards, -(-found.n // p.shard_rows))
+    # a shard's vectors of one length
+    at = lambda shard: F.shiftleft("length", 32).bitwiseOR(shard.cast("long")).alias("shard")
+    indexed = rows.select(at(F.pmod(F.xxhash64("vec_id"), F.lit(shards))), F.lit(0).alias("kind"), "vec_id", "embedding")
+    every = asked.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    copied = every.select(at(F.col("to")), F.lit(1).alias("kind"), "vec_id", "embedding")
     dealt = indexed.union(copied).repartition(min(shards, 8 * partitions(spark)), "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_search_shards(k, p), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(_search_shards(k, scale, p), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

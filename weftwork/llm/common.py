@@ -2,60 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINKS = "a long, b long"
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+from ..shared import remove, shared_dir, written  # noqa: F401
 
-    Where it is unset, a temporary folder is made and set, but only on a purely
-    local master, where one machine holds the driver and every executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="weftwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage ends here.
-
-    The folder's name is new for each call. A lost executor costs only the tasks it
-    was running, since the files do not depend on it. by: a column of few values, each
-    of which gets files of its own. The shuffle files of the write go when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftwork/{name}-{uuid.uuid4().hex}"
-    to = df.write.option("compression", "zstd")
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        (to.partitionBy(by) if by else to).parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._weftwork_path = path
-    return out
-
-
-def remove(df: DataFrame, part: str = "") -> None:
-    """Deletes a table that written() made, or of its parts one, that no later plan reads."""
-    spark, path = df.sparkSession, df._weftwork_path
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+LINKS = "a long, b long"
 
 
 def without_clashes(df: DataFrame, *columns: str) -> DataFrame:

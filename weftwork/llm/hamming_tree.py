@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for every row; a null text counts as empty."""
-    return without_clashes(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return without_clashes(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -109,7 +109,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, p: Params = Par
     Two vectors link when their labels are equal and not null and their cosine is at
     least the threshold. Vectors that are null, zero or hold null or non-finite
     components, and rows of null label, link with nothing: n_links 0, component_id
-    their own vec_id, kept. vec_id identifies a row; rows that repeat a vec_id are
+    their own vec_id, kept; and so do rows of null vec_id, whose component_id is null, and
+    vectors of unequal lengths with each other. vec_id identifies a row; rows that repeat a vec_id are
     compared as separate rows, and each gets the id's summed count. Extra columns are
     ignored. An empty table gives an empty result.
 
@@ -119,20 +120,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, p: Params = Par
     """
     spark = vectors.sparkSession
     rows = without_clashes(vectors, "vec_id", "embedding", "label")
-    able = rows.where(usable("embedding") & F.col("label").isNotNull())
+    rows = rows.withColumn("vec_id", F.col("vec_id").cast("long"))
+    able = rows.where(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("label", F.struct("label", F.size("embedding").alias("length")))
     sizes = able.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / p.block_rows)).cast("int").alias("blocks"))
     cut = able.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = cut.withColumn("other", other).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "embedding")
     task = F.xxhash64("label", "i", "j").alias("task")
     dealt = dealt.select(task, *dealt.columns).repartition(2 * partitions(spark), "task")
-    found = written(dealt.groupBy("label", "i", "j").applyInArrow(_compare(threshold, p), "a long, b long, n long"), "pairs")
+    found = written(dealt.groupBy("task", "label", "i", "j").applyInArrow(_compare(threshold, p), "a long, b long, n long"), "pairs")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     roots = components(found.where("n = 0").select("a", "b"))
     out = rows.select("vec_id").join(counts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     out = out.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def oracle_sql(threshold: float) -> str:
