@@ -28,6 +28,7 @@ totals back in the same order: a frequent word or passage costs a bucket one row
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ class Params:
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
-    step_tokens: int = 100_000
+    step_tokens: int = 60_000
     long_word: int = 4096
     rate: float = 0.02
 
@@ -116,13 +116,13 @@ def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[
     rare = [words[k] for k in order[count <= 1]]  # they may have to be spelled
     none = pc.is_null(ids).to_numpy(zero_copy_only=False)
     ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream), pack(count <= 1), zstandard.compress(b" ".join(rare), 1)))
+    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream), pack(count <= 1), codes.squeezed(b" ".join(rare))))
     edges = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
     once = np.cumsum(np.concatenate([[0], count == 1]))
     single = [words[k] for k in order[count == 1]]
     for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if hi > lo:
-            yield row(number, "words", b, bundle(pack_sorted(hashes[lo:hi]), pack(count[lo:hi]), zstandard.compress(b" ".join(single[once[lo] : once[hi]]), 1)))
+            yield row(number, "words", b, bundle(pack_sorted(hashes[lo:hi]), pack(count[lo:hi]), codes.squeezed(b" ".join(single[once[lo] : once[hi]]))))
 
 
 def _chunks(shift: int, p: Params):
@@ -186,8 +186,8 @@ def slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 def spelling_counts(words: list[bytes], tables: np.ndarray) -> None:
     """Adds the bits of the words to tables (orders, slots of two)."""
-    for lo in range(0, len(words), 20_000):
-        text = Spelled(words[lo : lo + 20_000])
+    for lo in range(0, len(words), 50_000):
+        text = Spelled(words[lo : lo + 50_000])
         for table, context in zip(tables, text.contexts(), strict=True):
             at = np.concatenate([slot(context, text.nodes(b)) + ((text.symbols >> (7 - b)) & 1) for b in range(8)])
             table += np.bincount(at, minlength=table.size).astype(table.dtype)
@@ -204,8 +204,17 @@ def as_bytes(tables: np.ndarray) -> np.ndarray:
 def _add_blocks(table: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
     for x in table.column("data"):
-        total += np.frombuffer(zstandard.decompress(x.as_py()), np.int32)
-    return pa.table({"part": table.column("part")[:1], "data": pa.array([zstandard.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+        total += np.frombuffer(codes.unsqueezed(x.as_py()), np.int32)
+    return pa.table({"part": table.column("part")[:1], "data": pa.array([codes.squeezed(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes())], pa.binary())})
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as the next task of a worker may need none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 # -- buckets of words
@@ -228,19 +237,21 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = np.bincount(level, minlength=codes.LEVELS)
     rank = np.empty(len(found), np.uint32)
     rank[order] = np.arange(len(found)) - np.repeat(np.cumsum(words) - words, words)
-    tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
+    alone = []
     for k, (chunk, b) in enumerate(zip(chunks, blobs, strict=True)):
         mine = at[size[k] : size[k + 1]]
         yield row(chunk, "codes", part, bundle(pack(count[mine]), pack(rank[mine])))
-        alone = count[mine][came[k] == 1] == 1
-        if alone.any():
-            spelled = zstandard.decompress(b[2]).split(b" ")
-            spelling_counts([spelled[i] for i in np.flatnonzero(alone)], tables)
+        here = np.flatnonzero(count[mine][came[k] == 1] == 1)
+        if len(here):
+            spelled = codes.unsqueezed(b[2]).split(b" ")
+            alone += [spelled[i] for i in here]
+    tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
+    spelling_counts(alone, tables)
     words[0] = np.count_nonzero(count == 1)  # of level 0 only those of a training token
     yield row(-1, "levels", part, bundle(words.astype(np.int64).tobytes(), np.bincount(level, count, codes.LEVELS).astype(np.int64).tobytes(), np.asarray([np.count_nonzero(count == 2)]).tobytes()))
     for k, block in enumerate(tables.reshape(-1, BLOCK)):
         if block.any():
-            yield row(-1, "spellings", k, zstandard.compress(block.tobytes(), 1))
+            yield row(-1, "spellings", k, codes.squeezed(block.tobytes()))
 
 
 # -- a chunk's keys
@@ -356,6 +367,8 @@ def _paths(bits: np.ndarray, kind: int, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), -1)), pa.array(["states"] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(seen[cells]), pa.nulls(len(cells), pa.binary())], schema=SCHEMA)
         for k, chunk in enumerate(chunks):
             yield row(chunk, PATHS[kind], part, codes.pack_states(states.take(at[k], axis=1), alone.take(at[k])))
+        del states, alone, at
+        give_back()
 
     return run
 
@@ -622,8 +635,13 @@ def _score(model: Model, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
+        del table
         t = Tokens(rows, model.dictionary)
-        yield scores_of(t, [Paths(t, rows, kind, shift, model.p) for kind in (LAST, PAIR)], model)
+        paths = [Paths(t, rows, kind, shift, model.p) for kind in (LAST, PAIR)]
+        del rows
+        yield scores_of(t, paths, model)
+        del t, paths
+        give_back()
 
     return run
 
@@ -635,7 +653,7 @@ def scores_of(t: Tokens, paths: list[Paths], model: Model) -> pa.RecordBatch:
     low = np.log10(t.count + 0.1) - np.log10(n + 0.1 * (distinct + 1))
     base = np.add.reduceat(low[t.stream], t.first)
     known = np.add.reduceat((t.count > 0)[t.stream].astype(np.int64), t.first)
-    rare = dict(zip(np.flatnonzero(unpack(t.rare[0], bool)).tolist(), zstandard.decompress(t.rare[1]).split(b" "), strict=False))
+    rare = dict(zip(np.flatnonzero(unpack(t.rare[0], bool)).tolist(), codes.unsqueezed(t.rare[1]).split(b" "), strict=False))
     score, ends, lo = np.zeros(len(t.tokens)), np.cumsum(t.tokens), 0
     while lo < len(t.tokens):
         hi = max(lo + 1, int(np.searchsorted(ends, t.first[lo] + p.step_tokens, side="right")))
@@ -716,7 +734,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     dictionary = Dictionary(np.cumsum(words, axis=0) - words, words.sum(axis=0), tokens, twice)
     tables = np.zeros((len(ORDERS), 2 << BITS), np.int32)
     for r in replies.where("kind = 'spellings'").groupBy("part").applyInArrow(_add_blocks, "part int, data binary").collect():  # tables of a fixed size
-        tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(zstandard.decompress(r.data), np.int32)
+        tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(codes.unsqueezed(r.data), np.int32)
     if stats:
         remove(replies, "kind=spellings")
     mine = texts.unionByName(replies.where("kind = 'codes'"))

@@ -30,15 +30,19 @@ U64 = np.uint64
 # -- arrays as bytes
 
 
+squeezed = zstandard.ZstdCompressor(1).compress
+unsqueezed = zstandard.ZstdDecompressor().decompress
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array's bytes, all first bytes before all second ones, compressed."""
     values = np.ascontiguousarray(values)
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T))
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -116,30 +120,33 @@ def state(came: np.ndarray, other: np.ndarray) -> np.ndarray:
 def pack_states(states: np.ndarray, alone: np.ndarray) -> bytes:
     """The states by row, a column for each key: 0 is followed by 0 only and, from the row on
     that alone gives, all are the same and of step ALL."""
-    out, act, before = [len(states).to_bytes(4, "little")], np.arange(states.shape[1]), np.zeros(states.shape[1], np.uint8)
+    out, act, before = [], np.arange(states.shape[1]), np.zeros(states.shape[1], np.uint8)
     for k, row in enumerate(states):
         here, ends = row.take(act), alone.take(act) == k
         sent = np.where(ends | (here == 0), here & 0xF0, here - (before & 0xF0))  # the grade's difference and the step
-        out.append(zstandard.compress(sent.tobytes(), 1))
+        out.append(sent)
         stay = np.flatnonzero(~ends & (here > 0))
         act, before = act.take(stay), here.take(stay)
         if not len(act):
             break
-    return bundle(*out)
+    return len(states).to_bytes(4, "little") + squeezed(np.concatenate(out) if out else b"")
 
 
 def unpack_states(data: bytes, keys: int) -> np.ndarray:
     """(keys, rows)"""
-    rows = parts_of(data)
-    out = np.zeros((keys, int.from_bytes(rows[0], "little")), np.uint8)
+    out = np.zeros((keys, int.from_bytes(data[:4], "little")), np.uint8)
+    rows, done = np.frombuffer(unsqueezed(data[4:]), np.uint8), 0
     act, before = np.arange(keys), np.zeros(keys, np.uint8)
-    for k, row in enumerate(rows[1:]):
-        sent = np.frombuffer(zstandard.decompress(row), np.uint8)
+    for k in range(out.shape[1]):
+        sent = rows[done : done + len(act)]  # of those that have not ended
+        done += len(act)
         ends = sent & 15 == 0
         out[act[ends], k:] = np.where(sent[ends], sent[ends] | ALL, 0)[:, None]
         stay = np.flatnonzero(~ends)
         act, before = act.take(stay), sent.take(stay) + (before.take(stay) & 0xF0)
         out[act, k] = before
+        if not len(act):
+            break
     return out
 
 
@@ -179,11 +186,11 @@ def keys(context: np.ndarray, kind: int, level: np.ndarray, rank: np.ndarray, d:
         own = d[cold]
         # left-aligned in WHOLE bits; what does not fit is left to the pieces
         code = np.where(own <= WHOLE, rank[cold] << (WHOLE - np.minimum(own, WHOLE)).astype(U64), rank[cold] >> np.maximum(own - WHOLE, 0).astype(U64))
-        out.append((cold, key(context[cold], kind, 0, level[cold] << U64(WHOLE) | code), np.zeros(len(cold), np.int64), LEVEL_BITS + np.minimum(own, WHOLE)))
+        out.append((cold, key(context[cold], kind, 0, level[cold] << U64(WHOLE) | code), np.zeros(len(cold), np.uint8), (LEVEL_BITS + np.minimum(own, WHOLE)).astype(np.uint8)))
     warm = np.flatnonzero(hot)
     if len(warm):
         code = level[warm] << U64(WHOLE) | U64(LEVEL_BITS)
-        out.append((warm, key(context[warm], kind, 1, code), np.zeros(len(warm), np.int64), np.full(len(warm), LEVEL_BITS)))
+        out.append((warm, key(context[warm], kind, 1, code), np.zeros(len(warm), np.uint8), np.full(len(warm), LEVEL_BITS, np.uint8)))
     done = np.where(hot, 0, np.minimum(d, WHOLE))
     while len(at := np.flatnonzero(done < d)):
         size = np.minimum(PIECE, d[at] - done[at])
@@ -191,7 +198,7 @@ def keys(context: np.ndarray, kind: int, level: np.ndarray, rank: np.ndarray, d:
         here = rank[at] >> (d[at] - done[at] - size).astype(U64) & ((U64(1) << size.astype(U64)) - U64(1))
         inner = mixed(context[at] ^ (level[at] << U64(48) | done[at].astype(U64) << U64(40) | before) * U64(0xA24BAED4963EE407))
         code = here << (CODE_BITS - size).astype(U64) | size.astype(U64)
-        out.append((at, key(inner, kind, 1, code), LEVEL_BITS + done[at], size))
+        out.append((at, key(inner, kind, 1, code), (LEVEL_BITS + done[at]).astype(np.uint8), size.astype(np.uint8)))
         done[at] += size
     return out
 
