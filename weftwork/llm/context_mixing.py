@@ -85,13 +85,16 @@ def row(chunk: int, kind: str, part: int, data: bytes, n: int | None = None) ->
 # -- texts to chunks
 
 
-def said(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts, one after the other, and how many each text has."""
+def said(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All words of the texts, one after the other, as numbers; how many each text has; and
+    the words of the numbers."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    words = lists.flatten()
-    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at either end leaves an empty string
+    coded = lists.flatten().dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    # white space at either end of a text leaves an empty string
+    some = numbers != pc.index(coded.dictionary, "").as_py()
     tokens = np.diff(np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
-    return words.filter(pa.array(some)), tokens
+    return numbers[some], tokens, [w.encode() for w in coded.dictionary.to_pylist()]
 
 
 def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
@@ -100,11 +103,9 @@ def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[
     ids, held, texts = (pa.chunked_array([r.column(k) for r in rows]).combine_chunks() for k in range(3))
     sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     held = held.to_numpy(zero_copy_only=False)
-    words, tokens = said(texts)
-    coded = words.dictionary_encode()
-    words = [w.encode() for w in coded.dictionary.to_pylist()] + [codes.END]
-    ends = np.cumsum(tokens)
-    stream = np.insert(coded.indices.to_numpy(), ends, len(words) - 1)
+    numbers, tokens, words = said(texts)
+    words.append(codes.END)
+    stream = np.insert(numbers, np.cumsum(tokens), len(words) - 1)
     tokens = tokens + 1
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     words[-1] = b""  # how an end is spelled
@@ -116,7 +117,8 @@ def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[
     rare = [words[k] for k in order[count <= 1]]  # they may have to be spelled
     none = pc.is_null(ids).to_numpy(zero_copy_only=False)
     ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream), pack(count <= 1), codes.squeezed(b" ".join(rare))))
+    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream)))
+    yield row(number, "rare", -1, bundle(pack(count <= 1), codes.squeezed(b" ".join(rare))))
     edges = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
     once = np.cumsum(np.concatenate([[0], count == 1]))
     single = [words[k] for k in order[count == 1]]
@@ -281,7 +283,6 @@ class Tokens:
         self.ids, self.none, held = unpack(texts[0], np.int64), unpack(texts[1], bool), unpack(texts[2], bool)
         self.held, self.tokens, self.sizes = held, unpack(texts[3], np.int64), unpack(texts[4], np.int64)
         self.stream = unpack(texts[5], np.uint32)
-        self.rare = texts[6:8]
         self.count = np.concatenate([unpack(b[0], np.int64) for _, b in replies])
         self.level = codes.levels(self.count)
         rank = np.concatenate([unpack(b[1], np.uint32) for _, b in replies]).astype(np.int64)
@@ -637,27 +638,28 @@ def _score(model: Model, shift: int):
         rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "part", "data")), strict=True))
         del table
         t = Tokens(rows, model.dictionary)
+        (rare,) = (parts_of(x) for kind, _, x in rows if kind == "rare")
         paths = [Paths(t, rows, kind, shift, model.p) for kind in (LAST, PAIR)]
         del rows
-        yield scores_of(t, paths, model)
-        del t, paths
+        yield scores_of(t, paths, rare, model)
+        del t, paths, rare
         give_back()
 
     return run
 
 
-def scores_of(t: Tokens, paths: list[Paths], model: Model) -> pa.RecordBatch:
+def scores_of(t: Tokens, paths: list[Paths], rare: list[bytes], model: Model) -> pa.RecordBatch:
     p, d = model.p, model.dictionary
     n = int(d.tokens.sum())
     distinct = int(d.words.sum())
     low = np.log10(t.count + 0.1) - np.log10(n + 0.1 * (distinct + 1))
     base = np.add.reduceat(low[t.stream], t.first)
     known = np.add.reduceat((t.count > 0)[t.stream].astype(np.int64), t.first)
-    rare = dict(zip(np.flatnonzero(unpack(t.rare[0], bool)).tolist(), codes.unsqueezed(t.rare[1]).split(b" "), strict=False))
+    spelled = dict(zip(np.flatnonzero(unpack(rare[0], bool)).tolist(), codes.unsqueezed(rare[1]).split(b" "), strict=False))
     score, ends, lo = np.zeros(len(t.tokens)), np.cumsum(t.tokens), 0
     while lo < len(t.tokens):
         hi = max(lo + 1, int(np.searchsorted(ends, t.first[lo] + p.step_tokens, side="right")))
-        score[lo:hi] = some_scores(t, paths, model, rare, lo, hi)
+        score[lo:hi] = some_scores(t, paths, model, spelled, lo, hi)
         lo = hi
     score /= np.log(10)
     bits = np.where(t.sizes > 0, -score * np.log2(10) / np.maximum(t.sizes, 1), np.nan)
@@ -720,7 +722,6 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     buckets = power_above(size / p.bucket_bytes)
     word_buckets = min(buckets, power_above(p.most_buckets))
     chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks", by="kind")
-    texts = chunks.where("kind = 'texts'")
     replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes", by="kind")
     remove(chunks, "kind=words")
     stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
@@ -737,20 +738,21 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
         tables.reshape(-1, BLOCK)[r.part] = np.frombuffer(codes.unsqueezed(r.data), np.int32)
     if stats:
         remove(replies, "kind=spellings")
-    mine = texts.unionByName(replies.where("kind = 'codes'"))
-    seen, paths = np.zeros((2, 256)), []
-    for kind in (LAST, PAIR):  # one after the other: half the keys on disk at a time
+    mine = chunks.where("kind = 'texts'").unionByName(replies.where("kind = 'codes'"))
+    seen, paths = np.zeros((2, 256)), {}
+    for kind in (PAIR, LAST):  # one after the other, the larger first, so that fewer keys are on disk at a time
         keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, kind, p), ROW)
-        paths.append(written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths"))
-        for r in paths[-1].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 256
+        paths[kind] = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths")
+        for r in paths[kind].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 256
             seen[kind, r.part] = r.n
     model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
+    mine = mine.unionByName(chunks.where("kind = 'rare'"))
     for kind in (LAST, PAIR):
         mine = mine.unionByName(paths[kind].where(F.col("kind") == PATHS[kind]))
     out = []
     for k in range(2):  # half the chunks at a time, for the same reason
         half = mine.where(F.pmod(F.xxhash64("chunk"), F.lit(2)) == k)
         out.append(written(half.groupBy("chunk").applyInArrow(_score(model, codes.KEY_BITS - buckets), SCORED), "scores"))
-    for table in (chunks, replies, *paths):
+    for table in (chunks, replies, *paths.values()):
         remove(table)
     return out[0].unionByName(out[1])
