@@ -104,7 +104,7 @@ class Plain:
                 p = self.prior(w, j)
                 if p < 1 - 1e-13:
                     x = [math.log(p / (1 - p)), self.model.states[0][states[0]], self.model.states[1][states[1]]]
-                    bits.append((cm.KNOWN_LAST[states[0]] * 4 + cm.KNOWN_PAIR[states[1]], x))
+                    bits.append((cm.KNOWN_LAST[states[0]] + cm.KNOWN_PAIR[states[1]], x))
                 j += 1
             for k in range(j, len(self.path[w])):
                 total += math.log(self.prior(w, k))

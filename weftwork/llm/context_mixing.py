@@ -73,7 +73,7 @@ class Params:
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
-    step_tokens: int = 60_000
+    step_tokens: int = 100_000
     long_word: int = 4096
     rate: float = 0.02
 
@@ -94,7 +94,9 @@ def said(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     # white space at either end of a text leaves an empty string
     some = numbers != pc.index(coded.dictionary, "").as_py()
     tokens = np.diff(np.concatenate([[0], np.cumsum(some)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
-    return numbers[some], tokens, [w.encode() for w in coded.dictionary.to_pylist()]
+    ends = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1, 8 * coded.dictionary.offset).tolist()
+    data = coded.dictionary.buffers()[2].to_pybytes()
+    return numbers[some], tokens, [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
@@ -439,8 +441,8 @@ def learned_states(seen: np.ndarray) -> np.ndarray:
     return np.where(k & 15, stretched(np.clip(p, 1e-6, 1 - 1e-6)), 0).astype(np.float32)
 
 
-#: How well a context is known, by the state's grade.
-KNOWN_LAST = np.searchsorted([1, 6, 9], np.arange(256) >> 4, side="right").astype(np.uint8)
+#: How well a context is known, by the state's grade; the two add to a gate.
+KNOWN_LAST = STEPS_PAIR * np.searchsorted([1, 6, 9], np.arange(256) >> 4, side="right").astype(np.uint8)
 KNOWN_PAIR = np.searchsorted([1, 2, 4], np.arange(256) >> 4, side="right").astype(np.uint8)
 #: Weights at the beginning of a text: of a path's bits by how well the last common word is
 #: known and, in each row, the two words before (no context, the last, the two); of a
@@ -505,7 +507,7 @@ class Model:
                 rest[out] += self.level_rest[j].take(level.take(out))
             else:
                 rest[out] -= np.log(self.below(rank[out], bits[out], words[out], j - first))
-            stay = np.flatnonzero(some & (first + bits.take(act) > j))  # the path of the others is complete
+            stay = np.flatnonzero(some & (bits.take(act) > j - first) if j >= first else some)  # the path of the others is complete
             if not len(stay):
                 return
             act, a, c = act.take(stay), a.take(stay).astype(np.intp), c.take(stay).astype(np.intp)
@@ -521,7 +523,7 @@ class Model:
                 with np.errstate(divide="ignore"):
                     x[0, edge] = np.minimum(np.log(after / (size - after)), SURE)
             x[1], x[2] = self.states[LAST].take(a), self.states[PAIR].take(c)
-            gate = KNOWN_LAST.take(a) * np.uint8(STEPS_PAIR) + KNOWN_PAIR.take(c)
+            gate = KNOWN_LAST.take(a) + KNOWN_PAIR.take(c)
             if (x[0] >= SURE).any():  # no word is on the other side
                 keep = np.flatnonzero(x[0] < SURE)
                 yield act.take(keep), gate.take(keep), x[:, keep]
@@ -558,7 +560,8 @@ class Model:
         tokens in the order of their blocks; weights are learned block after block."""
         blocks = np.arange(int(block.max()) + 2)
         edges = [np.searchsorted(block.take(token), blocks) for token, _, _ in decisions]
-        parts = [(text.take(token) * GATES + gate, x) for token, gate, x in decisions]
+        first = text * GATES
+        parts = [(first.take(token) + gate, x) for token, gate, x in decisions]
         weights, size = np.tile(self.begin, (1, texts)), texts * GATES
         seen, total = np.zeros(size, np.float32), np.zeros(size)
         for b in blocks[:-1]:
@@ -570,7 +573,10 @@ class Model:
             logit = own[0] * weights[0].take(at)
             for k in range(1, INPUTS):
                 logit += own[k] * weights[k].take(at)
-            step = (np.clip(logit, -REACH, REACH) * FINE + (REACH * FINE + 0.5)).astype(np.intp)
+            np.minimum(np.maximum(logit, -REACH, out=logit), REACH, out=logit)
+            logit *= FINE
+            logit += REACH * FINE + 0.5
+            step = logit.astype(np.intp)
             gap = GAP.take(step)
             total += np.bincount(at, LOG.take(step), size)
             seen += np.bincount(at, minlength=size)
