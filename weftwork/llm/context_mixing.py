@@ -73,7 +73,7 @@ class Params:
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
-    step_tokens: int = 100_000
+    step_tokens: int = 160_000
     long_word: int = 4096
     rate: float = 0.02
 
@@ -490,6 +490,7 @@ class Model:
         self.seen_once, self.new = np.log(again / max(1, d.words[0])), np.log(1 - again)
         k = np.arange(256, dtype=np.float32)
         self.logs = np.log(k + np.float32(0.4))
+        self.pairs = self.spellings.view("<u2")
 
     def path_bits(self, t: Tokens, lo: int, hi: int, act: np.ndarray, last: np.ndarray, pair: np.ndarray, rest: np.ndarray) -> Iterator[tuple]:
         """(token, gate, inputs) of the bits to mix of tokens lo to hi, in the order act gives;
@@ -542,17 +543,17 @@ class Model:
         ones and so on; own: the words to leave out."""
         text = Spelled(words)
         word, m = np.repeat(np.arange(len(words)), text.sizes), len(text.symbols)
-        less = own.astype(np.int32).take(word)
+        less = own.astype(np.uint16).take(word)
         contexts = list(text.contexts())
         for b in range(8):
-            node, bit = text.nodes(b), (text.symbols >> (7 - b)) & 1
+            node, high = text.nodes(b), (((text.symbols >> (7 - b)) & 1) << 3).astype(np.uint16)
             x, known = np.empty((INPUTS, m), np.float32), np.zeros(m, np.uint8)
             for k, context in enumerate(contexts):
-                at = slot(context, node)
-                came = np.maximum(self.spellings[k].take(at + bit) - less, 0)
-                other = self.spellings[k].take(at + 1 - bit)
+                both = self.pairs[k].take(slot(context, node) >> 1)  # the counts of zeros and ones
+                came, other = both >> high & 255, both >> (8 - high) & 255
+                came -= np.minimum(came, less)
                 x[k] = self.logs.take(came) - self.logs.take(other)
-                known[came + other > 0] = k + 1
+                np.copyto(known, k + 1, where=(came | other) > 0)
             yield word, known + np.uint8(WORD_GATES), x
 
     def mixed(self, decisions: list[tuple], text: np.ndarray, block: np.ndarray, texts: int) -> np.ndarray:
