@@ -26,16 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends here.
 
     The folder's name is new for each call. A lost executor costs only the tasks it
     was running, since the files do not depend on it. by: a column of few values, each
-    of which gets files of its own. The shuffle files of the write go when it ends.
+    of which gets files of its own. compression: `uncompressed` for packed columns. The shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftwork/{name}-{uuid.uuid4().hex}"
-    to = df.write.option("compression", "zstd")
+    to = df.write.option("compression", compression)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
