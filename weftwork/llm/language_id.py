@@ -200,11 +200,11 @@ def learn(labelled: DataFrame, p: Params = Params()) -> Model:
     # ranked; rows that repeat have one place
     spark = labelled.sparkSession
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()  # a row for each language, as the model has
-    share = spark.createDataFrame([(r.lang, 3.0 * p.sample / r.n) for r in counts], "lang string, share double")
+    share = F.broadcast(spark.createDataFrame([(r.lang, 3.0 * p.sample / r.n) for r in counts], "lang string, share double"))
     low = rows.select("lang", "place").join(share, "lang").where(F.col("place") / F.lit(2.0**63) <= F.col("share")).select("lang", "place").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
     last = low.withColumn("k", rank).where(F.col("k") <= p.sample).groupBy("lang").agg(F.max("place").alias("last"))
-    last = spark.createDataFrame(last.collect(), "lang string, last long")
+    last = F.broadcast(spark.createDataFrame(last.collect(), "lang string, last long"))
     sample = rows.join(last, "lang").where(F.col("place") <= F.col("last")).groupBy("lang", "place").agg(F.first("text").alias("text")).select("lang", "text")
     got = sample.mapInArrow(_count, "lang string, ids binary, counts binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.ids), bytes(r.counts)))
