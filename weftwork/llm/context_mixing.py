@@ -73,7 +73,7 @@ class Params:
     chunk_bytes: int = 8 << 20
     bucket_bytes: int = 16 << 20
     most_buckets: int = 1 << 15
-    step_tokens: int = 160_000
+    step_tokens: int = 100_000
     long_word: int = 4096
     rate: float = 0.02
 
@@ -119,7 +119,7 @@ def chunk_rows(number: int, rows: list[pa.RecordBatch], shift: int) -> Iterator[
     rare = [words[k] for k in order[count <= 1]]  # they may have to be spelled
     none = pc.is_null(ids).to_numpy(zero_copy_only=False)
     ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream)))
+    yield row(number, "texts", -1, bundle(pack(ids), pack(none), pack(held), pack(tokens), pack(sizes), pack(stream)), int(sizes.sum()))
     yield row(number, "rare", -1, bundle(pack(count <= 1), codes.squeezed(b" ".join(rare))))
     edges = np.searchsorted(hashes >> np.uint64(shift), np.arange((1 << (64 - shift)) + 1, dtype=np.uint64)) if shift < 64 else np.asarray([0, len(words)])
     once = np.cumsum(np.concatenate([[0], count == 1]))
@@ -712,6 +712,12 @@ def power_above(x: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
+def about(rows: DataFrame) -> int:
+    """Bytes of the texts, as the plan estimates them from its files, and counted where it cannot."""
+    guess = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return guess if guess < 1 << 60 else rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and
     bits_per_byte of every row of docs(doc_id, text).
@@ -725,11 +731,11 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    word_buckets = min(power_above(about(rows) / p.bucket_bytes), power_above(p.most_buckets))
+    chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks", "kind", "uncompressed")
+    size = chunks.where("kind = 'texts'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = power_above(size / p.bucket_bytes)
-    word_buckets = min(buckets, power_above(p.most_buckets))
-    chunks = written(rows.mapInArrow(_chunks(64 - word_buckets, p), ROW), "chunks", by="kind")
-    replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes", by="kind")
+    replies = written(chunks.where("kind = 'words'").groupBy("part").applyInArrow(_words, ROW), "codes", "kind", "uncompressed")
     remove(chunks, "kind=words")
     stats = replies.where("kind = 'levels'").select("part", "data").collect()  # 128 numbers for each of at most p.most_buckets
     words, tokens = np.zeros((1 << word_buckets, codes.LEVELS), np.int64), np.zeros(codes.LEVELS, np.int64)
@@ -749,7 +755,7 @@ def scored(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame
     seen, paths = np.zeros((2, 256)), {}
     for kind in (PAIR, LAST):  # one after the other, the larger first, so that fewer keys are on disk at a time
         keys = mine.groupBy("chunk").applyInArrow(_contexts(codes.KEY_BITS - buckets, dictionary, kind, p), ROW)
-        paths[kind] = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths")
+        paths[kind] = written(keys.groupBy("part").applyInArrow(_paths(dictionary.bits, kind, p.least), ROW), "paths", compression="uncompressed")
         for r in paths[kind].where("kind = 'states'").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most 256
             seen[kind, r.part] = r.n
     model = Model(dictionary, np.stack([learned_states(x) for x in seen]), as_bytes(tables), p)
