@@ -714,7 +714,7 @@ def power_above(x: float) -> int:
 
 def about(rows: DataFrame) -> int:
     """Bytes of the texts, as the plan estimates them from its files, and counted where it cannot."""
-    guess = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    guess = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return guess if guess < 1 << 60 else rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
