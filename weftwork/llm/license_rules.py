@@ -136,6 +136,10 @@ def oracle_sql() -> str:
     found += [f"CASE WHEN {has(rule)} AND NOT ({' OR '.join(has(r) for n, r in RULES if n == longer)}) THEN {_quoted(name)} END" for name, rule, longer in SHORTER]
     low = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     norm = rf"trim(regexp_replace(regexp_replace({low}, '\.([^0-9]|$)|[^a-z0-9.]+', ' \1', 'g'), '[^a-z0-9.]+|[.]+( |$)', ' ', 'g'))"
+    # every line has a line feed of its own at either end, as there is no looking ahead here
+    lines = rf"list_filter(list_transform(regexp_split_to_array(x, '[\r\n]+'), lambda x: {norm}), lambda y: y <> '')"
+    texts = "|".join(text.replace(".", "[.]").replace(" ", r"(?: |\n\n)") for text in sorted(known, key=len, reverse=True))
+    runs = rf"regexp_extract_all(chr(10) || array_to_string({lines}, chr(10) || chr(10)) || chr(10), '\n({texts})\n', 1)"
     return rf"""
 WITH cut AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{ENDS}'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS raw,
@@ -143,7 +147,7 @@ WITH cut AS (
   FROM documents
 ), named AS (
   SELECT doc_id, tags, len(raw) AS n_sentences,
-    list_filter(list_transform(list_transform(raw, lambda x: {norm}), lambda x: {table}[x]), lambda x: x IS NOT NULL) AS ids
+    list_filter(list_transform(flatten(list_transform(raw, lambda x: {runs})), lambda z: {table}[replace(z, chr(10) || chr(10), ' ')]), lambda x: x IS NOT NULL) AS ids
   FROM cut
 ), joined AS (
   SELECT *, ',' || coalesce(array_to_string(ids, ','), '') || ',' AS row_ FROM named
