@@ -64,12 +64,43 @@ def minify_gradients(prop: str, value: str) -> str:
     return text_of(rewritten(parse(value), change))
 
 
-# Initial values that are shorter than, and values longer than, the word `initial`.
-TO_INITIAL = dict(x.split("=") for x in """border-block-color=currentcolor border-inline-color=currentcolor caret-shape=auto background-clip=border-box background-origin=padding-box
-    border-bottom-color=currentcolor border-left-color=currentcolor border-right-color=currentcolor border-top-color=currentcolor column-rule-color=currentcolor
-    box-sizing=content-box font-synthesis=weight|style mask-clip=border-box mask-origin=border-box mask-border-mode=alpha text-decoration-color=currentcolor
-    text-emphasis-color=currentcolor outline-color=currentcolor image-orientation=from-image justify-items=legacy transform-style=flat vertical-align=baseline
-    background-attachment=scroll hyphens=manual image-resolution=1dppx white-space=normal""".split())
+# Initial values that are longer than the word `initial`, and values that it stands for.
+TO_INITIAL = {
+    "background-clip": "border-box",
+    "background-color": "transparent",
+    "background-origin": "padding-box",
+    "background-size": "auto auto",
+    "border-block-color": "currentcolor",
+    "border-block-end-color": "currentcolor",
+    "border-block-start-color": "currentcolor",
+    "border-bottom-color": "currentcolor",
+    "border-collapse": "separate",
+    "border-inline-color": "currentcolor",
+    "border-inline-end-color": "currentcolor",
+    "border-inline-start-color": "currentcolor",
+    "border-left-color": "currentcolor",
+    "border-right-color": "currentcolor",
+    "border-top-color": "currentcolor",
+    "box-sizing": "content-box",
+    "color": "canvastext",
+    "column-rule-color": "currentcolor",
+    "font-synthesis": "weight style",
+    "image-orientation": "from-image",
+    "mask-clip": "border-box",
+    "mask-mode": "match-source",
+    "mask-origin": "border-box",
+    "mask-type": "luminance",
+    "ruby-align": "space-around",
+    "ruby-merge": "separate",
+    "ruby-position": "alternate",
+    "text-decoration-color": "currentcolor",
+    "text-emphasis-color": "currentcolor",
+    "text-emphasis-position": "over right",
+    "transform-box": "view-box",
+    "transform-origin": "50% 50% 0",
+    "vertical-align": "baseline",
+    "writing-mode": "horizontal-tb",
+}
 FROM_INITIAL = dict(x.split("=") for x in """align-items=normal animation-delay=0s animation-direction=normal animation-duration=0s animation-fill-mode=none animation-iteration-count=1 animation-name=none
     background-color=transparent background-image=none background-size=auto border-collapse=separate border-style=none border-width=medium bottom=auto box-shadow=none
     clear=none clip=auto color-scheme=normal column-count=auto column-gap=normal content=normal cursor=auto direction=ltr display=inline empty-cells=show filter=none
