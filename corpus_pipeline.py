@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftwork.llm import budget_mix, cut_packing, language_id, shingle_groups
-from weftwork.llm.common import written
+from weftwork.llm.common import TEXTS, written
 from weftwork.llm.queries import language_fold, tree, WEIGHTS
 from weftwork.llm.token_cache import default_path
 
@@ -25,7 +25,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8
-    or more), that of the smallest doc_id."""
+    or more), that of the smallest doc_id: candidates by the Hamming trees, then an exact check."""
     return shingle_groups.one_of_each(docs)
 
 
@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            docs = written(docs, name, batch=TEXTS)
     return docs

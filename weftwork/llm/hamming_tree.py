@@ -9,6 +9,12 @@ either both are within r, or one is beyond r and the other beyond r - reach.
 The top of one tree, grown on a bounded sample, deals the distinct fingerprints out
 to shards; a fingerprint near a boundary goes to every shard that its ball overlaps.
 Each shard grows its own tree down to small leaves and compares those exactly.
+
+Sets of shingles at a similarity of 0.8 differ in some 15 % of their bits, and balls so wide
+overlap every radius at the top of a tree. candidates() therefore takes longer
+fingerprints and deals them out by some of their bits, in several trees, each by bits of
+its own, so that a pair misses all shards with a small probability that is fixed beforehand;
+inside a shard trees grow as above, wherever a radius tells fingerprints apart.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,19 +90,27 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y)
 
 
-def choose(points: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[int, int, float] | None:
+def away(points: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The distances of points, words or rows of words, from one of them."""
+    d = distance(points, v)
+    return d if d.ndim == 1 else d.sum(axis=1, dtype=np.int64)
+
+
+def choose(points: np.ndarray, reach: int, rng: np.random.Generator) -> tuple | None:
     """(vantage point, radius, share of the larger side): of a few candidates the one
-    that splits points best; None if they cannot be split."""
+    that splits points best; None if they cannot be split. points: words of 64 bits, or rows
+    of such words."""
     best = None
+    bits = 64 * (points.shape[1] if points.ndim > 1 else 1)
     seen = points if len(points) <= 2048 else points[rng.integers(0, len(points), 2048)]
     for v in points[rng.integers(0, len(points), 8)]:
-        n = np.cumsum(np.bincount(distance(seen, v), minlength=65))
+        n = np.cumsum(np.bincount(away(seen, v), minlength=bits + 1))
         inside = n / n[-1]
-        outside = 1 - np.concatenate([np.zeros(reach + 1), inside[: 64 - reach]])  # distance over r - reach
+        outside = 1 - np.concatenate([np.zeros(reach + 1), inside[: bits - reach]])  # distance over r - reach
         larger = np.maximum(inside, outside)
         r = int(np.argmin(larger))
         if best is None or larger[r] + inside[r] + outside[r] < best[3]:
-            best = (int(v), r, float(larger[r]), float(larger[r] + inside[r] + outside[r]))
+            best = (v if v.ndim else int(v), r, float(larger[r]), float(larger[r] + inside[r] + outside[r]))
     return best[:3] if best and best[2] < 0.93 else None
 
 
@@ -253,3 +268,138 @@ def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     found = near_duplicates(docs, p).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+# -- sets of shingles, by longer fingerprints
+
+WIDE = 4
+WORDS = [f"f{k}" for k in range(WIDE)]
+ODD = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+@dataclass(frozen=True)
+class Wide:
+    """least: Jaccard similarity of the sets to find. reach: bits of 64 * WIDE in which candidates
+    may differ, first_reach: of the first 64. Sets at 0.8 differ in a bit with a probability of
+    0.152 or, of five shingles and less, of 0.188, so that a pair is beyond reach with one below
+    2e-8 or 1e-4. missed: probability that such a pair is together in no shard. shard_rows: in a
+    shard, about; leaf: compared without a tree."""
+
+    least: float = 0.8
+    reach: int = 72
+    first_reach: int = 25
+    missed: float = 6e-5
+    same: float = 1 - 0.152
+    same_few: float = 1 - 0.188
+    few: int = 5
+    shard_rows: int = 4096
+    leaf: int = 384
+    seed: int = 3
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """64 * WIDE bits of a set of hashes: of WIDE mixes of each, those set in over half."""
+    h = hashes[:, None] * ODD
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), SLICE):
+        bits = np.unpackbits(h[at : at + SLICE].view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def near(fp: np.ndarray, size: np.ndarray, p: Wide) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, within reach, of sets whose sizes allow the similarity. fp: rows of
+    words, by ascending size."""
+    first, lo = np.ascontiguousarray(fp[:, 0]), 0
+    ends = np.searchsorted(size, size / p.least * (1 + 1e-9), side="right")
+    while lo < len(fp):
+        hi = min(len(fp), lo + max(1, (1 << 16) // (int(ends[lo]) - lo)))
+        end = int(ends[hi - 1])
+        at = np.flatnonzero(distance(first[lo:hi, None], first[lo:end]).ravel() <= p.first_reach)
+        i, j = np.divmod(at, end - lo)
+        some = np.flatnonzero((i < j) & (j + lo < ends[i + lo]))
+        i, j = i[some] + lo, j[some] + lo
+        some = np.flatnonzero(distance(fp[i], fp[j]).sum(axis=1, dtype=np.int64) <= p.reach)
+        if len(some):
+            yield i[some], j[some]
+        lo = hi
+
+
+def link_wide(fp: np.ndarray, size: np.ndarray, p: Wide) -> np.ndarray:
+    """For each of the sets, by ascending size, the first of its component of candidates."""
+    forest, label = Forest(len(fp)), np.arange(len(fp))
+    todo, rng = [np.arange(len(fp))], np.random.default_rng(p.seed)
+    while todo:
+        at = todo.pop()
+        split = choose(fp[at], p.reach, rng) if len(at) > p.leaf else None
+        if split:
+            v, r, _ = split
+            d = away(fp[at], v)
+            inside, outside = at[d <= r], at[d > r - p.reach]
+            if len(inside) ** 2 + len(outside) ** 2 < 0.8 * len(at) ** 2:
+                todo += [inside, outside]
+                continue
+        for i, j in near(fp[at], size[at], p):
+            i, j = at[i], at[j]
+            new = np.flatnonzero(label[i] != label[j])
+            if len(new):
+                for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
+                    forest.join(x, y)
+                old, now = np.unique(label[np.concatenate([i[new], j[new]])]), np.arange(len(fp))
+                now[old] = [forest.find(x) for x in old.tolist()]
+                label = now[label]
+    return label
+
+
+def _deal_wide(trees: int, trees_of_few: int, bits: int, p: Wide):
+    """To every set its shard in each tree: the tree's number, and `bits` of the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(p.seed)
+        taken = [rng.choice(64 * WIDE, bits, replace=False) for _ in range(trees_of_few)]
+        for batch in batches:
+            fp = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+            few = batch.filter(pc.less_equal(batch.column(1), p.few + 1))
+            few_fp = fp[batch.column(1).to_numpy() <= p.few + 1]
+            for tree, own in enumerate(taken):
+                rows, words = (batch, fp) if tree < trees else (few, few_fp)
+                shard = np.full(len(words), tree << bits, np.int64)
+                for k, b in enumerate(own.tolist()):
+                    shard |= ((words[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64) << k
+                if len(words):
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), *rows.columns], names=["shard", *rows.schema.names])
+
+    return run
+
+
+def _link_wide(p: Wide):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "ascending"), ("key", "ascending")])
+        key, fp = table.column("key").to_numpy(), words_of(table)
+        label = link_wide(fp, table.column("size").to_numpy(), p)
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(key[some], pa.int64()), "b": pa.array(key[label[some]], pa.int64())})
+
+    return run
+
+
+def words_of(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(x).to_numpy().view(np.uint64) for x in WORDS], axis=1)
+
+
+def shards_of(n: int, p: Wide) -> tuple[int, int, int]:
+    """(trees, trees for the sets of few shingles, bits) for n sets."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / p.shard_rows))))
+    trees = [1 if not bits else int(np.ceil(np.log(p.missed) / np.log1p(-(x**bits)))) for x in (p.same, p.same_few)]
+    return trees[0], max(trees), bits
+
+
+def candidates(sets: DataFrame, n: int, p: Wide = Wide()) -> DataFrame:
+    """(node, root) for the keys of sets(key long, size long, f0.. long; n rows, keys distinct) that
+    have candidates: sets whose fingerprints differ in at most p.reach bits and whose sizes allow
+    the similarity, and what these reach. An exact check has to follow."""
+    dealt = without_clashes(sets, "key", "size", *WORDS).mapInArrow(_deal_wide(*shards_of(n, p), p), "shard long, key long, size long, " + ", ".join(f"{x} long" for x in WORDS))
+    return components(dealt.groupBy("shard").applyInArrow(_link_wide(p), "a long, b long"))

@@ -1,9 +1,8 @@
 """Near-duplicates by the similarity of 5-word shingle sets.
 
 Documents link when the Jaccard similarity of their sets is at least a threshold. Equal
-sets collapse first. Candidates are sets that agree in a band of MinHash values;
-the groups that a band makes are told apart by their members, so that one that many
-bands make is looked at once, and its links are found on the sets themselves.
+sets collapse first. Candidates are found by hamming_tree, on SimHash fingerprints of the
+sets; an exact check on the sets themselves follows for the candidates that reach each other.
 """
 
 from __future__ import annotations
@@ -18,24 +17,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, written
+from .common import TEXTS, Forest, components, give_back, written
+from .hamming_tree import WIDE, WORDS, Wide, candidates, near, wide, words_of
 
 SEED = 42
-CHUNK = 1024
-SIGNATURE = "doc_id long, text_hash long, key long, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, key long, size long, " + ", ".join(f"{x} long" for x in WORDS)
+
+SETS = "shingles binary, key long, size long, " + ", ".join(f"{x} long" for x in WORDS)
 
 
 @dataclass(frozen=True)
 class Params:
-    """least: similarity of linked documents. words: in a shingle. bands of rows values
-    each: a pair at similarity s is missed with probability (1 - s ** rows) ** bands, 6e-5
-    at 0.8. bucket_rows: sets compared by one task."""
+    """words: in a shingle. tree: how candidates are found, and the least similarity of linked
+    documents. block: sets of a component of candidates that one comparison takes, twice at
+    most. bucket_rows: sets compared by one task, about."""
 
-    least: float = 0.8
     words: int = 5
-    bands: int = 32
-    rows: int = 6
-    bucket_rows: int = 4096
+    tree: Wide = Wide()
+    block: int = 1024
+    bucket_rows: int = 2048
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -49,26 +49,15 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def _signatures(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        size = p.bands * p.rows
-        times = rng.integers(0, 1 << 31, size, np.uint32) * np.uint32(2) + np.uint32(1)
-        flips = rng.integers(0, 1 << 32, size, np.uint32)
-        mix = rng.integers(0, 1 << 63, (p.bands, p.rows), np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            keys = np.zeros(batch.num_rows, np.uint64)
-            least = np.full((batch.num_rows, size), 0xFFFFFFFF, np.uint32)
+            keys, sizes = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            fp = np.zeros((WIDE, batch.num_rows), np.uint64)
             for k, text in enumerate(batch.column(1)):
                 found = shingles(text.as_py(), p.words)
-                keys[k] = xxhash.xxh3_64_intdigest(found.tobytes())
-                short = (found >> np.uint64(32)).astype(np.uint32)
-                for at in range(0, len(short), CHUNK):
-                    values = (short[at : at + CHUNK, None] ^ flips) * times
-                    np.minimum(least[k], values.min(axis=0), out=least[k])
-            bands = (least.reshape(-1, p.bands, p.rows).astype(np.uint64) * mix).sum(axis=2)
-            bands ^= bands >> np.uint64(29)
-            bands = bands * np.uint64(0xBF58476D1CE4E5B9) + np.arange(p.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * p.bands, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys.view(np.int64)), lists], names=["doc_id", "text_hash", "key", "bands"])
+                keys[k], sizes[k], fp[:, k] = xxhash.xxh3_64_intdigest(found.tobytes()), len(found), wide(found)
+            columns = [batch.column(0), batch.column(2), pa.array(keys.view(np.int64)), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in fp)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "size", *WORDS])
+        give_back()
 
     return run
 
@@ -76,8 +65,9 @@ def _signatures(p: Params):
 def _sets(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x.as_py(), p.words).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+            found = [shingles(x.as_py(), p.words).tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["shingles", *batch.schema.names[1:]])
+        give_back()
 
     return run
 
@@ -89,23 +79,33 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _link(p: Params):
+def _confirm(p: Params):
+    """The links of some comparisons, each of one block or across two."""
+
     def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("group", "ascending"), ("key", "ascending")])
-        group, key = order.column("group").to_numpy(), order.column("key").to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in order.column("shingles")]
+        table = table.sort_by([("root", "ascending"), ("low", "ascending"), ("high", "ascending"), ("size", "ascending"), ("key", "ascending")])
+        root, low, high, block, size, key = (table.column(x).to_numpy() for x in ("root", "low", "high", "block", "size", "key"))
+        fp = words_of(table)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
         a, b = [], []
-        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        for low, high in zip(edges, edges[1:], strict=False):
-            forest = Forest(high - low)
-            for i in range(1, high - low):
-                for j in range(i):
-                    if forest.find(i) != forest.find(j) and similar(sets[low + i], sets[low + j], p.least):
-                        forest.join(i, j)
-            for i in range(high - low):
-                if (root := forest.find(i)) != i:
-                    a.append(key[low + i])
-                    b.append(key[low + root])
+        new = (root[1:] != root[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(root)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            forest = Forest(hi - lo)
+            side = block[lo:hi]
+            across = low[lo:hi].max(initial=0) != high[lo:hi].max(initial=0)
+            for i, j in near(fp[lo:hi], size[lo:hi], p.tree):
+                if across:
+                    i, j = (x[side[i] != side[j]] for x in (i, j))
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if forest.find(x) != forest.find(y) and similar(sets[lo + x], sets[lo + y], p.tree.least):
+                        forest.join(x, y)
+            for i in range(hi - lo):
+                if (first := forest.find(i)) != i:
+                    a.append(key[lo + i])
+                    b.append(key[lo + first])
+        del sets, table
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -120,19 +120,21 @@ def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     others but stand for no group.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    every = written(texts.mapInArrow(_signatures(p), SIGNATURE), "signatures")
-    distinct = written(every.groupBy("key").agg(F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "sets")
-    bands = distinct.select("key", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    members = bands.join(shared.select("band"), "band").groupBy("band").agg(F.sort_array(F.collect_set("key")).alias("members"))
-    members = members.select("members").distinct().select(F.xxhash64("members").alias("group"), F.explode("members").alias("key"))
-    members = written(members, "candidates")
-    wanted = distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", "text_hash")
-    held = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("key", "text").dropDuplicates(["key"])
-    sets = written(held.mapInArrow(_sets(p), "key long, shingles binary"), "shingles")
-    buckets = max(1, -(-members.count() // p.bucket_rows))
-    dealt = members.join(sets, "key").withColumn("bucket", F.pmod(F.col("group"), F.lit(buckets)))
-    roots = components(dealt.groupBy("bucket").applyInArrow(_link(p), "a long, b long"))
+    every = written(texts.mapInArrow(_signatures(p), SIGNATURE), "signatures", batch=TEXTS)
+    distinct = written(every.groupBy("key").agg(F.min("text_hash").alias("text_hash"), *(F.first(x).alias(x) for x in ("size", *WORDS))), "sets")
+    found = candidates(distinct, distinct.count(), p.tree)
+    nodes = written(found.union(found.select("root", "root").distinct()), "candidates")
+    wanted = distinct.join(nodes.select(F.col("node").alias("key")), "key", "left_semi")
+    held = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash").select("text", "key", "size", *WORDS).dropDuplicates(["key"])
+    sets = written(held.mapInArrow(_sets(p), SETS), "shingles", batch=TEXTS)
+    # a component is cut into blocks, and every two of its blocks are compared
+    blocks = nodes.groupBy("root").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
+    placed = nodes.join(blocks, "root").select("root", "blocks", F.col("node").alias("key"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("root", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    buckets = max(1, -(-dealt.count() // p.bucket_rows))
+    dealt = dealt.join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("root", "low", "high"), F.lit(buckets)))
+    roots = components(dealt.groupBy("bucket").applyInArrow(_confirm(p), "a long, b long"))
     # a key's own smallest row first, so that a group of copies is one row in the join
     first = every.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     placed = first.join(roots, first.key == roots.node, "left").groupBy(F.coalesce("root", "key")).agg(F.min("row").alias("row"))
