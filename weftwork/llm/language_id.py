@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 UNKNOWN = "und"
 SIZE = 1 << 16  # features of either kind
 SLICE = 1 << 20
+TOGETHER = 1 << 16  # bytes whose weights are looked up at once
 #: Families of ISO 639-1 codes; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no is af", "romance": "fr es it pt ro ca gl", "slavic": "ru uk pl cs sk bg sr hr sl",
@@ -94,7 +97,7 @@ class Model:
             for x in framed(text):
                 group.append((k, x))
                 held += len(x)
-                if held >= SLICE:
+                if held >= TOGETHER:
                     flush()
                     group, held = [], 0
         if group:
@@ -219,6 +222,7 @@ def _predict(model: Model):
                 part = batch.slice(k, 256)
                 found, score = model.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *ADDED])
+        give_back()
 
     return run
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_clashes, written
+from .common import TEXTS, without_clashes, written
 from .token_cache import ID, encoder
 
 SCHEMA = "part int, at long, doc_id long, n_tokens long, wide boolean, ids binary"
@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     Since the table is written, part and at stay what they are however often a later
     task runs again.
     """
-    return written(without_clashes(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_tokenize(path, end_id, None), SCHEMA), "tokens")
+    return written(without_clashes(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_tokenize(path, end_id, None), SCHEMA), "tokens", batch=TEXTS)
 
 
 def ranged(docs: DataFrame, path: str, end_id: int, ranges: int) -> tuple[DataFrame, np.ndarray]:
